@@ -286,9 +286,10 @@ def _rank(status: Column) -> Column:
 
 def worst_status(statuses: Column) -> Column:
     """The worst of an array of statuses; ``ok`` for none."""
-    worst = F.array_max(F.transform(statuses, _rank))
-    names = F.array(*[F.lit(name) for name in STATUS_ORDER])
-    return F.coalesce(F.element_at(names, worst.cast("int")), F.lit(OK))
+    worst = F.lit(OK)
+    for name in STATUS_ORDER[1:]:
+        worst = F.when(F.array_contains(statuses, name), name).otherwise(worst)
+    return worst
 
 
 def correctness_status(findings: DataFrame, by: Sequence[str] = ()) -> DataFrame:

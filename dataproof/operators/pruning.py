@@ -67,12 +67,26 @@ def scan_ratio(
 
     The key level starts from the parts that the partition level left over.
     """
-    in_partition = as_column(partition_predicate) if partition_predicate is not None else F.lit(True)
-    in_partition = F.coalesce(in_partition, F.lit(False))
+    wanted_rows = as_column(partition_predicate) if partition_predicate is not None else F.lit(True)
+    bounds = [
+        bound
+        for wanted in ranges
+        for bound in (
+            F.min(f"min_{wanted.column}").alias(f"min_{wanted.column}"),
+            F.max(f"max_{wanted.column}").alias(f"max_{wanted.column}"),
+        )
+    ]
+    # A file may hold several logical partitions; it is read once any of them is wanted.
+    parts = stats.groupBy("part").agg(
+        F.sum("rows").alias("rows"),
+        F.bool_or(F.coalesce(wanted_rows, F.lit(False))).alias("in_partition"),
+        *bounds,
+    )
+    in_partition = F.col("in_partition")
     in_key = in_partition
     for wanted in ranges:
         in_key = in_key & _overlaps(wanted)
-    counted = stats.agg(
+    counted = parts.agg(
         F.count("*").alias("parts"),
         F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"),
         *[
