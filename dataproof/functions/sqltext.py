@@ -12,6 +12,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from dataproof.functions.binding import let
+
 # Functions that reach outside the database.
 EXTERNAL_FUNCTIONS = [
     "azureBlobStorage", "azureBlobStorageCluster", "cluster", "clusterAllReplicas",
@@ -139,33 +141,42 @@ def query_shape(sql: Column, masked: Column) -> Column:
 def unstable_reason(sql: Column, masked: Column, top: Column) -> Column:
     """Why two runs of a clean query may differ, or NULL."""
     unquoted = F.regexp_replace(sql, _CLOSED_STRING, "''")
-    name = F.regexp_extract(unquoted, _any_call(UNSTABLE_FUNCTIONS), 1)
     unordered = top.rlike(r"(?i)\bLIMIT\b") & ~top.rlike(r"(?i)\bORDER\b")
-    return (
-        F.when(name != "", F.concat(F.lit("uses the non-deterministic function "), name))
+    return let(
+        F.regexp_extract(unquoted, _any_call(UNSTABLE_FUNCTIONS), 1),
+        lambda name: F.when(name != "", F.concat(F.lit("uses the non-deterministic function "), name))
         .when(unordered, "uses LIMIT without an ordering")
-        .when(masked.rlike(r"(?i)\bSAMPLE\s+[\d.]|\bTABLESAMPLE\b"), "reads a sample")
+        .when(masked.rlike(r"(?i)\bSAMPLE\s+[\d.]|\bTABLESAMPLE\b"), "reads a sample"),
     )
 
 
 def external_function(masked: Column) -> Column:
     """The first function in the text that reaches outside, or NULL."""
-    name = F.regexp_extract(masked, _any_call(EXTERNAL_FUNCTIONS + JVM_FUNCTIONS), 1)
-    return F.when(name != "", name)
+    return F.nullif(
+        F.regexp_extract(masked, _any_call(EXTERNAL_FUNCTIONS + JVM_FUNCTIONS), 1), F.lit("")
+    )
 
 
 def reject_reason(sql: Column) -> Column:
     """Why a text is not one plain query that may be checked, or NULL."""
     trimmed = F.btrim(sql, F.lit(_BLANKS))
-    statement = F.regexp_replace(trimmed, r";\z", "")
-    masked = mask_literals(statement)
-    top = top_level(masked)
+    return let(
+        F.regexp_replace(trimmed, r";\z", ""),
+        lambda statement: let(
+            mask_literals(statement),
+            lambda masked: let(
+                top_level(masked), lambda top: _rejection(statement, masked, top)
+            ),
+        ),
+    )
+
+
+def _rejection(statement: Column, masked: Column, top: Column) -> Column:
     after_format = F.regexp_extract(top, r"(?is)^.*?\bFORMAT\b(.*)$", 1)
     after_settings = F.regexp_extract(top, r"(?is)^.*?\bSETTINGS\b(.*)$", 1)
-    external = external_function(masked)
     return (
-        F.when(trimmed == "", "empty statement")
-        .when(trimmed.rlike(r"--|/\*"), "contains comments")
+        F.when(statement == "", "empty statement")
+        .when(statement.rlike(r"--|/\*"), "contains comments")
         .when(F.instr(statement, ";") > 0, "several statements")
         .when(~statement.rlike(r"(?i)^(?:SELECT|WITH)\b"), "not a query")
         .when(
@@ -175,7 +186,7 @@ def reject_reason(sql: Column) -> Column:
         .when(top.rlike(r"(?i)\bINTO\s+(?:OUTFILE|DUMPFILE)\b"), "writes a file")
         .when(after_format.rlike(r"^\s+[A-Za-z0-9_]+\s*\z"), "names an output format")
         .when(after_settings.rlike(r"^\s+[A-Za-z_][A-Za-z0-9_]*\s*="), "changes settings")
-        .when(external.isNotNull(), F.concat(F.lit("calls external function "), external))
+        .otherwise(F.concat(F.lit("calls external function "), external_function(masked)))
     )
 
 

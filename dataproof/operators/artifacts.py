@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dataproof.functions.binding import let, rows_of
 from dataproof.functions.changetext import alter_class
 from dataproof.functions.sqltext import (
     artifact_kind,
@@ -31,37 +32,56 @@ def match_globs(artifacts: DataFrame, globs: Sequence[str] = (), path: str = "pa
 
 def classify(artifacts: DataFrame) -> DataFrame:
     """Clean statements with kind and fingerprint. ``prev_sql`` may be NULL."""
-    cleaned = artifacts.select(
-        "path", clean_sql(F.col("sql")).alias("statement"), clean_sql(F.col("prev_sql")).alias("previous")
+    cleaned = F.struct(
+        clean_sql(F.col("sql")).alias("statement"), clean_sql(F.col("prev_sql")).alias("previous")
     )
-    kind = artifact_kind(F.col("statement"), F.col("previous"))
-    mark = F.when(F.col("kind") == "query_pair", fingerprint(F.col("statement"), F.col("previous")))
-    return cleaned.withColumn("kind", kind).withColumn(
-        "fingerprint", F.coalesce(mark, fingerprint(F.col("statement")))
+
+    def described(texts: Column) -> Column:
+        statement, previous = texts["statement"], texts["previous"]
+        kind = artifact_kind(statement, previous)
+        mark = F.when(kind == "query_pair", fingerprint(statement, previous)).otherwise(
+            fingerprint(statement)
+        )
+        return F.struct(
+            statement.alias("statement"),
+            previous.alias("previous"),
+            kind.alias("kind"),
+            mark.alias("fingerprint"),
+        )
+
+    return artifacts.select("path", rows_of(cleaned, described))
+
+
+def _with_layers(statement: Column, body: Callable[[Column, Column], Column]) -> Column:
+    """``body(masked, top)`` for a clean statement."""
+    return let(
+        mask_literals(statement), lambda masked: let(top_level(masked), lambda top: body(masked, top))
+    )
+
+
+def _reasons(statement: Column) -> Column:
+    return _with_layers(
+        statement,
+        lambda masked, top: F.struct(
+            query_shape(statement, masked).alias("shape"),
+            unstable_reason(statement, masked, top).alias("unstable_reason"),
+            reject_reason(statement).alias("reject_reason"),
+        ),
     )
 
 
 def query_shape_flags(classified: DataFrame) -> DataFrame:
     """Per query text: shape flags, the reason it is unstable, the reason to reject it."""
     queries = classified.filter(F.col("kind").isin("query", "query_pair"))
-    masked = queries.withColumn("masked", mask_literals(F.col("statement"))).withColumn(
-        "top", top_level(F.col("masked"))
+    return queries.select("path", "statement", F.inline(F.array(_reasons(F.col("statement"))))).select(
+        "path", "statement", "shape.*", "unstable_reason", "reject_reason"
     )
-    return masked.select(
-        "path",
-        "statement",
-        query_shape(F.col("statement"), F.col("masked")).alias("shape"),
-        unstable_reason(F.col("statement"), F.col("masked"), F.col("top")).alias("unstable_reason"),
-        reject_reason(F.col("statement")).alias("reject_reason"),
-    ).select("path", "statement", "shape.*", "unstable_reason", "reject_reason")
 
 
 def alter_classes(classified: DataFrame) -> DataFrame:
     """Per ALTER text: class, rewrite scope and the reason for either."""
     changes = classified.filter(F.col("kind") == "migration")
-    return changes.select("path", "statement", alter_class(F.col("statement")).alias("change")).select(
-        "path", "statement", "change.*"
-    )
+    return changes.select("path", "statement", F.inline(F.array(alter_class(F.col("statement")))))
 
 
 def triage(artifacts: DataFrame) -> DataFrame:
@@ -70,40 +90,43 @@ def triage(artifacts: DataFrame) -> DataFrame:
     ``type`` is the kind, or ``error`` for a text that must not be checked further;
     ``limit_type`` and ``limit_message`` say what keeps it from being proven.
     """
-    rows = classify(artifacts)
-    for source, prefix in (("statement", ""), ("previous", "previous_")):
-        rows = rows.withColumn(f"{prefix}masked", mask_literals(F.col(source)))
-        rows = rows.withColumn(f"{prefix}top", top_level(F.col(f"{prefix}masked")))
-        rows = rows.withColumn(f"{prefix}reject", reject_reason(F.col(source)))
-        rows = rows.withColumn(
-            f"{prefix}unstable",
-            unstable_reason(F.col(source), F.col(f"{prefix}masked"), F.col(f"{prefix}top")),
-        )
-    kind = F.col("kind")
-    rows = rows.withColumn("change", F.when(kind == "migration", alter_class(F.col("statement"))))
-    classification = F.col("change.classification")
-    rejected = (
-        F.when(kind == "query", F.col("reject"))
-        .when(kind == "query_pair", F.coalesce("previous_reject", "reject"))
-        .when(classification == "invalid", F.col("change.reason"))
+    is_query = F.col("kind").isin("query", "query_pair")
+    seen = classify(artifacts).select(
+        "path",
+        "statement",
+        "fingerprint",
+        "kind",
+        rows_of(
+            F.struct(
+                F.when(is_query, _reasons(F.col("statement"))).alias("now"),
+                F.when(F.col("kind") == "query_pair", _reasons(F.col("previous"))).alias("before"),
+                F.when(F.col("kind") == "migration", alter_class(F.col("statement"))).alias("change"),
+            ),
+            lambda row: row,
+        ),
+    )
+    kind, classification = F.col("kind"), F.col("change.classification")
+    rejected = F.coalesce(
+        "before.reject_reason", "now.reject_reason",
+        F.when(classification == "invalid", F.col("change.reason")),
     )
-    unstable = F.when(kind == "query_pair", F.coalesce("previous_unstable", "unstable"))
     unsupported = F.when(classification == "unsupported", F.col("change.reason"))
     unknown = F.when(kind == "unknown", "neither a query nor an ALTER statement")
-    return rows.select(
+    unproven = F.when(
+        kind == "query_pair", F.coalesce("before.unstable_reason", "now.unstable_reason")
+    )
+    unreadable = F.coalesce(rejected, unsupported, unknown)
+    return seen.select(
         "path",
         "statement",
         "fingerprint",
         "kind",
         F.when(rejected.isNotNull(), "error").otherwise(kind).alias("type"),
-        F.when(F.coalesce(rejected, unsupported, unknown).isNotNull(), "unsupported_syntax")
-        .when(unstable.isNotNull(), "budget")
+        F.when(unreadable.isNotNull(), "unsupported_syntax")
+        .when(unproven.isNotNull(), "budget")
         .alias("limit_type"),
-        F.coalesce(rejected, unsupported, unknown, unstable).alias("limit_message"),
-        F.when(
-            (kind == "query") & F.col("reject").isNull(),
-            query_shape(F.col("statement"), F.col("masked")),
-        ).alias("shape"),
+        F.coalesce(unreadable, unproven).alias("limit_message"),
+        F.when((kind == "query") & rejected.isNull(), F.col("now.shape")).alias("shape"),
         "change",
     )
 

@@ -21,6 +21,7 @@ from dataproof.plans.findings import (
     report_rows,
     to_runs,
 )
+from dataproof.sources.keep import keep
 
 
 @dataclass(frozen=True)
@@ -54,9 +55,10 @@ class Verification:
 def text_checks(artifacts: DataFrame) -> Check:
     """What the texts alone tell: advisories, rejections and unsupported changes.
 
-    ``artifacts`` has ``path, sql, prev_sql``.
+    ``artifacts`` has ``path, sql, prev_sql``. The texts are read once; what is kept
+    of them are flags and reasons.
     """
-    triaged = triage(artifacts)
+    triaged = keep(triage(artifacts).drop("statement"))
     advised = query_advisories(triaged.select("path", "shape.*"))
     limits = triaged.filter(F.col("limit_type").isNotNull()).select(
         F.col("path").alias("artifact"),
@@ -82,7 +84,8 @@ def scan_checks(queries: DataFrame, scan_findings: DataFrame, ratios: DataFrame)
 def verify_suite(checks: Sequence[Check]) -> Verification:
     """Unites checks into findings, limits and one run per artifact.
 
-    Artifacts come from the checks that declare them (``artifact, type``).
+    Artifacts come from the checks that declare them (``artifact, type``). Findings
+    and limits are computed once and kept, as runs and reports read them again.
     """
     findings = _union([check.findings for check in checks])
     limits = _union([check.limits for check in checks])
@@ -91,6 +94,7 @@ def verify_suite(checks: Sequence[Check]) -> Verification:
         raise ValueError("a suite needs at least one check with artifacts and one with findings")
     if limits is None:
         limits = findings.sparkSession.createDataFrame([], "artifact STRING, type STRING, message STRING")
+    findings, limits = keep(findings), keep(limits)
     return Verification(artifacts, findings, limits, to_runs(artifacts, findings, limits))
 
 
