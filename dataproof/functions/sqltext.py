@@ -8,6 +8,7 @@ recursion.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -56,8 +57,8 @@ def _tokens(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
-def _filled(token: Column, filler: str = " ") -> Column:
-    return F.repeat(F.lit(filler), F.length(token))
+def _filled(token: Column) -> Column:
+    return F.repeat(F.lit(" "), F.length(token))
 
 
 def clean_sql(sql: Column) -> Column:
@@ -76,17 +77,31 @@ def clean_sql(sql: Column) -> Column:
     return F.btrim(F.regexp_replace(trimmed, r";\z", ""), F.lit(_BLANKS))
 
 
-def mask_literals(sql: Column, filler: str = " ") -> Column:
-    """Quoted text overwritten, length kept, so words in it never match."""
+def _without_literals(sql: Column, stand_in: Callable[[Column], Column]) -> Column:
     quoted = "'\"`"
     masked = F.transform(
         _tokens(sql, _MASK_TOKENS),
-        lambda token: F.when(F.instr(F.lit(quoted), F.substring(token, 1, 1)) > 0, _filled(token, filler))
-        .otherwise(token),
+        lambda token: F.when(
+            F.instr(F.lit(quoted), F.substring(token, 1, 1)) > 0, stand_in(token)
+        ).otherwise(token),
     )
     return F.array_join(masked, "")
 
 
+def mask_literals(sql: Column) -> Column:
+    """Quoted text blanked out, length kept, so words in it never match."""
+    return _without_literals(sql, _filled)
+
+
+def drop_literals(sql: Column, mark: str = " ") -> Column:
+    """Quoted text replaced by one character.
+
+    What is left is as short as the statement proper, which keeps all further
+    matching cheap where literals are long.
+    """
+    return _without_literals(sql, lambda _: F.lit(mark))
+
+
 def top_level(masked: Column) -> Column:
     """Text inside parentheses blanked out at any depth, length kept."""
     start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("text"))
@@ -157,21 +172,8 @@ def external_function(masked: Column) -> Column:
     )
 
 
-def reject_reason(sql: Column) -> Column:
-    """Why a text is not one plain query that may be checked, or NULL."""
-    trimmed = F.btrim(sql, F.lit(_BLANKS))
-    return let(
-        F.regexp_replace(trimmed, r";\z", ""),
-        lambda statement: let(
-            mask_literals(statement),
-            lambda masked: let(
-                top_level(masked), lambda top: _rejection(statement, masked, top)
-            ),
-        ),
-    )
-
-
-def _rejection(statement: Column, masked: Column, top: Column) -> Column:
+def reject_reason(statement: Column, masked: Column, top: Column) -> Column:
+    """Why a clean statement is not one plain query that may be checked, or NULL."""
     after_format = F.regexp_extract(top, r"(?is)^.*?\bFORMAT\b(.*)$", 1)
     after_settings = F.regexp_extract(top, r"(?is)^.*?\bSETTINGS\b(.*)$", 1)
     return (

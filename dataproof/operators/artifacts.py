@@ -12,9 +12,9 @@ from dataproof.functions.changetext import alter_class
 from dataproof.functions.sqltext import (
     artifact_kind,
     clean_sql,
+    drop_literals,
     fingerprint,
     glob_to_regex,
-    mask_literals,
     query_shape,
     reject_reason,
     top_level,
@@ -55,7 +55,7 @@ def classify(artifacts: DataFrame) -> DataFrame:
 def _with_layers(statement: Column, body: Callable[[Column, Column], Column]) -> Column:
     """``body(masked, top)`` for a clean statement."""
     return let(
-        mask_literals(statement), lambda masked: let(top_level(masked), lambda top: body(masked, top))
+        drop_literals(statement), lambda masked: let(top_level(masked), lambda top: body(masked, top))
     )
 
 
@@ -65,7 +65,7 @@ def _reasons(statement: Column) -> Column:
         lambda masked, top: F.struct(
             query_shape(statement, masked).alias("shape"),
             unstable_reason(statement, masked, top).alias("unstable_reason"),
-            reject_reason(statement).alias("reject_reason"),
+            reject_reason(statement, masked, top).alias("reject_reason"),
         ),
     )
 

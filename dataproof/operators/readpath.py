@@ -52,12 +52,12 @@ def proof_rows(
     return proofs
 
 
-def assumption_lookup(reads: DataFrame, assumptions: DataFrame) -> DataFrame:
-    """Adds ``unique_by`` by qualified name first and by bare name second."""
+def assumption_lookup(tables: DataFrame, assumptions: DataFrame) -> DataFrame:
+    """Adds ``unique_by`` to rows with a ``table``: by qualified name, else by bare name."""
     exact = assumptions.select("table", F.col("unique_by").alias("exact_key"))
     loose = assumptions.select(F.col("table").alias("bare"), F.col("unique_by").alias("bare_key"))
     return (
-        reads.withColumn("bare", bare_name(F.col("table")))
+        tables.withColumn("bare", bare_name(F.col("table")))
         .join(exact, "table", "left")
         .join(loose, "bare", "left")
         .withColumn("unique_by", F.coalesce("exact_key", "bare_key"))
@@ -71,13 +71,15 @@ def read_path_check(reads: DataFrame, assumptions: DataFrame, proofs: DataFrame)
     ``reads`` has ``query_id, table, uses_final``; tables without a proof are left out
     rather than guessed.
     """
-    trusted = assumption_lookup(
-        reads.filter(~F.col("uses_final")).select("query_id", "table").distinct(), assumptions
-    ).filter(F.size("unique_by") > 0)
-    return judge_trust(trusted.join(proofs, "table"))
+    outcomes = judge_trust(assumption_lookup(proofs, assumptions).filter(F.size("unique_by") > 0))
+    trusting = reads.filter(~F.col("uses_final")).select("query_id", "table").distinct()
+    return trusting.join(outcomes, "table").select(
+        "query_id", "table", "unique_by", "status", "duplicate_rows", "message"
+    )
 
 
-def judge_trust(joined: DataFrame) -> DataFrame:
+def judge_trust(trusted: DataFrame) -> DataFrame:
+    """One outcome per proven and declared table; queries that read it share it."""
     bound = same_key(F.col("unique_by"), F.col("dedup_key"))
     keys = F.array_join("unique_by", ", ")
     dirty = F.col("duplicate_rows") > 0
@@ -107,9 +109,7 @@ def judge_trust(joined: DataFrame) -> DataFrame:
         )
         .otherwise(F.concat("table", F.lit(" is unique by ("), keys, F.lit(").")))
     )
-    others = [name for name in ("query_id",) if name in joined.columns]
-    return joined.select(
-        *others,
+    return trusted.select(
         "table",
         "unique_by",
         status.alias("status"),

@@ -19,20 +19,19 @@ DEFAULT_MAX_ROWS = 200_000_000
 DEFAULT_MAX_BYTES = 50_000_000_000
 
 
-def _partition_column(partition: Column | str | None) -> Column:
-    return as_column(partition) if partition is not None else F.lit("all")
-
-
 def key_copies(df: DataFrame, key: Sequence[str], partition: Column | str | None = None) -> DataFrame:
     """Copies per (partition, key). NULL keys equal each other.
 
     Counting combines on the map side: a key with a third of all rows leaves each
     task as one record.
     """
+    copies = F.count("*").alias("copies")
+    if partition is None:
+        return df.groupBy(*key).agg(copies).select(F.lit("all").alias("partition"), *key, "copies")
     return (
-        df.select(_partition_column(partition).alias("partition"), *key)
+        df.select(as_column(partition).alias("partition"), *key)
         .groupBy("partition", *key)
-        .agg(F.count("*").alias("copies"))
+        .agg(copies)
     )
 
 

@@ -601,6 +601,6 @@ ORACLES["display_numbers"] = """
     u AS (SELECT *, CASE WHEN n < 1024 THEN 0 ELSE least(floor(log2(n) / 10), 5)::INT END AS unit FROM s)
     SELECT o_orderkey, format('{:,}', n) AS count_text,
       CASE WHEN unit = 0 THEN n || ' B'
-        WHEN n / pow(1024, unit) >= 10 THEN printf('%.1f', n / pow(1024, unit)) || ' ' || ['KiB', 'MiB', 'GiB', 'TiB', 'PiB'][unit]
-        ELSE printf('%.2f', n / pow(1024, unit)) || ' ' || ['KiB', 'MiB', 'GiB', 'TiB', 'PiB'][unit] END AS bytes_text
+        WHEN n / pow(1024, unit) >= 10 THEN printf('%.1f', round(n / pow(1024, unit), 1)) || ' ' || ['KiB', 'MiB', 'GiB', 'TiB', 'PiB'][unit]
+        ELSE printf('%.2f', round(n / pow(1024, unit), 2)) || ' ' || ['KiB', 'MiB', 'GiB', 'TiB', 'PiB'][unit] END AS bytes_text
     FROM u"""

@@ -820,8 +820,9 @@ def text_runs(spark, sf_dir):
 
 @query
 def gate_status(spark, sf_dir):
+    suite = _suite(spark, sf_dir)
     gates = [
-        _suite(spark, sf_dir).gate(strict).groupBy("type", "verdict", "failing", "errored")
+        suite.gate(strict).groupBy("type", "verdict", "failing", "errored")
         .agg(F.count("*").alias("artifacts")).withColumn("strict", F.lit(strict))
         for strict in (False, True)
     ]
