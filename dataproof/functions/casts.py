@@ -10,6 +10,11 @@ from pyspark.sql.types import (
     BooleanType,
     DataType,
     DateType,
+    DoubleType,
+    FloatType,
+    FractionalType,
+    IntegralType,
+    LongType,
     MapType,
     NullType,
     NumericType,
@@ -45,6 +50,13 @@ def cast_fails(value: Column, source: DataType, target: DataType | str) -> Colum
         return F.lit(False)
     converted = value.try_cast(wanted)
     lost = converted.isNull()
-    if isinstance(source, _ROUND_TRIPPED) and not isinstance(wanted, (StringType, BinaryType)):
+    if isinstance(source, IntegralType) and isinstance(wanted, FractionalType):
+        # Casting back to the source type would clip 2^31 or 2^63 to its largest value.
+        lost = lost | ~converted.try_cast("bigint").eqNullSafe(value.cast("bigint"))
+        if isinstance(wanted, (FloatType, DoubleType)):
+            lost = lost | (converted >= F.lit(2.0**63))
+    elif isinstance(source, _ROUND_TRIPPED) and not isinstance(wanted, (StringType, BinaryType)):
         lost = lost | ~converted.try_cast(source).eqNullSafe(value)
+        if isinstance(source, (FloatType, DoubleType)) and isinstance(wanted, LongType):
+            lost = lost | (value >= F.lit(2.0**63))
     return value.isNotNull() & lost
