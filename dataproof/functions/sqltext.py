@@ -45,8 +45,9 @@ def _literal(quote: str, backslash: bool) -> str:
 
 
 _STRINGS = f"{_literal(chr(39), True)}|{_literal(chr(34), True)}"
+_BLOCK = r"/\*[^*]*+(?:\*(?!/)[^*]*+)*+(?:\*/|\z)"
 _CLEAN_TOKENS = (
-    rf"(?s){_STRINGS}|{_literal('`', False)}|--[^\n]*+|/\*.*?(?:\*/|\z)|[^'\"`/\-]++|."
+    rf"(?s){_STRINGS}|{_literal('`', False)}|--[^\n]*+|{_BLOCK}|[^'\"`/\-]++|."
 )
 _MASK_TOKENS = rf"(?s){_STRINGS}|{_literal('`', True)}|[^'\"`]++|."
 _PAREN_TOKENS = r"[()]|[^()]++"

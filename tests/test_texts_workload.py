@@ -80,9 +80,7 @@ def test_kinds(spark, one, text, kind):
 def test_pairs(spark, one):
     pair = one(d.classify(artifacts(spark, "SELECT 2;", prev="SELECT 1 -- old")))
     assert (pair["kind"], pair["previous"]) == ("query_pair", "SELECT 1")
-    assert pair["fingerprint"] == hashlib.sha256(b"SELECT 1
----
-SELECT 2").hexdigest()
+    assert pair["fingerprint"] == hashlib.sha256(b"SELECT 1\n---\nSELECT 2").hexdigest()
     assert one(d.classify(artifacts(spark, "ALTER TABLE t DROP COLUMN a", prev="SELECT 1")))["kind"] == "migration"
 
 

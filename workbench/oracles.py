@@ -47,16 +47,17 @@ ORACLES["dup_sample"] = f"""
     SELECT {YEAR} AS partition, {KEY}, count(*) AS copies FROM lineitem
     GROUP BY ALL HAVING count(*) > 1 ORDER BY copies DESC, partition, {KEY} LIMIT 5"""
 ORACLES["scope_partition"] = _proof("true", "(FROM lineitem WHERE year(l_shipdate) = 1996)")
-ORACLES["scan_guard"] = """
-    WITH t AS (SELECT count(*) AS n FROM lineitem), s AS (
+ORACLES["scan_guard"] = f"""
+    WITH t AS (SELECT count(*) AS n, count(DISTINCT {PART}) * 1000000 AS size FROM lineitem), s AS (
       SELECT * FROM (VALUES ('default', 200000000, 50000000000, false), ('rows', 1000, 0, false),
         ('bytes', 0, 1000, false), ('scoped', 1000, 1000, true), ('off', 0, 0, false)
       ) v("case", max_rows, max_bytes, scoped)),
     g AS (
-      SELECT "case", n, ((max_rows > 0 AND n > max_rows) OR (max_bytes > 0 AND 16000000 > max_bytes))
+      SELECT "case", n, size, ((max_rows > 0 AND n > max_rows) OR (max_bytes > 0 AND size > max_bytes))
         AND NOT scoped AS scan_skipped FROM s, t)
-    SELECT "case", scan_skipped, CASE WHEN scan_skipped THEN 'The table has ' || format('{:,}', n)
-      || ' rows in 15.3 MiB, above the budget for a whole-table proof; name one partition or raise the budget.'
+    SELECT "case", scan_skipped, CASE WHEN scan_skipped THEN 'The table has ' || format('{{:,}}', n) || ' rows in '
+      || CASE WHEN size >= 10485760 THEN printf('%.1f', size / 1048576) ELSE printf('%.2f', size / 1048576) END
+      || ' MiB, above the budget for a whole-table proof; name one partition or raise the budget.'
       END AS reason FROM g"""
 ORACLES["largest_partitions"] = f"""
     SELECT {MONTH} AS partition, count(*) AS rows, count(DISTINCT {PART}) * 1000 AS bytes
