@@ -83,7 +83,17 @@ from dataproof.plans.findings import (
     report_rows,
     to_runs,
 )
-from dataproof.plans.suite import Check, verify_sql_pair, verify_suite
+from dataproof.plans.suite import (
+    Check,
+    change_check,
+    dedup_check,
+    equivalence_check,
+    read_path_checks,
+    scan_checks,
+    text_checks,
+    verify_sql_pair,
+    verify_suite,
+)
 from dataproof.sources.runlog import append_run_log, read_run_log
 from dataproof.sources.slices import extract_slice, slice_catalog, write_manifest
 from dataproof.spec import ChangeSpec, TableSpec

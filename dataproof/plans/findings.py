@@ -64,6 +64,11 @@ def _finding(
     ]
 
 
+def _present(*candidates: Column) -> Column:
+    """The candidates that are not NULL, as an array."""
+    return F.filter(F.array(*candidates), lambda candidate: candidate.isNotNull())
+
+
 def no_findings(spark) -> DataFrame:
     return spark.createDataFrame([], FINDING_SCHEMA)
 
@@ -110,7 +115,7 @@ def dedup_finding(proof: DataFrame, artifact: Column | str) -> DataFrame:
     (``read_path_finding``).
     """
     rows, crossing = F.col("duplicate_rows"), F.col("cross_partition_rows")
-    present = proof.filter(rows > 0).select(
+    present = F.struct(
         *_finding(
             artifact, "dedup_duplicates_present", "Duplicate keys are present",
             "error", FAIL, "correctness", "exact", "production_exact",
@@ -126,7 +131,7 @@ def dedup_finding(proof: DataFrame, artifact: Column | str) -> DataFrame:
             True,
         )
     )
-    differs = proof.filter(crossing != 0).select(
+    differs = F.struct(
         *_finding(
             artifact, "dedup_scope_warning", "Duplicates cross partitions",
             "warn", WARN, "correctness", "exact", "production_exact",
@@ -136,7 +141,9 @@ def dedup_finding(proof: DataFrame, artifact: Column | str) -> DataFrame:
             False,
         )
     )
-    return present.unionByName(differs)
+    return proof.select(
+        F.inline(_present(F.when(rows > 0, present), F.when(crossing != 0, differs)))
+    )
 
 
 def dedup_limit(gate: DataFrame, artifact: Column | str) -> DataFrame:
@@ -174,23 +181,22 @@ def read_path_limit(outcomes: DataFrame) -> DataFrame:
 
 def migration_finding(dry_run: DataFrame, artifact: Column | str) -> DataFrame:
     """Findings of ``dry_run_change`` rows: every probe, and the rewrite footprint."""
-    probes = dry_run.select("*", F.explode("correctness").alias("probe"))
-    status = F.col("probe.status")
-    checks = probes.select(
-        *_finding(
-            artifact, F.concat(F.lit("migration_"), "probe.check"), F.col("probe.check"),
-            F.when(status == "error", "error").when(status == "ok", "info").otherwise("warn"),
-            F.when(status == "error", FAIL).otherwise(PASS), "migration",
-            F.when(status == "unknown", "advisory").otherwise("bounded"),
-            "production_bounded_probe", F.col("probe.message"),
-            _evidence(check=F.col("probe.check")), None, status == "error",
+    def judged(probe: Column) -> Column:
+        status = probe["status"]
+        return F.struct(
+            *_finding(
+                artifact, F.concat(F.lit("migration_"), probe["check"]), probe["check"],
+                F.when(status == "error", "error").when(status == "ok", "info").otherwise("warn"),
+                F.when(status == "error", FAIL).otherwise(PASS), "migration",
+                F.when(status == "unknown", "advisory").otherwise("bounded"),
+                "production_bounded_probe", probe["message"],
+                _evidence(check=probe["check"]), None, status == "error",
+            )
         )
-    )
+
     parts, size = F.col("affected_parts"), F.col("affected_bytes")
-    touched = dry_run.filter(
-        (F.col("classification") != "unsupported") & (F.col("evidence") != "none") & (parts > 0)
-    )
-    footprint = touched.select(
+    touched = (F.col("classification") != "unsupported") & (F.col("evidence") != "none") & (parts > 0)
+    footprint = F.struct(
         *_finding(
             artifact, "migration_rewrite_footprint", "The change may rewrite stored data",
             "warn", WARN, "migration", "metadata", "metadata_only",
@@ -207,7 +213,9 @@ def migration_finding(dry_run: DataFrame, artifact: Column | str) -> DataFrame:
             False,
         )
     )
-    return checks.unionByName(footprint)
+    return dry_run.select(
+        F.inline(F.concat(F.transform("correctness", judged), _present(F.when(touched, footprint))))
+    )
 
 
 def migration_limit(dry_run: DataFrame, artifact: Column | str) -> DataFrame:
@@ -331,9 +339,14 @@ def to_runs(
     """One run per artifact (``artifact, type``), also for those nothing was found on.
 
     Run verdicts follow the kind of artifact: a query with a missing proof warns, a
-    pair or a table without proof is indeterminate, unknown texts always are.
+    pair or a table without proof is indeterminate, unknown texts always are. The
+    confidence says what the verdict rests on.
     """
-    verdicts = aggregate_verdict(findings, None)
+    flags = findings.groupBy("artifact").agg(
+        F.bool_or(F.col("strategy").isin("production_explain", "static_parse")).alias("diagnosed"),
+        F.bool_or(F.col("strategy") == "production_bounded_probe").alias("probed"),
+    )
+    verdicts = aggregate_verdict(findings).join(flags, "artifact")
     runs = artifacts.join(verdicts, "artifact", "left").withColumn(
         "verdict", F.coalesce("verdict", F.lit(PASS))
     )
@@ -345,19 +358,26 @@ def to_runs(
         )
     else:
         runs = runs.withColumn("budget", F.lit(None).cast("boolean"))
-    limited = F.col("budget").isNotNull()
+    kind, limited = F.col("type"), F.col("budget").isNotNull()
     warned = F.when(F.col("verdict") == PASS, WARN).otherwise(F.col("verdict"))
     verdict = (
-        F.when(F.col("type").isin("unknown", "error"), INDETERMINATE)
-        .when((F.col("type") == "query") & F.coalesce("budget", F.lit(False)), warned)
-        .when((F.col("type") != "query") & limited, INDETERMINATE)
+        F.when(kind.isin("unknown", "error"), INDETERMINATE)
+        .when((kind == "query") & F.coalesce("budget", F.lit(False)), warned)
+        .when((kind != "query") & limited, INDETERMINATE)
         .otherwise(F.col("verdict"))
     )
     severity = (
         F.when(F.col("verdict") == FAIL, "error").when(F.col("verdict") == PASS, "none").otherwise("warn")
     )
+    confidence = (
+        F.when(F.col("verdict") == INDETERMINATE, "advisory")
+        .when((kind == "query") & F.coalesce("diagnosed", F.lit(False)), "explain")
+        .when((kind == "migration") & F.coalesce("probed", F.lit(False)), "bounded")
+        .when(kind.isin("query", "migration"), "metadata")
+        .otherwise("exact")
+    )
     return runs.withColumn("verdict", verdict).select(
-        *artifacts.columns, "verdict", severity.alias("severity")
+        *artifacts.columns, "verdict", severity.alias("severity"), confidence.alias("confidence")
     )
 
 

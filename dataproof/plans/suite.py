@@ -5,23 +5,42 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dataproof.operators.artifacts import query_advisories, triage
+from dataproof.operators.changes import dry_run_change
+from dataproof.operators.profile import parts_summary
 from dataproof.operators.pruning import no_scan_evidence
 from dataproof.operators.readpath import read_path_check
 from dataproof.operators.rowdiff import verify_equivalent
+from dataproof.operators.uniqueness import (
+    DEFAULT_MAX_BYTES,
+    DEFAULT_MAX_ROWS,
+    dedup_eligibility,
+    duplicate_proof,
+    ineligible_reason,
+    scan_guard,
+    scope_partition,
+)
 from dataproof.plans.findings import (
+    dedup_finding,
+    dedup_limit,
     diagnosis_finding,
+    equivalence_finding,
+    equivalence_limit,
     exit_code,
     gate_status,
+    migration_finding,
+    migration_limit,
     read_path_finding,
     read_path_limit,
     report_rows,
+    run_rows,
     to_runs,
 )
 from dataproof.sources.keep import keep
+from dataproof.spec import ChangeSpec, TableSpec
 
 
 @dataclass(frozen=True)
@@ -69,6 +88,57 @@ def text_checks(artifacts: DataFrame) -> Check:
     return Check(diagnosis_finding(advised), limits, rows)
 
 
+def dedup_check(
+    df: DataFrame,
+    spec: TableSpec,
+    partition: object = None,
+    max_rows: int = DEFAULT_MAX_ROWS,
+    max_bytes: int = DEFAULT_MAX_BYTES,
+    size: Column | str | None = None,
+) -> Check:
+    """The duplicate proof of one table, or the reason why there is none.
+
+    A table beyond the budget is not read unless one partition is named; its size
+    comes from a count of rows per stored part.
+    """
+    artifacts = run_rows(df.sparkSession, [(spec.name, "table_assumption")])
+    if ineligible_reason(spec, df.columns):
+        return Check(None, dedup_limit(dedup_eligibility(spec, df), spec.name), artifacts)
+    if partition is not None:
+        scoped = scope_partition(df, spec.partition, partition)
+        return Check(dedup_finding(duplicate_proof(scoped, spec.dedup_key), spec.name), None, artifacts)
+    if max_rows > 0 or max_bytes > 0:
+        guard = keep(scan_guard(parts_summary(df, None, spec.part, size), max_rows, max_bytes))
+        if guard.first()["scan_skipped"]:
+            return Check(None, dedup_limit(guard, spec.name), artifacts)
+    proof = duplicate_proof(df, spec.dedup_key, spec.partition)
+    return Check(dedup_finding(proof, spec.name), None, artifacts)
+
+
+def equivalence_check(
+    left: DataFrame, right: DataFrame, artifact: str, round_to: int | None = None, max_rows: int | None = None
+) -> Check:
+    """The comparison of two queries."""
+    result = keep(verify_equivalent(left, right, round_to, max_rows))
+    return Check(
+        equivalence_finding(result, artifact),
+        equivalence_limit(result, artifact),
+        run_rows(left.sparkSession, [(artifact, "query_pair")]),
+    )
+
+
+def change_check(
+    df: DataFrame, spec: TableSpec, change: ChangeSpec, artifact: str, size: Column | str | None = None
+) -> Check:
+    """The dry run of one change."""
+    result = dry_run_change(df, spec, change, size)
+    return Check(
+        migration_finding(result, artifact),
+        migration_limit(result, artifact),
+        run_rows(df.sparkSession, [(artifact, "migration")]),
+    )
+
+
 def read_path_checks(reads: DataFrame, assumptions: DataFrame, proofs: DataFrame) -> Check:
     outcomes = read_path_check(reads, assumptions, proofs)
     return Check(read_path_finding(outcomes), read_path_limit(outcomes))

@@ -52,7 +52,7 @@ def test_slice_round_trip(spark, source, one, rows, tmp_path):
     with pytest.raises(Exception, match="exist"):
         d.extract_slice(source, SPEC, "202606", path)
 
-    other = d.slice_proof(d.scope_partition(source, "month", "202606"), copy.limit(2).distinct(), ["version"])
+    other = d.slice_proof(d.scope_partition(source, "month", "202606"), copy.dropDuplicates(["version"]), ["version"])
     assert not one(other)["matched"]
 
     (tmp_path / "slice-bad").mkdir()
@@ -193,3 +193,26 @@ def test_bytes(spark, one, value, text):
 def test_counts(spark, one):
     df = spark.createDataFrame([(184203991,)], "v BIGINT")
     assert one(df.select(format_count(F.col("v")).alias("t")))["t"] == "184,203,991"
+
+
+def test_checks_make_one_suite(spark, source, rows):
+    versioned = d.TableSpec("db.events", ("id",), partition="month", part="month")
+    change = d.ChangeSpec("db.events", "modify_column", "version", "string")
+    suite = d.verify_suite([
+        d.dedup_check(source, versioned),
+        d.dedup_check(source, d.TableSpec("db.big", ("id",), part="month"), max_rows=3),
+        d.dedup_check(source, d.TableSpec("db.month", ("id",), partition="month"), "202607"),
+        d.dedup_check(source, d.TableSpec("db.none")),
+        d.equivalence_check(source, source, "same.sql"),
+        d.equivalence_check(source, source.limit(1), "limit.sql"),
+        d.change_check(source, versioned, change, "change.sql"),
+        d.change_check(source, versioned, d.ChangeSpec("db.events", "drop_column", "version"), "drop.sql"),
+    ])
+    runs = {row["artifact"]: (row["verdict"], row["severity"], row["confidence"]) for row in rows(suite.runs)}
+    assert runs == {
+        "db.events": ("fail", "error", "exact"), "db.big": ("indeterminate", "warn", "advisory"),
+        "db.month": ("pass", "none", "exact"), "db.none": ("indeterminate", "warn", "advisory"),
+        "same.sql": ("pass", "none", "exact"), "limit.sql": ("indeterminate", "warn", "advisory"),
+        "change.sql": ("warn", "warn", "bounded"), "drop.sql": ("pass", "none", "metadata"),
+    }
+    assert suite.exit_code().first()["exit_code"] == 1

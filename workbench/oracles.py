@@ -87,9 +87,11 @@ ORACLES["dedup_eligibility"] = f"""
     WITH p AS ({_LINE_PROOF})
     SELECT 'db.lineitem' AS artifact, 'table_assumption' AS type,
       CASE WHEN duplicate_rows > 0 THEN 'fail' WHEN cross_partition_rows <> 0 THEN 'warn' ELSE 'pass' END AS verdict,
-      CASE WHEN duplicate_rows > 0 THEN 'error' WHEN cross_partition_rows <> 0 THEN 'warn' ELSE 'none' END AS severity
+      CASE WHEN duplicate_rows > 0 THEN 'error' WHEN cross_partition_rows <> 0 THEN 'warn' ELSE 'none' END AS severity,
+      'exact' AS confidence
     FROM p
-    UNION ALL SELECT 'db.' || name, 'table_assumption', verdict, severity FROM (VALUES
+    UNION ALL SELECT 'db.' || name, 'table_assumption', verdict, severity,
+      CASE verdict WHEN 'indeterminate' THEN 'advisory' ELSE 'exact' END FROM (VALUES
       ('orders', 'pass', 'none'), ('events', 'pass', 'none'), ('customer', 'indeterminate', 'warn'),
       ('part', 'indeterminate', 'warn'), ('nation', 'indeterminate', 'warn')) v(name, verdict, severity)"""
 
