@@ -12,7 +12,8 @@ _CLOCK_EXPRESSIONS = {
     "CurrentDate", "CurrentTime", "CurrentTimestamp", "LocalTimestamp", "Now",
 }
 _SUBQUERIES = {"Exists", "LateralSubquery", "ListQuery", "ScalarSubquery"}
-_PASS_THROUGH = {"GlobalLimit", "LocalLimit", "Project", "SubqueryAlias", "View", "WithCTE"}
+_LIMITS = {"GlobalLimit", "Offset", "Tail"}
+_PASS_THROUGH = {"LocalLimit", "Project", "SubqueryAlias", "View"}
 
 
 def _items(seq) -> Iterator:
@@ -58,21 +59,19 @@ def _random_function(plan) -> str:
     return "an unstable function"
 
 
-def _arbitrary_rows(plan) -> bool:
-    limited = False
-    node = plan
-    while True:
-        kind = _kind(node)
-        limited = limited or kind in {"GlobalLimit", "Offset"}
-        if kind not in _PASS_THROUGH and kind != "Offset":
-            return limited and kind != "Sort"
-        children = list(_items(node.children()))
-        if kind == "WithCTE":
-            node = node.plan()
-        elif len(children) == 1:
-            node = children[0]
-        else:
-            return limited
+def _arbitrary_rows(plan, limited: bool = False) -> bool:
+    """Does a limit at the top of the plan, or of a united side, pick rows without an order?"""
+    kind = _kind(plan)
+    limited = limited or kind in _LIMITS
+    if kind == "Sort":
+        return False
+    if kind == "Union":
+        return limited or any(_arbitrary_rows(side) for side in _items(plan.children()))
+    if kind == "WithCTE":
+        return _arbitrary_rows(plan.plan(), limited)
+    if kind in _PASS_THROUGH or kind in _LIMITS:
+        return _arbitrary_rows(plan.children().apply(0), limited)
+    return limited
 
 
 def stability_gate(*frames: DataFrame) -> str | None:

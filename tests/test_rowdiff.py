@@ -52,6 +52,7 @@ def test_renamed_columns_are_incorrect(numbers, one):
         (lambda df: df.filter(F.now().isNotNull()), "now"),
         (lambda df: df.limit(2), "LIMIT"),
         (lambda df: df.offset(1).select("a"), "LIMIT"),
+        (lambda df: df.union(df.limit(1)), "LIMIT"),
         (lambda df: df.sample(0.5), "sample"),
     ],
 )
@@ -67,6 +68,7 @@ def test_stable_sides_pass_the_gate(spark, numbers):
         numbers.filter("cast(a AS string) <> 'rand('"),
         spark.sql("SELECT a FROM gate_numbers ORDER BY a LIMIT 1"),
         numbers.orderBy("a").limit(2).select((F.col("a") + 1).alias("a")),
+        numbers.union(numbers.orderBy("a").limit(1)),
     ]
     assert d.stability_gate(*stable) is None
     assert "now" in d.stability_gate(spark.sql("SELECT a FROM gate_numbers WHERE a < (SELECT unix_timestamp(now()))"))
