@@ -62,20 +62,29 @@ def parts_summary(
 
 
 def summarize_units(units: DataFrame) -> DataFrame:
-    parts = units.groupBy("part").agg(F.sum("rows").alias("rows"), F.max("bytes").alias("bytes"))
-    totals = parts.agg(
-        F.count("*").alias("active_parts"),
+    """Totals over ``part_units``: each unit counts once as a part and once as a partition.
+
+    Both counts come from one grouping of the few units; grouping them separately
+    would read the table once for each.
+    """
+    as_part = F.struct(
+        F.lit("part").alias("kind"), F.col("part").cast("string").alias("value"), "rows", "bytes"
+    )
+    as_partition = F.struct(
+        F.lit("partition").alias("kind"), F.col("partition").cast("string").alias("value"),
+        F.lit(0).cast("bigint").alias("rows"), F.lit(None).cast("bigint").alias("bytes"),
+    )
+    distinct = (
+        units.select(F.inline(F.array(as_part, as_partition)))
+        .groupBy("kind", "value")
+        .agg(F.sum("rows").alias("rows"), F.max("bytes").alias("bytes"))
+    )
+    return distinct.agg(
+        F.count_if(F.col("kind") == "part").alias("active_parts"),
         F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"),
         F.sum("bytes").alias("bytes"),
-        F.lit(None).cast("bigint").alias("partitions"),
+        F.count_if(F.col("kind") == "partition").alias("partitions"),
     )
-    partitions = units.select("partition").distinct().agg(F.count("*").alias("partitions"))
-    empty = F.lit(None).cast("bigint")
-    return totals.unionByName(
-        partitions.select(
-            empty.alias("active_parts"), empty.alias("rows"), empty.alias("bytes"), "partitions"
-        )
-    ).agg(*[F.max(name).alias(name) for name in ("active_parts", "rows", "bytes", "partitions")])
 
 
 def partition_stats(

@@ -120,72 +120,84 @@ def scan_ratio(
     )
 
 
-def _everything(selected: Column, total: Column) -> Column:
-    return (total > 0) & (selected == total)
+def _pruning_per_table(ratios: DataFrame) -> DataFrame:
+    """What each level selects, one row per table."""
+    everything = (F.col("total") > 0) & (F.col("selected") == F.col("total"))
+    unpruned = ~F.col("has_condition") & (F.col("total") > 1) & everything
 
+    def at(level: str, value: Column) -> Column:
+        return F.max(F.when(F.col("level") == level, value))
 
-def full_scan(ratios: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Tables whose filter selects every part, high from 10M rows or 1 GiB or unknown size.
-
-    ``sizes`` has ``table, rows, bytes``; a table without a row there counts as large.
-    """
-    base, final = F.col("level") == "partition", F.col("level") == "key"
-    whole = ratios.groupBy("table").agg(
-        F.bool_and(_everything(F.col("selected"), F.col("total"))).alias("everything"),
-        F.max(F.when(base, F.col("total"))).alias("parts"),
-        F.max(F.when(final, F.col("selected_rows"))).alias("scanned_rows"),
-    )
-    small = (F.col("rows") < FULL_SCAN_ROWS) & (F.coalesce("bytes", F.lit(0)) < FULL_SCAN_BYTES)
-    return (
-        whole.filter("everything")
-        .join(sizes.select("table", "rows", "bytes"), "table", "left")
-        .select(
-            "table",
-            F.lit("full-scan").alias("code"),
-            F.when(F.coalesce(small, F.lit(False)), "medium").otherwise("high").alias("severity"),
-            F.lit("proven").alias("confidence"),
-            F.concat(F.col("table"), F.lit(" is read in full.")).alias("message"),
-            F.concat(F.lit("parts "), "parts", F.lit("/"), "parts").alias("evidence"),
-        )
+    return ratios.groupBy("table").agg(
+        F.bool_and(everything).alias("everything"),
+        at("partition", F.col("total")).alias("partition_total"),
+        at("key", F.col("total")).alias("key_total"),
+        at("partition", unpruned).alias("partition_unpruned"),
+        at("key", unpruned).alias("key_unpruned"),
     )
 
 
-def _missing_pruning(ratios: DataFrame, level: str, code: str, text: str) -> DataFrame:
-    unpruned = (
-        (F.col("level") == level)
-        & ~F.col("has_condition")
-        & (F.col("total") > 1)
-        & (F.col("selected") == F.col("total"))
-    )
-    return ratios.filter(unpruned).select(
-        "table",
+def _note(code: str, severity: Column | str, text: str, parts: str) -> Column:
+    return F.struct(
         F.lit(code).alias("code"),
-        F.lit("medium").alias("severity"),
+        (severity if isinstance(severity, Column) else F.lit(severity)).alias("severity"),
         F.lit("proven").alias("confidence"),
-        F.concat(F.col("table"), F.lit(text)).alias("message"),
-        F.concat(F.lit("parts "), "selected", F.lit("/"), "total").alias("evidence"),
+        F.concat("table", F.lit(text)).alias("message"),
+        F.concat(F.lit("parts "), parts, F.lit("/"), parts).alias("evidence"),
+    )
+
+
+def _full_scan_note() -> Column:
+    small = (F.col("rows") < FULL_SCAN_ROWS) & (F.coalesce("bytes", F.lit(0)) < FULL_SCAN_BYTES)
+    severity = F.when(F.coalesce(small, F.lit(False)), "medium").otherwise("high")
+    return F.when(
+        F.col("everything"), _note("full-scan", severity, " is read in full.", "partition_total")
     )
 
 
+def _missing_partition_note() -> Column:
+    text = " is filtered by no partition condition."
+    note = _note("missing-partition-pruning", "medium", text, "partition_total")
+    return F.when(F.col("partition_unpruned"), note)
+
+
+def _missing_key_note() -> Column:
+    text = " is filtered by no sort-key condition."
+    note = _note("missing-primary-key-pruning", "medium", text, "key_total")
+    return F.when(F.col("key_unpruned"), note)
+
+
+def _notes(tables: DataFrame, *candidates: Column) -> DataFrame:
+    found = F.filter(F.array(*candidates), lambda note: note.isNotNull())
+    return tables.select("table", F.inline(found))
+
+
+def _with_sizes(tables: DataFrame, sizes: DataFrame) -> DataFrame:
+    return tables.join(sizes.select("table", "rows", "bytes"), "table", "left")
+
+
+def full_scan(ratios: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Tables whose filter selects every part, high from 10M rows or 1 GiB or unknown size.
+
+    ``sizes`` has ``table, rows, bytes``; a table without a row there counts as large.
+    """
+    return _notes(_with_sizes(_pruning_per_table(ratios), sizes), _full_scan_note())
+
+
 def missing_partition_pruning(ratios: DataFrame) -> DataFrame:
     """Tables of several parts read without a condition on the partition."""
-    return _missing_pruning(
-        ratios, "partition", "missing-partition-pruning", " is filtered by no partition condition."
-    )
+    return _notes(_pruning_per_table(ratios), _missing_partition_note())
 
 
 def missing_key_pruning(ratios: DataFrame) -> DataFrame:
     """Tables of several parts read without a condition on the sort key."""
-    return _missing_pruning(
-        ratios, "key", "missing-primary-key-pruning", " is filtered by no sort-key condition."
-    )
+    return _notes(_pruning_per_table(ratios), _missing_key_note())
 
 
 def scan_findings(ratios: DataFrame, sizes: DataFrame) -> DataFrame:
-    """All findings of the three rules above."""
-    return full_scan(ratios, sizes).unionByName(missing_partition_pruning(ratios)).unionByName(
-        missing_key_pruning(ratios)
-    )
+    """All findings of the three rules above, from one pass over the ratios."""
+    tables = _with_sizes(_pruning_per_table(ratios), sizes)
+    return _notes(tables, _full_scan_note(), _missing_partition_note(), _missing_key_note())
 
 
 def layout_table(spark, specs: Sequence[TableSpec]) -> DataFrame:

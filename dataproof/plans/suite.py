@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from dataproof.operators.artifacts import query_advisories, triage
 from dataproof.operators.changes import dry_run_change
 from dataproof.operators.profile import parts_summary
-from dataproof.operators.pruning import no_scan_evidence
+from dataproof.operators.pruning import no_scan_evidence, scan_findings
 from dataproof.operators.readpath import read_path_check
 from dataproof.operators.rowdiff import verify_equivalent
 from dataproof.operators.uniqueness import (
@@ -144,10 +144,14 @@ def read_path_checks(reads: DataFrame, assumptions: DataFrame, proofs: DataFrame
     return Check(read_path_finding(outcomes), read_path_limit(outcomes))
 
 
-def scan_checks(queries: DataFrame, scan_findings: DataFrame, ratios: DataFrame) -> Check:
-    """Pruning findings per table, given to each query (``path, table``) that reads it."""
-    notes = queries.join(scan_findings, "table").drop("table")
-    missing = no_scan_evidence(queries, ratios).drop("table")
+def scan_checks(queries: DataFrame, ratios: DataFrame, sizes: DataFrame) -> Check:
+    """Pruning findings per table, given to each query (``path, table``) that reads it.
+
+    The ratios hold two rows per table and are kept, so the tables are read once.
+    """
+    known = keep(ratios)
+    notes = queries.join(scan_findings(known, keep(sizes)), "table").drop("table")
+    missing = no_scan_evidence(queries, known).drop("table")
     return Check(diagnosis_finding(notes).unionByName(diagnosis_finding(missing)))
 
 

@@ -188,3 +188,22 @@ def test_parts_of_nulls_match_no_range(spark, rows):
     df = spark.createDataFrame([(None, "p1"), (5, "p2")], "k INT, p STRING")
     ratio = d.scan_ratio(d.part_stats(df, ["k"], None, "p"), "t", ranges=[d.Range("k", None, None)])
     assert {row["level"]: row["selected"] for row in rows(ratio)} == {"partition": 2, "key": 1}
+
+
+def test_each_table_is_read_once(spark, sf_dir):
+    """Summaries, findings and samples do not scan their table again for each figure."""
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    stats = d.part_stats(items, ["l_suppkey"], "year(l_shipdate)", "l_suppkey % 16")
+    sizes = spark.createDataFrame([("t", 1, 1)], "table STRING, rows BIGINT, bytes BIGINT")
+    single = [
+        d.parts_summary(items, "year(l_shipdate)"),
+        d.scan_findings(d.scan_ratio(stats, "t"), sizes),
+        d.duplicate_proof(items, ["l_orderkey"], "year(l_shipdate)"),
+        d.blast_radius(items, "l_tax > 0.05"),
+        d.dry_run_change(
+            items, d.TableSpec("t", ("l_orderkey",)), on_error="raise",
+            change=d.ChangeSpec("t", "update", predicate="l_tax > 0", assignments={"l_tax": "l_tax / 3", "l_suppkey": "1.5"}),
+        ),
+    ]
+    for df in single:
+        assert df._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1

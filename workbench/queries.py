@@ -782,7 +782,7 @@ def _suite(spark, sf_dir) -> Verification:
     return d.verify_suite([
         text_checks(data.artifacts(spark, sf_dir)),
         logged,
-        scan_checks(queries, d.scan_findings(ratios, sizes), ratios),
+        scan_checks(queries, ratios, sizes),
         read_path_checks(reads, data.assumptions(spark), _proofs(spark, sf_dir)),
         migration,
     ])
