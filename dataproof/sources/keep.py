@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 
+from dataproof.sources.shared import shared_folder
+
 
 def keep(df: DataFrame) -> DataFrame:
     """Compute once, store durably, cut the lineage.
 
     The rows go to the checkpoint folder the cluster names, so they outlive a lost
-    executor. Only where no folder is named (tests) is a temporary one used.
+    executor. A cluster that names no folder is refused; see ``shared_folder``.
     """
     spark = df.sparkSession
     context = spark.sparkContext
+    folder = shared_folder(spark)
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="dataproof-")
-        )
+        context.setCheckpointDir(folder)
     return df.checkpoint()
