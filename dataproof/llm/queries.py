@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dataproof.llm.bpe import bpe_round_trip
+from dataproof.llm.length_histogram import encoded_lengths, length_histogram
 from dataproof.llm.line_rules import line_rules
 from dataproof.llm.oracles import ORACLES
+from dataproof.llm.token_files import read_token_files, write_token_files
+from dataproof.sources.shared import new_folder
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -32,3 +37,30 @@ def op8_quality_rules(spark, sf_dir):
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         "n_lines", "n_lines_kept", "kept_chars",
     )
+
+
+@query
+def op2_token_files(spark, sf_dir):
+    """Where every document lies in the token files, and a checksum of its ids as read back."""
+    folder = new_folder(spark, "token-files")
+    write_token_files(
+        table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"), end_id=2
+    )
+    return read_token_files(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op4_bpe(spark, sf_dir):
+    """Digests of every document's ids and of what they decode to."""
+    found = bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return found.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+@query
+def op9_token_counts(spark, sf_dir):
+    """The histogram of encoded lengths with its suffix sums, over all documents."""
+    lengths = encoded_lengths(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return length_histogram(lengths)
