@@ -23,7 +23,8 @@ def encoded_lengths(df: DataFrame, tokenizer: str, text_col: str = "text") -> Da
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
                 texts = batch.column(0).slice(at, TEXTS_AT_ONCE).to_pylist()
-                yield pa.RecordBatch.from_pydict({"length": [len(ids) // 4 for ids in encoder.encode(texts)]})
+                counted = pa.array([len(ids) // 4 for ids in encoder.encode(texts)], pa.int64())
+                yield pa.RecordBatch.from_arrays([counted], names=["length"])
 
     return df.select(df[text_col].alias("text")).mapInArrow(lengths, "length long")
 
@@ -33,7 +34,7 @@ def length_histogram(lengths: DataFrame, length_col: str = "length") -> DataFram
 
     ``length``, ``n_docs`` and ``n_tokens`` at this length; ``docs_at_least`` and ``tokens_at_least``
     from this length on; ``docs_up_to`` (a quantile's rank); ``truncated_tokens``: what remains of all
-    documents if each is cut at this length. NULL lengths count as 0. An empty table gives no rows.
+    documents if each is cut at this length; ``all_docs``. NULL lengths count as 0. An empty table gives no rows.
 
     Documents are counted where they lie and only counts are shuffled, at most one for each length
     and task. Suffix sums are taken within blocks of lengths and between blocks, so no task sees
@@ -67,32 +68,33 @@ def length_histogram(lengths: DataFrame, length_col: str = "length") -> DataFram
             (F.col("all_docs") - F.col("docs_at_least") + F.col("n_docs")).alias("docs_up_to"),
             (F.col("all_tokens") - F.col("tokens_at_least") + F.col("length") * F.col("docs_at_least"))
             .alias("truncated_tokens"),
+            "all_docs",
         )
     )
 
 
 def totals_at(histogram: DataFrame, limits: list[int]) -> DataFrame:
     """For each context limit: documents cut, tokens kept, and all tokens, from the histogram alone."""
-    spark = histogram.sparkSession
-    wanted = spark.createDataFrame([(limit,) for limit in limits], "context_limit long")
-    longer = F.col("length") > F.col("context_limit")
-    # A stated list of limits against the distinct lengths, summed on the map side.
-    return (
-        histogram.crossJoin(F.broadcast(wanted)).groupBy("context_limit").agg(
-            F.sum(F.when(longer, F.col("n_docs")).otherwise(0)).alias("docs_cut"),
-            F.sum(F.least("length", "context_limit") * F.col("n_docs")).alias("tokens_kept"),
-            F.sum("n_tokens").alias("tokens"),
+    length, n_docs = F.col("length"), F.col("n_docs")
+    sums = [
+        F.struct(
+            F.lit(limit).cast("long").alias("context_limit"),
+            F.coalesce(F.sum(F.when(length > limit, n_docs)), F.lit(0)).alias("docs_cut"),
+            F.coalesce(F.sum(F.least(length, F.lit(limit)) * n_docs), F.lit(0)).alias("tokens_kept"),
+            F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens"),
         )
-    )
+        for limit in limits
+    ]
+    return histogram.agg(F.array(*sums).alias("sums")).select(F.inline("sums"))
 
 
 def quantiles(histogram: DataFrame, shares: list[float]) -> DataFrame:
-    """The shortest length that at least each share of the documents does not exceed."""
-    wanted = histogram.sparkSession.createDataFrame([(share,) for share in shares], "share double")
-    total = histogram.agg(F.sum("n_docs").alias("total"))
-    rank = F.greatest(F.ceil(F.col("share") * F.col("total")), F.lit(1))
-    goals = wanted.join(F.broadcast(total)).select("share", rank.alias("rank"))
-    return (
-        histogram.join(F.broadcast(goals), F.col("docs_up_to") >= F.col("rank"))
-        .groupBy("share").agg(F.min("length").alias("length"))
-    )
+    """The shortest length that at least each share of the documents does not exceed; NULL without documents."""
+    found = [
+        F.struct(
+            F.lit(share).alias("share"),
+            F.min(F.when(F.col("docs_up_to") >= F.ceil(F.lit(share) * F.col("all_docs")), F.col("length"))).alias("length"),
+        )
+        for share in shares
+    ]
+    return histogram.agg(F.array(*found).alias("found")).select(F.inline("found"))

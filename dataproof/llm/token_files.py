@@ -94,7 +94,7 @@ def write_token_files(
         df.select(df[id_col].cast("long").alias("id"), df[text_col].alias("text"))
         .repartitionByRange(F.col("id").asc_nulls_first(), F.xxhash64("text"))
         .sortWithinPartitions(*order)
-        .mapInArrow(write, "part int, documents long, ids long, null_ids long")
+        .mapInArrow(write, "part long, documents long, ids long, null_ids long")
         .collect()
     )
     parts = sorted((row.asDict() for row in parts), key=lambda part: part["part"])
