@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dataproof.llm.bpe import bpe_round_trip
+from dataproof.llm.decontamination import contaminated
 from dataproof.llm.length_histogram import encoded_lengths, length_histogram
 from dataproof.llm.line_rules import line_rules
 from dataproof.llm.oracles import ORACLES
+from dataproof.llm.parity_join import parity_join
 from dataproof.llm.token_files import read_token_files, write_token_files
 from dataproof.sources.shared import new_folder
 
@@ -64,3 +66,15 @@ def op9_token_counts(spark, sf_dir):
     """The histogram of encoded lengths with its suffix sums, over all documents."""
     lengths = encoded_lengths(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return length_histogram(lengths)
+
+
+@query
+def op1_decontamination(spark, sf_dir):
+    """Every document and benchmark item that overlap, with where and how much."""
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op6_ngram_jaccard(spark, sf_dir):
+    """The component of every document under links of similar shingle sets."""
+    return parity_join(table(spark, sf_dir, "documents"))
