@@ -14,6 +14,7 @@ from dataproof.llm.length_histogram import encoded_lengths, length_histogram
 from dataproof.llm.line_rules import line_rules
 from dataproof.llm.oracles import ORACLES
 from dataproof.llm.parity_join import parity_join
+from dataproof.llm.subword_classifier import fit, held_out, scored
 from dataproof.llm.token_files import read_token_files, write_token_files
 from dataproof.sources.shared import new_folder
 
@@ -78,3 +79,17 @@ def op1_decontamination(spark, sf_dir):
 def op6_ngram_jaccard(spark, sf_dir):
     """The component of every document under links of similar shingle sets."""
     return parity_join(table(spark, sf_dir, "documents"))
+
+
+#: From this score on a document counts as good.
+GOOD = 0.3
+
+
+@query
+def op5_quality_classifier(spark, sf_dir):
+    """The quality score of every document, from a model of the labels that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs, table(spark, sf_dir, "labels"))
+    return scored(docs, model, keep=["doc_id"]).select(
+        "doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted")
+    )
