@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from dataproof.llm.bpe import bpe_round_trip
 from dataproof.llm.decontamination import contaminated
+from dataproof.llm.lattice_lm import lattice_scores
 from dataproof.llm.length_histogram import encoded_lengths, length_histogram
 from dataproof.llm.line_rules import line_rules
 from dataproof.llm.oracles import ORACLES
@@ -93,3 +94,9 @@ def op5_quality_classifier(spark, sf_dir):
     return scored(docs, model, keep=["doc_id"]).select(
         "doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted")
     )
+
+
+@query
+def op7_lattice_lm(spark, sf_dir):
+    """The log probability of every document over all segmentations, and its smoothed word score."""
+    return lattice_scores(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))

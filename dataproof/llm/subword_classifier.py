@@ -23,7 +23,8 @@ DIMENSIONS = 16
 CHARACTER_RUNS = (3, 4)
 #: Labelled documents of each class that the model is fitted on, at most. A bound of the fit alone.
 SAMPLE_EACH = 800
-EPOCHS = 5
+#: Steps of gradient descent, one document each.
+STEPS = 8000
 RATE = 4.0
 
 
@@ -95,7 +96,7 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return buckets, counts / max(1, counts.sum())
 
 
-def train(examples: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS, rate: float = RATE, seed: int = 7) -> Model:
+def train(examples: list[tuple[np.ndarray, np.ndarray, int]], steps: int = STEPS, rate: float = RATE, seed: int = 7) -> Model:
     """Stochastic gradient descent over (buckets, shares, class); the rate falls to 0 in a line.
 
     Every vector of a document moves by the gradient of the average, so that rare n-grams learn as
@@ -104,9 +105,9 @@ def train(examples: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOC
     draw = np.random.default_rng(seed)
     vectors = draw.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (BUCKETS, DIMENSIONS))
     weights, bias = np.zeros((2, DIMENSIONS)), np.zeros(2)
-    steps, done = max(1, epochs * len(examples)), 0
-    for _ in range(epochs):
-        for number in draw.permutation(len(examples)):
+    done = 0
+    while done < steps and examples:
+        for number in draw.permutation(len(examples))[:steps - done]:
             buckets, shares, label = examples[number]
             step = rate * (1 - done / steps)
             done += 1
