@@ -17,6 +17,7 @@ from dataproof.llm.oracles import ORACLES
 from dataproof.llm.parity_join import parity_join
 from dataproof.llm.subword_classifier import fit, held_out, scored
 from dataproof.llm.token_files import read_token_files, write_token_files
+from dataproof.llm.url_templates import Rule, judge_urls
 from dataproof.sources.shared import new_folder
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -100,3 +101,15 @@ def op5_quality_classifier(spark, sf_dir):
 def op7_lattice_lm(spark, sf_dir):
     """The log probability of every document over all segmentations, and its smoothed word score."""
     return lattice_scores(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+URL_RULES = [
+    Rule("allow", "com", "/"), Rule("block", "example.com", "/en/"), Rule("allow", "www.example.com", "/en/"),
+    Rule("block", "net", "/es/"), Rule("block", "net", "/fr/"),
+]
+
+
+@query
+def op10_url_filters(spark, sf_dir):
+    """The verdict on every page's url, by rule or else by its template."""
+    return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
