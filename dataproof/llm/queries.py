@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from dataproof.llm.bpe import bpe_round_trip
 from dataproof.llm.decontamination import contaminated
+from dataproof.llm.html_extraction import extract_text
 from dataproof.llm.lattice_lm import lattice_scores
 from dataproof.llm.length_histogram import encoded_lengths, length_histogram
 from dataproof.llm.line_rules import line_rules
@@ -113,3 +114,9 @@ URL_RULES = [
 def op10_url_filters(spark, sf_dir):
     """The verdict on every page's url, by rule or else by its template."""
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+@query
+def op3_html_text(spark, sf_dir):
+    """The main text of every page."""
+    return extract_text(table(spark, sf_dir, "pages"))
