@@ -55,8 +55,9 @@ def test_repeated_words(spark):
 
 
 def test_cleaned_texts(spark):
-    body = " ".join(f"Sentence number {i} tells a story of its own, at length." for i in range(12))
-    text = f"Home | News | About\n{body}\nAll rights reserved.\n{body}"
+    lines = [" ".join(f"word{n}x{i}" for i in range(12)) + "." for n in range(8)]
+    body = "\n".join(lines)
+    text = f"Home | News | About\n{body}\nAll rights reserved.\n{lines[3]}"
     df = messy(spark, [(1, text, "en"), (2, "Home | News\n" * 40, "en")])
     rows = clean_documents(df).collect()
     assert [(row["doc_id"], row["text"]) for row in rows] == [(1, body)]
