@@ -8,6 +8,7 @@ from pyspark.sql.types import (
     ArrayType,
     BinaryType,
     BooleanType,
+    CharType,
     DataType,
     DateType,
     DoubleType,
@@ -22,6 +23,7 @@ from pyspark.sql.types import (
     StructType,
     TimestampNTZType,
     TimestampType,
+    VarcharType,
     VariantType,
 )
 
@@ -43,9 +45,13 @@ def cast_fails(value: Column, source: DataType, target: DataType | str) -> Colum
 
     A cast that yields NULL failed. For numbers, booleans, dates and timestamps a
     cast that cannot be undone failed too: Spark truncates 1.5 to 1 and rounds
-    1.25 to 1.3, which changes the data. Text is judged by the cast alone.
+    1.25 to 1.3, which changes the data. Text is judged by the cast alone, bounded text
+    by its length.
     """
     wanted = as_type(target)
+    if isinstance(wanted, (CharType, VarcharType)):
+        # Spark's cast forgets the bound, so the text itself is measured.
+        return value.isNotNull() & (F.length(value.cast("string")) > wanted.length)
     if source == wanted or isinstance(source, NullType):
         return F.lit(False)
     converted = value.try_cast(wanted)

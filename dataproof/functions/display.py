@@ -15,8 +15,8 @@ def format_count(value: Column) -> Column:
 
 
 def format_bytes(value: Column) -> Column:
-    """Binary units: two decimals below ten, one above; plain bytes below 1024."""
-    text = F.format_string("%d B", value.cast("bigint"))
+    """Binary units: two decimals below ten, one above; plain bytes below 1024; NULL for an unknown size."""
+    text = F.when(value.isNotNull(), F.format_string("%d B", value.cast("bigint")))
     for power, unit in enumerate(_UNITS, start=1):
         scaled = value / F.lit(float(1024**power))
         shown = F.when(scaled >= 10, F.format_string(f"%.1f {unit}", scaled)).otherwise(

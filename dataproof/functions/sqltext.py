@@ -179,8 +179,7 @@ def reject_reason(statement: Column, masked: Column, top: Column) -> Column:
     after_settings = F.regexp_extract(top, r"(?is)^.*?\bSETTINGS\b(.*)$", 1)
     return (
         F.when(statement == "", "empty statement")
-        .when(statement.rlike(r"--|/\*"), "contains comments")
-        .when(F.instr(statement, ";") > 0, "several statements")
+        .when(F.instr(masked, ";") > 0, "several statements")
         .when(~statement.rlike(r"(?i)^(?:SELECT|WITH)\b"), "not a query")
         .when(
             statement.rlike(r"(?i)^WITH\b") & ~top.rlike(r"(?i)\bSELECT\b"),
@@ -203,7 +202,8 @@ def fingerprint(sql: Column, previous: Column | None = None) -> Column:
 def unsafe_expression(expression: str) -> str | None:
     """Why an expression text must not run as a probe, or None (driver-side, one text)."""
     masked = re.sub(r"""'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.|"")*"|`[^`]*`""", " ", expression, flags=re.S)
-    if re.search(r"\bSELECT\b", masked, re.I):
+    # A subquery is any parenthesis that opens with a query word, not SELECT alone.
+    if re.search(r"\bSELECT\b|\(\s*(?:FROM|TABLE|VALUES|WITH|MAP|REDUCE)\b", masked, re.I):
         return "subqueries are not allowed in probe expressions"
     call = re.search(_any_call(EXTERNAL_FUNCTIONS + JVM_FUNCTIONS), masked)
     return f"external function {call.group(1)}() is not allowed in probe expressions" if call else None

@@ -5,7 +5,14 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.errors import PySparkException
+from pyspark.errors import (
+    AnalysisException,
+    ArithmeticException,
+    ArrayIndexOutOfBoundsException,
+    DateTimeException,
+    NumberFormatException,
+    SparkRuntimeException,
+)
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
@@ -30,6 +37,13 @@ UPPER_BOUND = "table-metadata-upper-bound"
 PART_SCAN = "predicate-part-scan"
 
 
+#: What an expression can do wrong on the data. Lost executors and cancelled jobs are none of it.
+DATA_ERRORS = (
+    AnalysisException, ArithmeticException, ArrayIndexOutOfBoundsException, DateTimeException,
+    NumberFormatException, SparkRuntimeException,
+)
+
+
 @dataclass(frozen=True)
 class Probe:
     """One conversion to judge; ``settled`` holds (status, message) if no data is needed."""
@@ -64,19 +78,17 @@ def blast_radius(
 ) -> DataFrame:
     """One row: matching rows, and all rows and bytes of the parts that hold one.
 
-    One conditional aggregate per part; nothing is joined.
+    The predicate is a filter, so it prunes partitions and reaches the files; matching rows are
+    counted per part. Rows of the touched parts come from a second scan without data columns.
     """
     unit, bytes_of_unit = storage_columns(part, size)
-    per_part = (
-        df.select(unit.alias("part"), bytes_of_unit.alias("size"), as_column(predicate).alias("hit"))
-        .groupBy("part")
-        .agg(
-            F.count("*").alias("rows"),
-            F.count_if("hit").alias("hits"),
-            F.max("size").alias("bytes"),
-        )
+    hits = df.filter(as_column(predicate)).groupBy(unit.alias("part")).agg(F.count("*").alias("hits"))
+    rows = (
+        df.select(unit.alias("part"), bytes_of_unit.alias("size"))
+        .groupBy("part").agg(F.count("*").alias("rows"), F.max("size").alias("bytes"))
     )
-    return per_part.filter("hits > 0").agg(
+    touched = hits.withColumnRenamed("part", "hit_part").join(rows, F.col("hit_part").eqNullSafe(F.col("part")))
+    return touched.agg(
         _zero(F.sum("hits")).alias("matching_rows"),
         _zero(F.sum("rows")).alias("affected_part_rows"),
         F.count("*").alias("affected_parts"),
@@ -338,8 +350,8 @@ def dry_run_change(
     """One row: class, table footprint, rewrite estimate and the outcome of all probes.
 
     Everything comes from one scan. Nothing is ever written. With
-    ``on_error="finding"`` the job runs at once, and a probe whose expression fails
-    on the data becomes an error finding; with ``"raise"`` the result stays lazy.
+    ``on_error="finding"`` the job runs at once, and a predicate or probe that fails on the data
+    becomes an error finding; any other failure is raised. With ``"raise"`` the result stays lazy.
     """
     classification, scope = change_class_of(change.op, change.kind)
     problem = _unsupported_reason(change, classification)
@@ -350,9 +362,14 @@ def dry_run_change(
         return _dry_run(df, spec, change, size, classification, scope, problem, probes)
     try:
         return _evaluated(_dry_run(df, spec, change, size, classification, scope, problem, probes))
-    except PySparkException:
-        tested = [_tested(df, probe, change.predicate) for probe in probes]
-        return _evaluated(_dry_run(df, spec, change, size, classification, scope, problem, tested))
+    except DATA_ERRORS:
+        failed = _failed_predicate(df, change.predicate) if scope == "predicate" else None
+        if failed:
+            message = "was not checked: the predicate fails on current data."
+            tested = [Probe(p.check, p.subject, settled=p.settled or (UNKNOWN, f"{p.subject} {message}")) for p in probes]
+        else:
+            tested = [_tested(df, probe, change.predicate) for probe in probes]
+        return _evaluated(_dry_run(df, spec, change, size, classification, scope, problem, tested, failed))
 
 
 def _evaluated(row: DataFrame) -> DataFrame:
@@ -364,13 +381,22 @@ def df_from_rows(spark, rows, schema) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
+def _failed_predicate(df: DataFrame, predicate: str) -> str | None:
+    """Why the predicate cannot be evaluated on the data, or None."""
+    try:
+        predicate_match(df, predicate).collect()
+    except DATA_ERRORS as error:
+        return (str(error).splitlines() or ["unknown error"])[0]
+    return None
+
+
 def _tested(df: DataFrame, probe: Probe, predicate: str | None) -> Probe:
     """The probe itself if it runs alone, else its error."""
     if probe.settled:
         return probe
     try:
         probe_findings(df, [probe], predicate).collect()
-    except PySparkException as error:
+    except DATA_ERRORS as error:
         reason = (str(error).splitlines() or ["unknown error"])[0]
         settled = (ERROR, f"{probe.subject} could not be evaluated on current data: {reason}")
         return Probe(probe.check, probe.subject, settled=settled)
@@ -386,9 +412,11 @@ def _dry_run(
     scope: str,
     problem: str | None,
     probes: Sequence[Probe],
+    failed_predicate: str | None = None,
 ) -> DataFrame:
     unit, bytes_of_unit = storage_columns(spec.part, size)
-    predicate = as_column(change.predicate) if scope == "predicate" else F.lit(scope == "all")
+    applied = scope == "predicate" and failed_predicate is None
+    predicate = as_column(change.predicate) if applied else F.lit(scope == "all")
     guard = predicate if scope == "predicate" else None
     rows = df.select(
         unit.alias("part"), bytes_of_unit.alias("size"), predicate.alias("hit"), *_values(probes, guard)
@@ -414,7 +442,10 @@ def _dry_run(
     )
     checked = F.col("matching_rows") if scope == "predicate" else F.col("table_rows")
     findings = []
-    if scope == "predicate":
+    if failed_predicate is not None:
+        message = f"The predicate could not be evaluated on current data: {failed_predicate}"
+        findings.append(_finding(0, Probe("predicate", "predicate", settled=(ERROR, message)), checked))
+    elif scope == "predicate":
         findings.append(
             F.struct(
                 F.lit("predicate").alias("check"),
@@ -429,6 +460,8 @@ def _dry_run(
         )
     findings += [_finding(position, probe, checked) for position, probe in enumerate(probes)]
     evidence = {"none": NO_EVIDENCE, "all": UPPER_BOUND, "predicate": PART_SCAN}[scope]
+    if failed_predicate is not None:
+        evidence = NO_EVIDENCE
     correctness = F.array(*findings) if findings else F.array().cast(_FINDING_TYPE)
     return totals.select(
         F.lit(spec.name).alias("table"),

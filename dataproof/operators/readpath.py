@@ -54,8 +54,10 @@ def proof_rows(
 
 def assumption_lookup(tables: DataFrame, assumptions: DataFrame) -> DataFrame:
     """Adds ``unique_by`` to rows with a ``table``: by qualified name, else by bare name."""
-    exact = assumptions.select("table", F.col("unique_by").alias("exact_key"))
-    loose = assumptions.select(F.col("table").alias("bare"), F.col("unique_by").alias("bare_key"))
+    # A table declared several times has one key, the smallest; its rows must not multiply.
+    declared = assumptions.groupBy("table").agg(F.min("unique_by").alias("unique_by"))
+    exact = declared.select("table", F.col("unique_by").alias("exact_key"))
+    loose = declared.select(F.col("table").alias("bare"), F.col("unique_by").alias("bare_key"))
     return (
         tables.withColumn("bare", bare_name(F.col("table")))
         .join(exact, "table", "left")
@@ -68,11 +70,11 @@ def assumption_lookup(tables: DataFrame, assumptions: DataFrame) -> DataFrame:
 def read_path_check(reads: DataFrame, assumptions: DataFrame, proofs: DataFrame) -> DataFrame:
     """Per (query, table) read without collapsing and declared unique: does it hold?
 
-    ``reads`` has ``query_id, table, uses_final``; tables without a proof are left out
+    ``reads`` has ``query_id, table, uses_final`` (NULL: not known to collapse); tables without a proof are left out
     rather than guessed.
     """
     outcomes = judge_trust(assumption_lookup(proofs, assumptions).filter(F.size("unique_by") > 0))
-    trusting = reads.filter(~F.col("uses_final")).select("query_id", "table").distinct()
+    trusting = reads.filter(~F.coalesce("uses_final", F.lit(False))).select("query_id", "table").distinct()
     return trusting.join(outcomes, "table").select(
         "query_id", "table", "unique_by", "status", "duplicate_rows", "message"
     )

@@ -13,7 +13,6 @@ from dataproof.operators.stability import stability_gate
 from dataproof.sources.keep import keep
 
 DEFAULT_SAMPLE = 10
-MAX_SAMPLE = 50
 
 CORRECT = "correct"
 INCORRECT = "incorrect"
@@ -21,9 +20,11 @@ INDETERMINATE = "indeterminate"
 
 
 def _sample_size(limit: int | None) -> int:
-    if limit is None or limit < 1:
+    if limit is None:
         return DEFAULT_SAMPLE
-    return min(int(limit), MAX_SAMPLE)
+    if limit < 1:
+        raise ValueError(f"a sample needs at least one row, not {limit}")
+    return int(limit)
 
 
 def compare_shape(left: DataFrame, right: DataFrame) -> DataFrame:

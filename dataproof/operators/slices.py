@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 from dataproof.functions.display import format_bytes, format_count
 from dataproof.operators.uniqueness import duplicate_proof
 
-MAX_ROWS = 100_000
-MAX_BYTES = 256 * 1024 * 1024
-MAX_TOTAL_BYTES = 2 * 1024 * 1024 * 1024
 # Fixed value: a slice and its reading are expected to take twice the source bytes.
 GROWTH = 2
 
@@ -41,25 +38,28 @@ def slice_budget(
     stats: DataFrame,
     partition: str,
     stored_bytes: int | Column = 0,
-    max_rows: int = MAX_ROWS,
-    max_bytes: int = MAX_BYTES,
-    max_total_bytes: int = MAX_TOTAL_BYTES,
+    max_rows: int | None = None,
+    max_bytes: int | None = None,
+    max_total_bytes: int | None = None,
 ) -> DataFrame:
-    """One row: may this partition be copied? A refused slice is never copied in part."""
+    """One row: may this partition be copied? A refused slice is never copied in part.
+
+    Only limits that the caller sets refuse anything.
+    """
     stored = stored_bytes if isinstance(stored_bytes, Column) else F.lit(stored_bytes)
     size = F.coalesce("bytes", F.lit(0))
     projected = stored + size * GROWTH
     reason = (
         F.when(
-            F.col("rows") > max_rows,
+            _above(F.col("rows"), max_rows),
             F.concat(format_count(F.col("rows")), F.lit(f" rows exceed the slice limit of {max_rows}.")),
         )
         .when(
-            size > max_bytes,
+            _above(size, max_bytes),
             F.concat(format_bytes(size), F.lit(f" exceed the slice limit of {max_bytes} bytes.")),
         )
         .when(
-            projected > max_total_bytes,
+            _above(projected, max_total_bytes),
             F.concat(format_bytes(projected), F.lit(f" of slices would exceed {max_total_bytes} bytes.")),
         )
     )
@@ -68,6 +68,10 @@ def slice_budget(
     )
 
 
+def _above(value: Column, limit: int | None) -> Column:
+    return F.lit(False) if limit is None else value > limit
+
+
 def slice_proof(
     source: DataFrame, copy: DataFrame, key: Sequence[str], source_partition: Column | str | None = None
 ) -> DataFrame:

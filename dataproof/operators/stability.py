@@ -13,7 +13,7 @@ _CLOCK_EXPRESSIONS = {
 }
 _SUBQUERIES = {"Exists", "LateralSubquery", "ListQuery", "ScalarSubquery"}
 _LIMITS = {"GlobalLimit", "Offset", "Tail"}
-_PASS_THROUGH = {"LocalLimit", "Project", "SubqueryAlias", "View"}
+_KEEPS_ORDER = {"LocalLimit", "Project", "SubqueryAlias", "View"}
 
 
 def _items(seq) -> Iterator:
@@ -31,7 +31,12 @@ def _expressions(expression) -> Iterator:
 
 
 def _nodes(plan) -> Iterator:
+    """All nodes of a plan, those of its subqueries included."""
     yield plan
+    for top in _items(plan.expressions()):
+        for expression in _expressions(top):
+            if _kind(expression) in _SUBQUERIES:
+                yield from _nodes(expression.plan())
     for child in _items(plan.children()):
         yield from _nodes(child)
 
@@ -42,52 +47,48 @@ def _clock_function(plan) -> str | None:
             for expression in _expressions(top):
                 if _kind(expression) in _CLOCK_EXPRESSIONS:
                     return expression.prettyName()
-                if _kind(expression) in _SUBQUERIES:
-                    inner = _clock_function(expression.plan())
-                    if inner:
-                        return inner
     return None
 
 
-def _random_function(plan) -> str:
+def _random_function(plan) -> str | None:
     for node in _nodes(plan):
+        if _kind(node) == "Sample":
+            continue
         for top in _items(node.expressions()):
             for expression in _expressions(top):
                 children = list(_items(expression.children()))
                 if not expression.deterministic() and all(c.deterministic() for c in children):
                     return expression.prettyName()
-    return "an unstable function"
+    return None
 
 
-def _arbitrary_rows(plan, limited: bool = False) -> bool:
-    """Does a limit at the top of the plan, or of a united side, pick rows without an order?"""
+def _ordered(plan) -> bool:
+    """Do the rows of a plan come in an order, so that the first of them are always the same?"""
     kind = _kind(plan)
-    limited = limited or kind in _LIMITS
     if kind == "Sort":
-        return False
-    if kind == "Union":
-        return limited or any(_arbitrary_rows(side) for side in _items(plan.children()))
-    if kind == "WithCTE":
-        return _arbitrary_rows(plan.plan(), limited)
-    if kind in _PASS_THROUGH or kind in _LIMITS:
-        return _arbitrary_rows(plan.children().apply(0), limited)
-    return limited
+        return True
+    return (kind in _KEEPS_ORDER or kind in _LIMITS) and _ordered(plan.children().apply(0))
+
+
+def _arbitrary_rows(plan) -> bool:
+    """Does a limit anywhere pick rows without an order below it? A sort above it settles nothing."""
+    return any(_kind(node) in _LIMITS and not _ordered(node.children().apply(0)) for node in _nodes(plan))
 
 
 def stability_gate(*frames: DataFrame) -> str | None:
     """The first reason why a comparison would prove nothing, or None.
 
-    Reads the analyzed plan only; no job runs. ``first``, ``collect_list`` and ties
-    in an ordering count as stable: no plan tells those apart.
+    Reads the analyzed plan only; no job runs. A frame whose plan cannot be read (outside a classic
+    session) may hold anything and is a reason too. ``first``, ``collect_list`` and ties in an
+    ordering count as stable: no plan tells those apart.
     """
-    plans = [frame._jdf.queryExecution().analyzed() for frame in frames if hasattr(frame, "_jdf")]
+    if not all(hasattr(frame, "_jdf") for frame in frames):
+        return "has a plan that this session does not show"
+    plans = [frame._jdf.queryExecution().analyzed() for frame in frames]
     for plan in plans:
-        sampled = any(_kind(node) == "Sample" for node in _nodes(plan))
-        if not plan.deterministic() and not sampled:
-            return f"uses the non-deterministic function {_random_function(plan)}"
-        clock = _clock_function(plan)
-        if clock:
-            return f"uses the non-deterministic function {clock}"
+        unstable = _random_function(plan) or _clock_function(plan)
+        if unstable:
+            return f"uses the non-deterministic function {unstable}"
     for plan in plans:
         if _arbitrary_rows(plan):
             return "uses LIMIT without an ordering"

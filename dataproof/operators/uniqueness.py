@@ -6,17 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType
 
-from dataproof.functions.canonical import needs_canonical
+from dataproof.functions.canonical import canonical
 from dataproof.functions.display import format_bytes, format_count
 from dataproof.functions.literal import literal_rows
 from dataproof.spec import TableSpec, as_column
 
 DEFAULT_SAMPLE = 5
-MAX_SAMPLE = 50
-DEFAULT_MAX_ROWS = 200_000_000
-DEFAULT_MAX_BYTES = 50_000_000_000
 
 
 def key_copies(df: DataFrame, key: Sequence[str], partition: Column | str | None = None) -> DataFrame:
@@ -125,13 +121,14 @@ def dup_sample(
     partition: Column | str | None = None,
     limit: int = DEFAULT_SAMPLE,
 ) -> DataFrame:
-    """The keys with the most copies within a partition."""
-    size = min(limit, MAX_SAMPLE) if limit >= 1 else DEFAULT_SAMPLE
+    """The ``limit`` keys with the most copies within a partition."""
+    if limit < 1:
+        raise ValueError(f"a sample needs at least one key, not {limit}")
     return (
         key_copies(df, key, partition)
         .filter("copies > 1")
         .orderBy(F.desc("copies"), "partition", *key)
-        .limit(size)
+        .limit(limit)
     )
 
 
@@ -142,11 +139,11 @@ def scope_partition(df: DataFrame, partition: Column | str, value: object) -> Da
 
 def scan_guard(
     stats: DataFrame,
-    max_rows: int = DEFAULT_MAX_ROWS,
-    max_bytes: int = DEFAULT_MAX_BYTES,
+    max_rows: int = 0,
+    max_bytes: int = 0,
     scoped: bool = False,
 ) -> DataFrame:
-    """One row: would an unscoped proof exceed the budget? Zero means no limit.
+    """One row: would an unscoped proof exceed a budget the caller sets? Zero, the default, means no limit.
 
     ``stats`` is a ``parts_summary`` row: sizes, not data.
     """
@@ -187,23 +184,19 @@ def dedup_eligibility(spec: TableSpec, df: DataFrame) -> DataFrame:
     )
 
 
-def _orderable(kind: DataType) -> bool:
-    return not needs_canonical(kind)
-
-
 def latest_per_key(
     df: DataFrame, key: Sequence[str], version: str, deleted: str | None = None
 ) -> DataFrame:
     """One row per key: the highest version; keys whose latest row is deleted vanish.
 
-    Equal versions are settled by the remaining columns, largest first, so the
-    result does not depend on row order. Spark keeps the best row per key before
+    Equal versions are settled by the remaining columns, largest first, maps and
+    variants by their canonical form, so the result does not depend on row order. Spark keeps the best row per key before
     the shuffle already (``WindowGroupLimit``), so hot keys stay small.
     """
     ties = [
-        F.desc(field.name)
+        canonical(F.col(f"`{field.name}`"), field.dataType).desc()
         for field in df.schema.fields
-        if field.name not in {*key, version} and _orderable(field.dataType)
+        if field.name not in {*key, version}
     ]
     newest = Window.partitionBy(*key).orderBy(F.desc(version), *ties)
     latest = df.withColumn("_rank", F.row_number().over(newest)).filter("_rank = 1").drop("_rank")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dataproof.functions.keys import qualified_name
-from dataproof.functions.sqltext import normalize_query
+from dataproof.functions.sqltext import clean_sql, normalize_query
 
 DEFAULT_DAYS = 7
 DEFAULT_SHAPES = 20
@@ -18,7 +18,9 @@ TABLE_FUNCTION_PREFIX = "_table_function"
 
 def log_filter(log: DataFrame, as_of: Column, days: int = DEFAULT_DAYS) -> DataFrame:
     """Finished top-level SELECTs of the last days before ``as_of``."""
-    since = as_of - F.make_dt_interval(F.lit(days if days >= 1 else DEFAULT_DAYS))
+    if days < 1:
+        raise ValueError(f"a log filter needs at least one day, not {days}")
+    since = as_of - F.make_dt_interval(F.lit(days))
     return log.filter(
         (F.col("type") == "QueryFinish")
         & (F.col("query_kind") == "Select")
@@ -38,30 +40,34 @@ def user_table_filter(log: DataFrame) -> DataFrame:
 
 
 def with_shape(log: DataFrame) -> DataFrame:
-    """The log with the normalized text of each query and its hash."""
-    return log.withColumn("shape", normalize_query(F.col("query"))).withColumn(
+    """The log with the normalized text of each query and its hash; comments are no part of a shape."""
+    return log.withColumn("shape", normalize_query(clean_sql(F.col("query")))).withColumn(
         "hash", F.sha2("shape", 256)
     )
 
 
-def rank_workload(shaped: DataFrame, limit: int = DEFAULT_SHAPES) -> DataFrame:
-    """The shapes that read most, with runs, totals and the tables they touch.
+def rank_workload(shaped: DataFrame, limit: int | None = DEFAULT_SHAPES) -> DataFrame:
+    """The shapes that read most, with runs, totals and the tables they touch; all shapes without a limit.
+
+    Runs without a table count as well; their shape then has an empty list.
 
     Every log row is spread over its tables and only the first of them carries the
     row's numbers. Counts then combine per (shape, table) before they meet per
     shape, so a shape with a third of the log never gathers its rows anywhere.
     """
     spread = shaped.select(
-        "hash", "shape", "read_bytes", "query_duration_ms", F.posexplode("tables").alias("pos", "table")
+        "hash", "shape", "read_bytes", "query_duration_ms", F.posexplode_outer("tables").alias("pos", "table")
     )
-    first = F.col("pos") == 0
+    if limit is not None and limit < 1:
+        raise ValueError(f"a ranking needs at least one shape, not {limit}")
+    first = F.coalesce(F.col("pos"), F.lit(0)) == 0
     per_table = spread.groupBy("hash", "table").agg(
         F.min("shape").alias("shape"),
         F.sum(F.when(first, 1).otherwise(0)).alias("runs"),
         F.sum(F.when(first, F.col("read_bytes")).otherwise(0)).alias("read_bytes"),
         F.sum(F.when(first, F.col("query_duration_ms")).otherwise(0)).alias("duration_ms"),
     )
-    return (
+    ranked = (
         per_table.groupBy("hash")
         .agg(
             F.min("shape").alias("sample_query"),
@@ -71,8 +77,8 @@ def rank_workload(shaped: DataFrame, limit: int = DEFAULT_SHAPES) -> DataFrame:
             F.array_sort(F.collect_set("table")).alias("tables"),
         )
         .orderBy(F.desc("total_read_bytes"), "hash")
-        .limit(limit if limit >= 1 else DEFAULT_SHAPES)
     )
+    return ranked if limit is None else ranked.limit(limit)
 
 
 def flag_versioned_tables(
@@ -86,7 +92,7 @@ def flag_versioned_tables(
     known = versioned.select(
         qualified_name(F.col("table"), default_database).alias("qualified"), F.lit(True).alias("known")
     ).distinct()
-    spread = ranked.withColumn("table", F.explode("tables")).withColumn(
+    spread = ranked.withColumn("table", F.explode_outer("tables")).withColumn(
         "qualified", qualified_name(F.col("table"), default_database)
     )
     numbers = ["sample_query", "runs", "total_read_bytes", "total_duration_ms"]
@@ -102,7 +108,7 @@ def flag_versioned_tables(
 
 
 def workload_summary(flagged: DataFrame) -> DataFrame:
-    """One row: ranked shapes, and how many of them read versioned tables."""
+    """One row: shapes, and how many of them read versioned tables; for all shapes rank without a limit."""
     return flagged.agg(
         F.count("*").alias("shapes"),
         F.count_if(F.size("replacing_tables") > 0).alias("reads_versioned"),
@@ -114,7 +120,7 @@ def discover_workload(
     versioned: DataFrame,
     as_of: Column,
     days: int = DEFAULT_DAYS,
-    limit: int = DEFAULT_SHAPES,
+    limit: int | None = DEFAULT_SHAPES,
     default_database: str = "default",
 ) -> DataFrame:
     """The whole discovery: filter, normalize, rank, flag."""

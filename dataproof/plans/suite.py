@@ -15,8 +15,6 @@ from dataproof.operators.pruning import no_scan_evidence, scan_findings
 from dataproof.operators.readpath import read_path_check
 from dataproof.operators.rowdiff import verify_equivalent
 from dataproof.operators.uniqueness import (
-    DEFAULT_MAX_BYTES,
-    DEFAULT_MAX_ROWS,
     dedup_eligibility,
     duplicate_proof,
     ineligible_reason,
@@ -92,14 +90,14 @@ def dedup_check(
     df: DataFrame,
     spec: TableSpec,
     partition: object = None,
-    max_rows: int = DEFAULT_MAX_ROWS,
-    max_bytes: int = DEFAULT_MAX_BYTES,
+    max_rows: int = 0,
+    max_bytes: int = 0,
     size: Column | str | None = None,
 ) -> Check:
     """The duplicate proof of one table, or the reason why there is none.
 
-    A table beyond the budget is not read unless one partition is named; its size
-    comes from a count of rows per stored part.
+    Tables of any size are proven. Only where the caller sets a budget is a table beyond
+    it not read, unless one partition is named; sizes come from rows per stored part.
     """
     artifacts = run_rows(df.sparkSession, [(spec.name, "table_assumption")])
     if ineligible_reason(spec, df.columns):

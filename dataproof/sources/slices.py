@@ -52,6 +52,8 @@ def extract_slice(df: DataFrame, spec: TableSpec, partition: str, path: str) ->
 
 def stored_bytes(spark: SparkSession, path: str) -> DataFrame:
     """One row: bytes of all files below a folder, from file listings alone."""
+    if not _exists(spark, path):
+        return spark.createDataFrame([(0,)], "bytes BIGINT")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
 
@@ -126,12 +128,27 @@ def _complete(manifest: Mapping[str, str] | None = None) -> Column:
     return F.coalesce(complete & F.try_to_timestamp(F.col("createdAt")).isNotNull(), F.lit(False))
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+CATALOG_SCHEMA = (
+    "id STRING, state STRING, bytes BIGINT, created_at TIMESTAMP, "
+    "source STRUCT<table: STRING, partitionId: STRING, rows: BIGINT, bytesOnDisk: BIGINT>, "
+    "proof STRUCT<sourceDuplicateRows: BIGINT, localDuplicateRows: BIGINT, matched: BOOLEAN>"
+)
+
+
 def slice_catalog(spark: SparkSession, root: str) -> DataFrame:
     """All slices below a folder: ``valid``, ``corrupt`` or ``incomplete``, newest first.
 
     Slices lie in ``root/slice-*``. Sizes come from file listings; a slice without a
-    manifest is incomplete, and one whose manifest does not fit the schema corrupt.
+    manifest is incomplete, and one whose manifest does not fit the schema corrupt. A
+    folder that does not exist yet has no slices.
     """
+    if not _exists(spark, root):
+        return spark.createDataFrame([], CATALOG_SCHEMA)
     slice_id = F.regexp_extract(F.col("file"), r"/(slice-[^/]*)/", 1)
     files = (
         spark.read.format("binaryFile")

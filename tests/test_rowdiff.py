@@ -111,10 +111,12 @@ def test_rounding_forgives_the_last_bits(spark, one):
 
 
 def test_sample_sizes(spark, rows):
-    left, right = spark.range(200).toDF("a"), spark.range(200, 260).toDF("a")
-    for limit, expected in ((3, 3), (None, 10), (0, 10), (500, 50)):
+    left, right = spark.range(200).toDF("a"), spark.range(200, 300).toDF("a")
+    for limit, expected in ((3, 3), (None, 10), (80, 80)):
         sample = rows(d.diff_sample(left, right, limit))
         assert len([row for row in sample if row["_side"] == "left"]) == expected
+    with pytest.raises(ValueError, match="at least one"):
+        d.diff_sample(left, right, 0)
     hot = spark.range(5000).select(F.lit(1).alias("a"))
     assert len(rows(d.diff_sample(hot, hot.filter("false"), 7))) == 7
 

@@ -92,8 +92,9 @@ def test_run_log(spark, rows, tmp_path):
     logged = sorted(rows(d.read_run_log(spark, path)), key=lambda row: row["durationMs"])
     assert logged[0] == {
         "timestamp": "2024-01-02T03:04:05.000Z", "tool": "verify", "outcome": "error", "durationMs": 7, "summary": "head",
+        "text": " head \nrest",
     }
-    assert len(logged[1]["summary"]) == 200 and logged[1]["summary"].endswith("...")
+    assert len(logged[1]["summary"]) == 200 and logged[1]["summary"].endswith("...") and logged[1]["text"] == "x" * 300
 
 
 def finding(artifact, severity, blocking=False, verdict=None, id="x"):

@@ -48,7 +48,7 @@ def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("event_id") % 17 == 0, "Insert").otherwise("Select").alias("query_kind"),
         (F.col("event_id") % 19 != 0).alias("is_initial_query"),
         F.concat(
-            F.lit("SELECT sum(value)  FROM "), own, F.lit(" WHERE user_id IN ("),
+            F.lit("/* trace "), F.col("event_id").cast("string"), F.lit(" it's */ SELECT sum(value)  FROM "), own, F.lit(" WHERE user_id IN ("),
             F.col("user_id").cast("string"), F.lit(", "), F.col("event_id").cast("string"),
             F.lit(")\n AND value > "), F.col("value").cast("string"), F.lit(" AND note = 'it''s 5'"),
         ).alias("query"),

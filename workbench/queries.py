@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +18,7 @@ from dataproof.plans import findings as fs
 from dataproof.plans.suite import Verification, read_path_checks, scan_checks, text_checks
 from dataproof.sources.keep import keep
 from dataproof.sources.runlog import run_log_rows
+from dataproof.sources.shared import new_folder
 from dataproof.sources.slices import extract_slice, slice_catalog, slice_rows, write_manifest
 from workbench import data
 from workbench.data import LINEITEM_KEY, MONTH, PART, YEAR, table
@@ -636,7 +636,7 @@ def flag_versioned_tables(spark, sf_dir):
 @query
 def workload_summary(spark, sf_dir):
     flagged = d.discover_workload(
-        data.query_log(spark, sf_dir), data.versioned_tables(spark), _as_of(), 30
+        data.query_log(spark, sf_dir), data.versioned_tables(spark), _as_of(), 30, limit=None
     )
     return d.workload_summary(flagged)
 
@@ -746,23 +746,17 @@ def slice_proof(spark, sf_dir):
 
 @query
 def slice_round_trip(spark, sf_dir):
-    """A slice of one shipping day on shared storage, if the budget allows: write, prove, list."""
+    """A slice of one shipping year on shared storage: write, prove, list."""
     items = _lineitem(spark, sf_dir)
-    spec = d.TableSpec("db.lineitem", tuple(LINEITEM_KEY), partition="date_format(l_shipdate, 'yyyyMMdd')")
-    day = "19980405"
-    scoped = d.scope_partition(items, spec.partition, day)
-    # The size of the day's data is what a slice of it takes: its columns are read, not its files.
-    stats = d.partition_stats(scoped, spec.partition, F.lit("day"), F.lit(0))
-    budget = keep(d.slice_budget(stats, day))
-    allowed = budget.first()
-    if allowed is None or not allowed["allowed"]:
-        return budget.select(F.lit("refused").alias("state"), "rows", F.lit(0).alias("duplicates"), F.lit(False).alias("matched"))
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/dataproof"
-    root = f"{base}/slices-{uuid.uuid4().hex}"
-    path = f"{root}/slice-{day}"
-    copy = spark.read.parquet(extract_slice(items, spec, day, path))
+    spec = d.TableSpec("db.lineitem", tuple(LINEITEM_KEY), partition=YEAR)
+    scoped = d.scope_partition(items, YEAR, int(SLICE_YEAR))
+    # The size of the year's data is what a slice of it takes: its columns are read, not its files.
+    budget = keep(d.slice_budget(d.partition_stats(scoped, YEAR, F.lit("year"), F.lit(0)), SLICE_YEAR))
+    root = new_folder(spark, "slices")
+    path = f"{root}/slice-{SLICE_YEAR}"
+    copy = spark.read.parquet(extract_slice(items, spec, SLICE_YEAR, path))
     proof = d.slice_proof(scoped, copy, LINEITEM_KEY)
-    write_manifest(proof, budget, spec, day, path, "2024-01-31T00:00:00.000Z", 0)
+    write_manifest(proof, budget, spec, SLICE_YEAR, path, "2024-01-31T00:00:00.000Z", 0)
     return slice_catalog(spark, root).select(
         "state", F.col("source.rows").alias("rows"), F.col("proof.sourceDuplicateRows").alias("duplicates"),
         F.col("proof.matched").alias("matched"),
