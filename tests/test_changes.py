@@ -174,3 +174,38 @@ def test_worst_status(spark, one):
 
 def test_no_rewrite(spark, one):
     assert one(d.no_rewrite(spark))["evidence"] == "none"
+
+
+def test_bounded_strings(spark, one):
+    df = spark.createDataFrame([("abcd", 123456), ("ab", 1), (None, None)], "t string, n int")
+    for target in ("varchar(3)", "char(3)"):
+        for column in ("t", "n"):
+            assert one(d.cast_probe(df, column, target))["cast_failures"] == 1
+
+
+def test_subqueries_are_no_probes():
+    for text in ("a IN (TABLE t)", "a IN (FROM t)", "EXISTS(TABLE t)", "a IN (VALUES 1)", "(WITH x AS (SELECT 1) SELECT 1)"):
+        assert d.safe_expression(text) is not None
+    assert d.safe_expression("a IN (1, 2) AND b = '(TABLE t)'") is None
+
+
+def test_foreign_failures_are_raised(spark):
+    """A cancelled job is not the data's fault."""
+    df = spark.range(5).toDF("id")
+    change = d.ChangeSpec("t", "update", predicate="id > 1", assignments={"id": "id + 1"})
+    from pyspark.errors import PySparkException
+
+    from dataproof.operators import changes
+
+    class Lost(PySparkException):
+        pass
+
+    def lost(*_):
+        raise Lost("executor lost")
+
+    kept, changes._evaluated = changes._evaluated, lost
+    try:
+        with pytest.raises(PySparkException, match="lost"):
+            d.dry_run_change(df, d.TableSpec("t", ("id",), part="1"), change)
+    finally:
+        changes._evaluated = kept

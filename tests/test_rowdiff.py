@@ -53,6 +53,11 @@ def test_renamed_columns_are_incorrect(numbers, one):
         (lambda df: df.limit(2), "LIMIT"),
         (lambda df: df.offset(1).select("a"), "LIMIT"),
         (lambda df: df.union(df.limit(1)), "LIMIT"),
+        (lambda df: df.limit(2).orderBy("a"), "LIMIT"),
+        (lambda df: df.limit(2).filter("a > 0"), "LIMIT"),
+        (lambda df: df.limit(2).distinct(), "LIMIT"),
+        (lambda df: df.limit(2).groupBy("a").count().select("a"), "LIMIT"),
+        (lambda df: df.join(df.limit(2).toDF("b"), F.col("a") == F.col("b")).select("a"), "LIMIT"),
         (lambda df: df.sample(0.5), "sample"),
     ],
 )
@@ -65,6 +70,7 @@ def test_stable_sides_pass_the_gate(spark, numbers):
     numbers.createOrReplaceTempView("gate_numbers")
     stable = [
         numbers.orderBy("a").limit(2),
+        numbers.orderBy("a").limit(2).filter("a > 0").distinct(),
         numbers.filter("cast(a AS string) <> 'rand('"),
         spark.sql("SELECT a FROM gate_numbers ORDER BY a LIMIT 1"),
         numbers.orderBy("a").limit(2).select((F.col("a") + 1).alias("a")),
@@ -141,3 +147,18 @@ def test_diff_against_counting(spark, left, right):
     assert counts["right_only"] == sum((Counter(right) - Counter(left)).values())
     assert counts["left_only"] - counts["right_only"] == len(left) - len(right)
     assert counts["left_only"] == ours.exceptAll(theirs).count()
+
+
+def test_limit_in_a_subquery(spark, one):
+    spark.range(20).toDF("a").createOrReplaceTempView("gate_subquery")
+    loose = spark.sql("SELECT a FROM gate_subquery WHERE a IN (SELECT a FROM gate_subquery LIMIT 3)")
+    fixed = spark.sql("SELECT a FROM gate_subquery WHERE a IN (SELECT a FROM gate_subquery ORDER BY a LIMIT 3)")
+    assert one(d.verify_equivalent(loose, loose))["verdict"] == "indeterminate"
+    assert one(d.verify_equivalent(fixed, fixed))["verdict"] == "correct"
+
+
+def test_a_plan_that_is_not_shown_proves_nothing():
+    class Remote:
+        """A frame of a session without plans."""
+
+    assert "does not show" in d.stability_gate(Remote())

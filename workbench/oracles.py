@@ -606,3 +606,18 @@ ORACLES["display_numbers"] = """
         WHEN n / pow(1024, unit) >= 10 THEN printf('%.1f', round(n / pow(1024, unit), 1)) || ' ' || ['KiB', 'MiB', 'GiB', 'TiB', 'PiB'][unit]
         ELSE printf('%.2f', round(n / pow(1024, unit), 2)) || ' ' || ['KiB', 'MiB', 'GiB', 'TiB', 'PiB'][unit] END AS bytes_text
     FROM u"""
+
+ORACLES["cast_probe_varchar"] = """
+    SELECT count(*) AS checked_rows, count(*) FILTER (length(text) > 500) AS cast_failures,
+      count(*) FILTER (text IS NULL) AS null_values FROM documents"""
+# A division by zero happens on every first line of an order.
+ORACLES["dry_run_change_errors"] = """
+    WITH facts AS (
+      SELECT count(*) AS n, count(*) FILTER (l_quantity > 10) AS hits, count(*) FILTER (l_linenumber = 1) > 0 AS fails,
+        count(*) FILTER (l_linenumber = 1 AND l_quantity > 10) > 0 AS probe_fails FROM lineitem
+    )
+    SELECT 'predicate' AS change, n AS table_rows, 0 AS matching_rows, CASE WHEN fails THEN 'error,unknown' END AS statuses,
+      CASE WHEN fails THEN 'error' END AS correctness_status, 'none' AS evidence FROM facts
+    UNION ALL SELECT 'probe', n, hits, CASE WHEN probe_fails THEN 'ok,error,ok' END, CASE WHEN probe_fails THEN 'error' END,
+      'predicate-part-scan' FROM facts
+    UNION ALL SELECT 'neither', n, hits, 'ok,ok', 'ok', 'predicate-part-scan' FROM facts"""

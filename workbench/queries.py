@@ -380,6 +380,11 @@ def cast_probe_decimal(spark, sf_dir):
     return d.cast_probe(_lineitem(spark, sf_dir), "l_extendedprice", "decimal(7,2)")
 
 
+@query
+def cast_probe_varchar(spark, sf_dir):
+    return d.cast_probe(table(spark, sf_dir, "documents"), "text", "varchar(500)")
+
+
 @query
 def cast_probe_float(spark, sf_dir):
     return d.cast_probe(_lineitem(spark, sf_dir), "l_extendedprice", "float")
@@ -502,6 +507,27 @@ def dry_run_change(spark, sf_dir):
     )
 
 
+@query
+def dry_run_change_errors(spark, sf_dir):
+    """The default mode on expressions that fail on the data: the predicate, then one of two probes."""
+    broken = "l_quantity / (l_linenumber - 1)"
+    changes = {
+        "predicate": d.ChangeSpec("db.lineitem", "update", predicate=f"{broken} > 1", assignments={"l_tax": "0.0"}),
+        "probe": d.ChangeSpec(
+            "db.lineitem", "update", predicate="l_quantity > 10", assignments={"l_tax": broken, "l_discount": "0.0"}
+        ),
+        "neither": d.ChangeSpec("db.lineitem", "update", predicate="l_quantity > 10", assignments={"l_tax": "0.0"}),
+    }
+    found = [
+        d.dry_run_change(_lineitem(spark, sf_dir), data.LINEITEM, change).select(
+            F.lit(name).alias("change"), "table_rows", "matching_rows",
+            F.array_join("correctness.status", ",").alias("statuses"), "correctness_status", "evidence",
+        )
+        for name, change in changes.items()
+    ]
+    return found[0].union(found[1]).union(found[2])
+
+
 @query
 def migration_finding(spark, sf_dir):
     dry_runs = _dry_runs(spark, sf_dir)
