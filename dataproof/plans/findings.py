@@ -233,6 +233,7 @@ def diagnosis_finding(notes: DataFrame, artifact: Column | str | None = None) ->
     """
     artifact = F.col("path") if artifact is None else artifact
     proven, high = F.col("confidence") == "proven", F.col("severity") == "high"
+    seen = {"evidence": F.col("evidence")} if "evidence" in notes.columns else {}
     advice = F.col("recommendation") if "recommendation" in notes.columns else None
     return notes.select(
         *_finding(
@@ -244,7 +245,7 @@ def diagnosis_finding(notes: DataFrame, artifact: Column | str | None = None) ->
             F.when(proven, "explain").otherwise("advisory"),
             F.when(proven, "production_explain").otherwise("static_parse"),
             F.col("message"),
-            _evidence(confidence=F.col("confidence"), severity=F.col("severity")),
+            _evidence(confidence=F.col("confidence"), severity=F.col("severity"), **seen),
             advice,
             proven & high,
         )
@@ -309,15 +310,19 @@ def verdict_exit_code(verdict: Column) -> Column:
 
 
 def report_rows(runs: DataFrame, findings: DataFrame) -> DataFrame:
-    """Per artifact: verdict and the ids of its findings, each as often as it was found.
+    """Per artifact: verdict and the ids of its findings, with their number if more than one.
 
-    Findings are counted per id first, so only distinct ids are gathered.
+    Findings are counted per id first, so only distinct ids are gathered and written.
     """
     counted = findings.groupBy("artifact", "id").agg(F.count("*").alias("times"))
     listed = counted.groupBy("artifact").agg(
         F.array_sort(F.collect_list(F.struct("id", "times"))).alias("found")
     )
-    ids = F.flatten(F.transform("found", lambda item: F.array_repeat(item["id"], item["times"].cast("int"))))
+    ids = F.transform(
+        "found",
+        lambda item: F.when(item["times"] > 1, F.concat(item["id"], F.lit(" ("), item["times"].cast("string"), F.lit(")")))
+        .otherwise(item["id"]),
+    )
     return runs.join(listed, "artifact", "left").select(
         "artifact",
         F.upper("verdict").alias("verdict"),

@@ -18,7 +18,7 @@ def oracle(sf_dir):
 def test_every_oracle_belongs_to_a_query():
     assert set(entry_point.oracle_sql()) <= set(entry_point.queries())
     assert set(QUERIES) <= set(entry_point.queries())
-    assert set(QUERIES) - set(ORACLES) == {"parts_summary_files"}
+    assert set(QUERIES) == set(ORACLES)
 
 
 def test_entry(spark):

@@ -145,7 +145,7 @@ def test_report(spark, rows, one):
     )
     runs = spark.createDataFrame([("a", "query", "warn"), ("b", "query", "pass")], "artifact STRING, type STRING, verdict STRING")
     report = {row["artifact"]: (row["verdict"], row["finding_ids"]) for row in rows(d.report_rows(runs, findings))}
-    assert report == {"a": ("WARN", "x, x, y"), "b": ("PASS", "-")}
+    assert report == {"a": ("WARN", "x (2), y"), "b": ("PASS", "-")}
     assert one(fs.report_totals(d.gate_status(runs, True))) == {"artifacts": 2, "failed": 1}
 
 

@@ -152,7 +152,10 @@ def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CHANGE_OPS = [
-    "add_column", "drop_index", "update", "modify_column", "materialize_column", "clear_column", "swap_tables",
+    "add_column", "drop_column", "rename_column", "comment_column", "modify_comment", "add_index", "add_projection",
+    "add_constraint", "drop_index", "drop_projection", "drop_constraint", "modify_order_by", "modify_setting",
+    "reset_setting", "remove_ttl", "update", "delete", "modify_column", "modify_ttl", "materialize_ttl", "clear_column",
+    "materialize_index", "materialize_projection", "materialize_column", "swap_tables",
 ]
 
 

@@ -130,8 +130,14 @@ ORACLES["verify_equivalent"] = """
       ('random', 'indeterminate', false, false, true)) v(pair, verdict, renamed, shape_mismatch, explained),
       (SELECT count(*) AS n FROM lineitem WHERE l_linenumber = 3)"""
 ORACLES["verify_equivalent_rounded"] = """
-    SELECT 'correct' AS verdict, count(*) * 0 AS left_only, count(*) * 0 AS right_only,
-      count(*) * 0 AS differing_rows, false AS renamed, false AS shape_mismatch FROM lineitem"""
+    WITH value AS (SELECT l_returnflag AS flag, l_suppkey AS s, l_extendedprice * (1 - l_discount) AS v FROM lineitem),
+    direct AS (SELECT flag, round(sum(v), 2) AS r FROM value GROUP BY 1),
+    staged AS (SELECT flag, round(sum(v), 2) AS r FROM (SELECT flag, s, sum(v) AS v FROM value GROUP BY 1, 2) GROUP BY 1),
+    counted AS (
+      SELECT (SELECT count(*) FROM (FROM direct EXCEPT ALL FROM staged)) AS a,
+        (SELECT count(*) FROM (FROM staged EXCEPT ALL FROM direct)) AS b)
+    SELECT CASE WHEN a + b = 0 THEN 'correct' ELSE 'incorrect' END AS verdict, a AS left_only, b AS right_only,
+      a + b AS differing_rows, false AS renamed, false AS shape_mismatch FROM counted"""
 ORACLES["compare_shape"] = """
     SELECT pos, left_name, right_name, type_match, name_match, right_values FROM (VALUES
       (1, 'l_orderkey', 'l_orderkey', true, true), (2, 'l_linenumber', 'l_linenumber', true, true),
@@ -258,13 +264,12 @@ ORACLES["column_expr_probe"] = f"""
       checked_rows, cast_failures, null_values FROM ({_cast('events', 'value * 10', 'DOUBLE', 'INT')})"""
 ORACLES["change_class"] = """
     SELECT doc_id AS change_id,
-      CASE WHEN doc_id % 2 = 0 AND op IN ('add_column', 'modify_column') THEN 'risky-materialized-column'
-        ELSE classification END AS classification, rewrite_scope
-    FROM documents JOIN (VALUES (0, 'add_column', 'metadata-only', 'none'), (1, 'drop_index', 'metadata-only', 'none'),
-      (2, 'update', 'part-rewriting', 'predicate'), (3, 'modify_column', 'part-rewriting', 'all'),
-      (4, 'materialize_column', 'risky-materialized-column', 'all'), (5, 'clear_column', 'part-rewriting', 'all'),
-      (6, 'swap_tables', 'unsupported', 'none')) v(number, op, classification, rewrite_scope)
-      ON doc_id % 7 = number"""
+      CASE WHEN doc_id % 2 = 0 AND doc_id % 25 IN (0, 17) THEN 'risky-materialized-column'
+        WHEN doc_id % 25 < 15 THEN 'metadata-only' WHEN doc_id % 25 < 23 THEN 'part-rewriting'
+        WHEN doc_id % 25 = 23 THEN 'risky-materialized-column' ELSE 'unsupported' END AS classification,
+      CASE WHEN doc_id % 25 IN (15, 16) THEN 'predicate' WHEN doc_id % 25 BETWEEN 17 AND 23 THEN 'all' ELSE 'none' END
+        AS rewrite_scope
+    FROM documents"""
 ORACLES["correctness_status"] = """
     SELECT ['ok', 'unknown', 'warning', 'error'][worst] AS status, count(*) AS orders FROM (
       SELECT l_orderkey, max(CASE WHEN l_quantity > 49 THEN 4 WHEN l_tax > 0.07 THEN 3 WHEN l_discount > 0.09 THEN 2
@@ -308,7 +313,7 @@ ORACLES["migration_finding"] = f"""
         CASE WHEN change = 'add' THEN 'migration_column-expression' END,
         CASE WHEN rewrite_scope = 'predicate' THEN 'migration_predicate' END,
         CASE WHEN affected_parts > 0 THEN 'migration_rewrite_footprint' END,
-        CASE WHEN change = 'update' THEN 'migration_update-expression, migration_update-expression' END
+        CASE WHEN change = 'update' THEN 'migration_update-expression (2)' END
       ), ''), '-') AS finding_ids
     FROM ({_DRY_RUNS})"""
 
@@ -359,13 +364,14 @@ ORACLES["layout_hint"] = """
 ORACLES["no_scan_evidence"] = f"""
     SELECT "table", 'no-scan-evidence' AS code, count(*) AS queries FROM ({_READS})
     WHERE "table" <> 'db.lineitem' GROUP BY 1"""
-ORACLES["diagnosis_finding"] = """
+ORACLES["diagnosis_finding"] = f"""
     SELECT "table" AS artifact, id, 'warn' AS severity, 'warn' AS verdict, 'performance' AS category,
       'explain' AS evidence_level, 'production_explain' AS strategy, false AS blocking,
-      'confidence=proven;severity=medium' AS evidence
-    FROM (VALUES ('none', 'query_full-scan'), ('none', 'query_missing-partition-pruning'),
+      'confidence=proven;severity=medium;evidence=parts ' || n || '/' || n AS evidence
+    FROM (SELECT *, CASE WHEN "table" = 'year' THEN in_year ELSE parts END AS n FROM
+      (SELECT count(*) AS parts, count(*) FILTER (partition = 1999) AS in_year FROM ({_STATS})), (VALUES ('none', 'query_full-scan'), ('none', 'query_missing-partition-pruning'),
       ('none', 'query_missing-primary-key-pruning'), ('key', 'query_missing-partition-pruning'),
-      ('year', 'query_missing-primary-key-pruning')) v("table", id)
+      ('year', 'query_missing-primary-key-pruning')) v("table", id))
     WHERE (SELECT count(*) FROM lineitem) < 10000000"""
 
 _LOG = """
@@ -526,11 +532,15 @@ ORACLES["slice_budget"] = f"""
       (VALUES ('fits'), ('rows'), ('bytes'), ('total')) v("case")"""
 ORACLES["choose_partition"] = f"SELECT 1998 AS partition, count(*) AS rows FROM lineitem WHERE {YEAR} = 1998"
 _ONE_YEAR = f"(FROM lineitem WHERE {YEAR} = 1998)"
+_DOUBLED = f"(FROM (FROM lineitem WHERE {YEAR} = 1998 UNION ALL FROM lineitem WHERE {YEAR} = 1998 AND l_linenumber = 1))"
 ORACLES["slice_proof"] = f"""
-    SELECT total_rows AS source_total_rows, duplicate_groups AS source_duplicate_groups,
-      duplicate_rows AS source_duplicate_rows, max_copies AS source_max_copies, total_rows AS slice_total_rows,
-      duplicate_groups AS slice_duplicate_groups, duplicate_rows AS slice_duplicate_rows,
-      max_copies AS slice_max_copies, true AS matched FROM ({_proof('true', _ONE_YEAR)})"""
+    SELECT "case", s.total_rows AS source_total_rows, s.duplicate_groups AS source_duplicate_groups,
+      s.duplicate_rows AS source_duplicate_rows, s.max_copies AS source_max_copies, c.total_rows AS slice_total_rows,
+      c.duplicate_groups AS slice_duplicate_groups, c.duplicate_rows AS slice_duplicate_rows,
+      c.max_copies AS slice_max_copies,
+      (s.duplicate_groups, s.duplicate_rows, s.max_copies) = (c.duplicate_groups, c.duplicate_rows, c.max_copies) AS matched
+    FROM ({_proof('true', _ONE_YEAR)}) s, (SELECT 'copy' AS "case", * FROM ({_proof('true', _ONE_YEAR)})
+      UNION ALL SELECT 'damaged', * FROM ({_proof('true', _DOUBLED)})) c"""
 ORACLES["slice_round_trip"] = f"""
     SELECT 'valid' AS state, total_rows AS rows, duplicate_rows AS duplicates, true AS matched
     FROM ({_proof('true', _ONE_YEAR)})"""
@@ -621,3 +631,7 @@ ORACLES["dry_run_change_errors"] = """
     UNION ALL SELECT 'probe', n, hits, CASE WHEN probe_fails THEN 'ok,error,ok' END, CASE WHEN probe_fails THEN 'error' END,
       'predicate-part-scan' FROM facts
     UNION ALL SELECT 'neither', n, hits, 'ok,ok', 'ok', 'predicate-part-scan' FROM facts"""
+
+# The table is one file.
+ORACLES["parts_summary_files"] = f"""
+    SELECT 1 AS active_parts, count(*) AS rows, count(DISTINCT {YEAR}) AS partitions, true AS has_bytes FROM lineitem"""

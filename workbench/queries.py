@@ -317,7 +317,8 @@ def parts_summary(spark, sf_dir):
 
 @query
 def parts_summary_files(spark, sf_dir):
-    return d.parts_summary(_lineitem(spark, sf_dir), YEAR)
+    summary = d.parts_summary(_lineitem(spark, sf_dir), YEAR)
+    return summary.select("active_parts", "rows", "partitions", (F.col("bytes") > 0).alias("has_bytes"))
 
 
 @query
@@ -765,9 +766,14 @@ def choose_partition(spark, sf_dir):
 
 @query
 def slice_proof(spark, sf_dir):
+    """A year against its written copy, and against the copy with the first lines of all orders doubled."""
     items = _lineitem(spark, sf_dir)
-    copy = slice_rows(items, data.LINEITEM, SLICE_YEAR)
-    return d.slice_proof(d.scope_partition(items, YEAR, 1998), copy, LINEITEM_KEY)
+    source = d.scope_partition(items, YEAR, int(SLICE_YEAR))
+    copy = spark.read.parquet(extract_slice(items, data.LINEITEM, SLICE_YEAR, new_folder(spark, "slice")))
+    damaged = copy.union(copy.filter("l_linenumber = 1"))
+    return d.slice_proof(source, copy, LINEITEM_KEY).withColumn("case", F.lit("copy")).union(
+        d.slice_proof(source, damaged, LINEITEM_KEY).withColumn("case", F.lit("damaged"))
+    )
 
 
 @query
