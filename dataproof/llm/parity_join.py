@@ -41,6 +41,8 @@ PARTITIONS = 4
 BUCKETS_EACH = 16
 #: Keys gathered before they are handed on.
 KEYS_AT_ONCE = 1 << 21
+#: Sets that a set of crowded blocks is first compared with.
+LEADERS = 4
 #: Sets of a block compared with each other in one tile.
 TILE = 1024
 #: Bits of the filter that picks the texts to verify; a false hit costs a row in a shuffle.
@@ -102,8 +104,12 @@ def identity(shingles: np.ndarray) -> tuple[int, int]:
 
 
 def dense_sketch(shingles: np.ndarray) -> bytes:
-    """Parity of the shingles at each of a power of two of positions, at least as many as shingles."""
-    bits = 1 << max(6, int(len(shingles) - 1).bit_length())
+    """Parity of the shingles at each of a power of two of positions, at least twice as many as shingles.
+
+    Folded to the length of a set half as large, the sketches of unlike sets still differ in far more
+    positions than the rule allows.
+    """
+    bits = 1 << max(6, int(2 * len(shingles) - 1).bit_length())
     odd = np.bincount((mix(shingles, 4) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
@@ -233,8 +239,8 @@ def _unpacked(chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _meetings(packed: DataFrame, partitions: int) -> DataFrame:
-    """What meets in a block: rows (kind 0, first set, other set) and, of blocks with more than two sets,
-    (kind 1, block, set)."""
+    """What meets in a block: of two sets (kind 0, one, other); of more, (kind 1, block, set) for each set and
+    (kind 2, first, other) for each but the first."""
 
     def met(bucket: int, chunks: list[bytes]) -> Iterator[pa.RecordBatch]:
         key, vertex = _unpacked(chunks)
@@ -245,16 +251,17 @@ def _meetings(packed: DataFrame, partitions: int) -> DataFrame:
         starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         sizes = np.diff(np.append(starts, len(key)))
         each, leader = np.repeat(sizes, sizes), np.repeat(vertex[starts], sizes)
-        pairs = np.unique(np.stack([leader, vertex])[:, leader != vertex], axis=1)
+        both = np.stack([leader, vertex])
+        pairs, stars = (np.unique(both[:, (leader != vertex) & size], axis=1) for size in (each == 2, each > 2))
         crowded = each > 2
         blocks = mix(key[crowded] ^ np.uint64(bucket << 40), 8)
-        kind = np.repeat(np.array([0, 1], dtype=np.int32), [pairs.shape[1], len(blocks)])
+        kind = np.repeat(np.array([0, 1, 2], dtype=np.int32), [pairs.shape[1], len(blocks), stars.shape[1]])
         if len(kind):
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(kind),
-                    pa.array(np.concatenate([pairs[0], blocks]).view(np.int64)),
-                    pa.array(np.concatenate([pairs[1], vertex[crowded]]).view(np.int64)),
+                    pa.array(np.concatenate([pairs[0], blocks, stars[0]]).view(np.int64)),
+                    pa.array(np.concatenate([pairs[1], vertex[crowded], stars[1]]).view(np.int64)),
                 ],
                 names=["kind", "a", "b"],
             )
@@ -277,6 +284,16 @@ def _meetings(packed: DataFrame, partitions: int) -> DataFrame:
     )
 
 
+def _first_pairs(met: DataFrame) -> DataFrame:
+    """All pairs that met alone, and each set of a crowded block with a few of the sets it follows.
+
+    The few only make components early; what they leave apart in a crowded block is compared later.
+    """
+    leaders = F.slice(F.sort_array(F.collect_set("a")), 1, LEADERS)
+    stars = met.where("kind = 2").groupBy("b").agg(leaders.alias("leaders")).select(F.explode("leaders").alias("a"), "b")
+    return met.where("kind = 0").select("a", "b").union(stars)
+
+
 def _plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs of set ids as pairs of sets whose sizes and dense sketches allow a link."""
     pairs = pairs.select("a", "b").distinct()
@@ -464,7 +481,7 @@ def parity_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     met, met_path = keep_table(_meetings(_packed_keys(docs, "text", partitions * BUCKETS_EACH), partitions), "meetings")
     texts = docs.withColumnRenamed("doc_id", "doc")
-    first, _ = keep_table(_links(_kept(_plausible(met.where("kind = 0"), named)), texts), "links")
+    first, _ = keep_table(_links(_kept(_plausible(_first_pairs(met), named)), texts), "links")
     labels = components(first.toDF("a", "b"))
     further = _kept(_across(met.where("kind = 1"), named, labels))
     second, _ = keep_table(_links(_kept(_plausible(further, named)), texts), "links")
