@@ -10,7 +10,7 @@ The bits of a block are kept sparsely, as the XOR of a fingerprint of every flip
 shingle agree by accident; a band has enough blocks to do without them, and a set with too many
 empty ones in one partition of the positions is sketched again under another.
 
-What shares a block is not paired all with all. Each block's first set is paired with the others; links
+What shares a block is not paired all with all. Each set is first paired with a few that lead its blocks; links
 that hold give components; only where a block still holds several components are sets of
 different ones compared, by dense sketches, in bounded tiles. Every pair that survives is verified on
 the whole texts. So no link between different components is lost, and copies cost one row each.
@@ -41,10 +41,14 @@ PARTITIONS = 4
 BUCKETS_EACH = 16
 #: Keys gathered before they are handed on.
 KEYS_AT_ONCE = 1 << 21
-#: Sets that a set of crowded blocks is first compared with.
+#: Leading sets that a set of crowded blocks is first compared with.
 LEADERS = 4
+#: One crowded block in so many is looked through first.
+FIRST_BLOCKS = 32
 #: Sets of a block compared with each other in one tile.
 TILE = 1024
+#: Pairs that a task remembers so as not to name them again.
+PAIRS_KEPT = 1 << 18
 #: Bits of the filter that picks the texts to verify; a false hit costs a row in a shuffle.
 FILTER_BITS = 1 << 24
 
@@ -285,12 +289,13 @@ def _meetings(packed: DataFrame, partitions: int) -> DataFrame:
 
 
 def _first_pairs(met: DataFrame) -> DataFrame:
-    """All pairs that met alone, and each set of a crowded block with a few of the sets it follows.
+    """All pairs that met alone, and each set of a crowded block with the few it meets most often.
 
     The few only make components early; what they leave apart in a crowded block is compared later.
     """
-    leaders = F.slice(F.sort_array(F.collect_set("a")), 1, LEADERS)
-    stars = met.where("kind = 2").groupBy("b").agg(leaders.alias("leaders")).select(F.explode("leaders").alias("a"), "b")
+    often = met.where("kind = 2").groupBy("b", "a").agg((-F.count(F.lit(1))).alias("times"))
+    leaders = F.slice(F.sort_array(F.collect_list(F.struct("times", "a"))), 1, LEADERS)
+    stars = often.groupBy("b").agg(leaders.alias("leaders")).select(F.explode("leaders.a").alias("a"), "b")
     return met.where("kind = 0").select("a", "b").union(stars)
 
 
@@ -431,8 +436,14 @@ def _across(crowded: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame
                 yield first[4], sides[1][begin + other][4]
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told_before: set[tuple[int, int]] = set()
+
         def told(rows: list[tuple]) -> pa.RecordBatch:
-            found = list(compare(rows)) if len(rows) > 1 else []
+            if len(told_before) > PAIRS_KEPT:
+                told_before.clear()
+            # Near sets share many blocks; a task names them once.
+            found = [pair for pair in (compare(rows) if len(rows) > 1 else ()) if pair not in told_before]
+            told_before.update(found)
             a, b = ([x[k] for x in found] for k in (0, 1))
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
@@ -481,15 +492,17 @@ def parity_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     met, met_path = keep_table(_meetings(_packed_keys(docs, "text", partitions * BUCKETS_EACH), partitions), "meetings")
     texts = docs.withColumnRenamed("doc_id", "doc")
-    first, _ = keep_table(_links(_kept(_plausible(_first_pairs(met), named)), texts), "links")
-    labels = components(first.toDF("a", "b"))
-    further = _kept(_across(met.where("kind = 1"), named, labels))
-    second, _ = keep_table(_links(_kept(_plausible(further, named)), texts), "links")
+    links, _ = keep_table(_links(_kept(_plausible(_first_pairs(met), named)), texts), "links")
+    final = components(links.toDF("a", "b"))
+    # Near sets share most of their blocks: a few blocks join them, and the other blocks then pass them over.
+    few = F.pmod(F.col("a"), F.lit(FIRST_BLOCKS)) == 0
+    for blocks in (few, ~few):
+        apart_yet = _kept(_across(met.where("kind = 1").where(blocks), named, final))
+        found, _ = keep_table(_links(_kept(_plausible(apart_yet, named)), texts), "links")
+        if not found.isEmpty():
+            links = links.union(found)
+            final = components(links.toDF("a", "b"))
     drop_folder(spark, met_path)
-    if second.isEmpty():
-        final = labels
-    else:
-        final = components(first.union(second).toDF("a", "b"))
     classes = sets.join(final.withColumnRenamed("component", "found"), "doc", "left").select(
         "set_a", "set_b", F.coalesce("found", "doc").alias("component_id")
     )
