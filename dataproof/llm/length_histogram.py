@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dataproof.llm.pieces import PieceEncoder
+from dataproof.sources.shared import keep_table
 
 TEXTS_AT_ONCE = 512
 #: Lengths summed up together on the way to suffix sums.
@@ -40,11 +41,13 @@ def length_histogram(lengths: DataFrame, length_col: str = "length") -> DataFram
     and task. Suffix sums are taken within blocks of lengths and between blocks, so no task sees
     more than BLOCK lengths or one row per block.
     """
-    counts = (
+    # The counts are read twice; written down, the texts are encoded once.
+    counts, _ = keep_table(
         lengths.select(F.coalesce(lengths[length_col].cast("long"), F.lit(0)).alias("length"))
         .groupBy("length").agg(F.count(F.lit(1)).alias("n_docs"))
         .select("length", "n_docs", (F.col("length") * F.col("n_docs")).alias("n_tokens"),
-                F.floor(F.col("length") / BLOCK).alias("block"))
+                F.floor(F.col("length") / BLOCK).alias("block")),
+        "length-counts",
     )
     blocks = counts.groupBy("block").agg(F.sum("n_docs").alias("block_docs"), F.sum("n_tokens").alias("block_tokens"))
     later = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
