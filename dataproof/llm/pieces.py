@@ -4,17 +4,19 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
+from collections.abc import Iterator
 
 #: Parts longer than this are encoded each time and not remembered.
 LONGEST_KEPT = 64
 #: Remembered parts; when there are more, remembering starts anew.
-MOST_KEPT = 600_000
+MOST_KEPT = 900_000
+#: Marks that byte-level splitting cuts off the letters before them.
+MARKS = ".,;:!?"
 
 #: A space between two characters that are no white space. Byte-level splitting always cuts there,
 #: so what lies between two such places is encoded by itself.
 _CUT = re.compile(r"(?<=\S)(?= \S)")
-#: A space elsewhere.
-_OTHER_SPACE = re.compile(r"(?:^|\s) | (?:\s|$)")
 
 _LOADED: dict[str, PieceEncoder] = {}
 
@@ -49,40 +51,53 @@ class PieceEncoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers; none for None."""
-        cut = [self._parts(text or "") for text in texts]
         first, later = self._known
         if len(first) + len(later) > MOST_KEPT:
             first.clear()
             later.clear()
-        extra: dict[str, bytes] = {}
-        missing = {" " + part for parts in cut for part in parts[1:] if part not in later}
-        missing.update(parts[0] for parts in cut if parts and parts[0] not in first)
-        wanted = list(missing)
-        for part, encoded in zip(wanted, self.tokenizer.encode_batch_fast(wanted, add_special_tokens=False), strict=True):
-            extra[part] = b"".join(map(_INT32, encoded.ids))
-        for parts in cut:
+        cut = []
+        new_first: set[str] = set()
+        new_later: set[str] = set()
+        for text in texts:
+            parts = text.split(" ") if text else []
+            # What is remembered neither begins nor ends with white space, so only new parts need a look.
+            unknown = set(parts[1:]).difference(later)
+            if any(map(_ragged, unknown)) or parts and parts[0] not in first and _ragged(parts[0]):
+                head, *rest = _CUT.split(text)
+                parts = [head, *(part[1:] for part in rest)]
+                unknown = set(parts[1:]).difference(later)
+            new_later |= unknown
             if parts and parts[0] not in first:
-                first[parts[0]] = extra[parts[0]]
-        for part, ids in extra.items():
-            if part[:1] == " ":
-                later[part[1:]] = ids
-        found = [b"".join((first[parts[0]], *map(later.__getitem__, parts[1:]))) if parts else b"" for parts in cut]
-        for part in wanted:
-            if len(part) > LONGEST_KEPT:
-                first.pop(part, None)
-                later.pop(part[1:], None)
-        return found
+                new_first.add(parts[0])
+            cut.append(parts)
+        first.update(self._alone(new_first, ""))
+        # A word and the marks behind it are encoded apart; a mark without a space is a part of a text's start.
+        whole, marked = set(), []
+        for part in new_later:
+            word = part.rstrip(MARKS)
+            if len(word) < len(part) and word and word[-1].isalpha():
+                marked.append((part, word, part[len(word):]))
+                if word not in later:
+                    whole.add(word)
+            else:
+                whole.add(part)
+        later.update(self._alone(whole, " "))
+        first.update(self._alone({marks for _, _, marks in marked if marks not in first}, ""))
+        later.update([(part, later[word] + first[marks]) for part, word, marks in marked])
+        ids = [b"".join((first[parts[0]], *map(later.__getitem__, parts[1:]))) if parts else b"" for parts in cut]
+        for known, new in ((first, new_first), (later, new_later | whole)):
+            for part in new:
+                if len(part) > LONGEST_KEPT or _ragged(part):
+                    del known[part]
+        return ids
 
-    @staticmethod
-    def _parts(text: str) -> list[str]:
-        """Parts of the text; all but the first go without the space before them."""
-        if not text:
-            return []
-        if _OTHER_SPACE.search(text) is None:
-            return text.split(" ")
-        first, *rest = _CUT.split(text)
-        return [first, *(part[1:] for part in rest)]
+    def _alone(self, parts: set[str], space: str) -> Iterator[tuple[str, bytes]]:
+        """Each part behind the given space, one call for each."""
+        wanted = list(parts)
+        found = self.tokenizer.encode_batch_fast([space + part for part in wanted], add_special_tokens=False)
+        return ((part, array("I", x.ids).tobytes()) for part, x in zip(wanted, found, strict=True))
 
 
-def _INT32(value: int) -> bytes:
-    return value.to_bytes(4, "little")
+def _ragged(part: str) -> bool:
+    """Whether a part is empty or has white space at an end, so that it may not be cut off there."""
+    return not part or part[0].isspace() or part[-1].isspace()
