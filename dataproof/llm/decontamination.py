@@ -28,14 +28,10 @@ TABLE_BITS = 22
 
 @dataclass(frozen=True)
 class OverlapRule:
-    """An overlap counts from ``min_matched`` equal words in a run of which they are a large enough share.
-
-    Runs score 1 for an equal word and minus ``penalty`` for a replaced one; the best run is taken.
-    """
+    """An overlap is a run with ``min_matched`` equal words or more that are ``min_percent`` of its words or more."""
 
     min_matched: int = 8
     min_percent: int = 75
-    penalty: int = 2
 
 
 class SeedIndex:
@@ -92,12 +88,17 @@ def seed_hashes(words: np.ndarray, seed: int) -> np.ndarray:
     return mix(total, 32)
 
 
-def best_run(equal: np.ndarray, penalty: int) -> tuple[int, int]:
-    """Start and end of the run with the highest score."""
-    sums = np.concatenate(([0], np.cumsum(np.where(equal, 1, -penalty))))
-    least = np.minimum.accumulate(sums)
-    end = int(np.argmax(sums - least))
-    return int(np.argmin(sums[:end + 1])), end
+def longest_run(equal: np.ndarray, min_percent: int) -> tuple[int, int]:
+    """Start and end of the first of the longest runs with a large enough share of equal words, without unequal ends.
+
+    No run with that share has more equal words: one with m of them can be widened to the whole diagonal or to
+    100 * m // min_percent words, and from that length on the share alone demands m equal words.
+    """
+    sums = np.concatenate(([0], np.cumsum(np.where(equal, 100 - min_percent, -min_percent))))
+    starts = np.searchsorted(-np.minimum.accumulate(sums), -sums)
+    end = int(np.argmax(np.arange(len(sums)) - starts))
+    places = np.flatnonzero(equal[starts[end]:end]) + int(starts[end])
+    return (int(places[0]), int(places[-1]) + 1) if len(places) else (0, 0)
 
 
 def overlaps(texts: pa.Array, index: SeedIndex, rule: OverlapRule) -> Iterator[tuple[int, int, int, int, int]]:
@@ -108,9 +109,9 @@ def overlaps(texts: pa.Array, index: SeedIndex, rule: OverlapRule) -> Iterator[t
             own, test = words[at[text]:at[text + 1]], index.words[item]
             begin, stop = max(0, -shift), min(len(test), len(own) - shift)
             equal = own[begin + shift:stop + shift] == test[begin:stop]
-            a, b = best_run(equal, rule.penalty)
+            a, b = longest_run(equal, rule.min_percent)
             matched = int(equal[a:b].sum())
-            if matched < rule.min_matched or matched * 100 < rule.min_percent * (b - a):
+            if matched < rule.min_matched:
                 continue
             found = (matched, -(begin + shift + a), b - a)
             best[text, item] = max(found, best.get((text, item), found))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 from messy import PROSE, empty, messy
 
-from dataproof.llm.decontamination import contaminated, drop_contaminated
+from dataproof.llm.decontamination import contaminated, drop_contaminated, longest_run
 from dataproof.llm.queries import QUERIES
 
 
@@ -41,6 +42,30 @@ def test_replaced_words(spark):
     assert [r["doc_id"] for r in drop_contaminated(messy(spark, docs), benchmark).collect()] == [99]
 
 
+def test_longest_run():
+    """An overlap is found if and only if some run passes the rule, and none that passes has more equal words."""
+    draw = np.random.default_rng(5)
+    for _ in range(400):
+        equal = draw.random(draw.integers(1, 60)) < draw.choice([0.5, 0.7, 0.8])
+        for percent in (60, 75, 100):
+            most = max((
+                int(equal[a:b].sum()) for a in range(len(equal)) for b in range(a + 1, len(equal) + 1)
+                if equal[a:b].sum() * 100 >= percent * (b - a)
+            ), default=0)
+            a, b = longest_run(equal, percent)
+            assert equal[a:b].sum() == most and equal[a:b].sum() * 100 >= percent * (b - a)
+
+
+def test_shorter_run_inside(spark):
+    """The whole copy is under the share, a part of it is not."""
+    item = [f"term{i}" for i in range(61)]
+    copy = [word if i % 13 < 9 else f"new{i}" for i, word in enumerate(item)]
+    docs = [(1, " ".join(["start", *copy, "end"]), "en"), (2, " ".join(copy[:9]), "en")]
+    benchmark = spark.createDataFrame([(5, " ".join(item))], "item_id long, text string")
+    rows = {r["doc_id"]: r for r in contaminated(spark.createDataFrame(docs, "doc_id long, text string, lang string"), benchmark).collect()}
+    assert {doc: (r["first_word"], r["n_words"], r["n_matched"]) for doc, r in rows.items()} == {1: (1, 48, 36), 2: (0, 9, 9)}
+
+
 def test_messy_rows(spark):
     benchmark = spark.createDataFrame([(1, PROSE), (1, PROSE), (None, PROSE), (2, ""), (3, None)], "item_id long, text string")
     rows = contaminated(messy(spark), benchmark).collect()
