@@ -1,7 +1,7 @@
 """Main text of web pages, by marked regions and by what neighbouring pages of a host share.
 
-Pages of a host are put in the order of their url paths and each is paired with the nearer of its two
-neighbours. The text lines of the two are aligned by a longest common subsequence, and lines outside an
+Pages of a host are put in the order of their url paths and each is paired with the nearest page that has
+another text. The text lines of the two are aligned by a longest common subsequence, and lines outside an
 article that both have are deleted: a template wrote them, not an author. Regions that the
 markup itself names (menus, footers, adverts, forms, comments) go in any case, and prose inside an article
 stays, however often it is repeated elsewhere.
@@ -15,18 +15,22 @@ from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dataproof.llm.url_templates import host_of, path_of
 from dataproof.sources.shared import keep_table
 
-#: Two pages that share more of their lines than this are copies; nothing tells template from text.
-COPY_PERCENT = 80
+#: Two pages that share more of their lines than this may have the same text; pages further off are asked first.
+CLOSE_PERCENT = 80
+#: Neighbours looked at on each side of a page, and pages that are compared in one go.
+REACH, BLOCK = 8, 128
 #: Rows handed on at a time.
 ROWS_AT_ONCE = 256
 
@@ -206,10 +210,21 @@ def common_lines(own: list[int], other: list[int]) -> list[int]:
     return found[::-1]
 
 
-def shared_lines(own: list[int], other: list[int]) -> list[int]:
-    """The aligned lines, or none if the pages are copies of each other."""
-    found = common_lines(own, other)
-    return [] if 100 * len(found) > COPY_PERCENT * max(len(own), len(other)) else found
+def shared_lines(own: list[int], *others: list[int]) -> list[int]:
+    """The lines of a page that a template wrote, by its neighbours, the nearest first.
+
+    Pages that have all of its lines are copies and tell nothing. The first page that shares up to
+    CLOSE_PERCENT of the lines decides; if there is none, the lines that all closer pages share.
+    """
+    close: list[set[int]] = []
+    for other in others:
+        found = common_lines(own, other)
+        if len(found) == len(own):
+            continue
+        if 100 * len(found) <= CLOSE_PERCENT * max(len(own), len(other)):
+            return found
+        close.append(set(found))
+    return sorted(set.intersection(*close)) if close else []
 
 
 def nearness(path: str, other: str) -> int:
@@ -217,12 +232,17 @@ def nearness(path: str, other: str) -> int:
     return next((k for k, (a, b) in enumerate(zip(path, other, strict=False)) if a != b), min(len(path), len(other)))
 
 
-def _paired(own: tuple, before: tuple | None, after: tuple | None) -> list[int]:
-    """Shared lines of a page (key, key, host, path, lines) with the nearer neighbour of its host."""
-    sides = [x for x in (before, after) if x is not None and x[2] == own[2]]
-    if not sides:
-        return []
-    return shared_lines(own[4], max(sides, key=lambda x: nearness(own[3], x[3]))[4])
+def nearest(own: tuple, before: list[tuple], after: list[tuple]) -> Iterator[list[int]]:
+    """Lines of the neighbours (host, path, lines) of a page's host, the longer path in common first.
+
+    Both sides are given from the page outwards; in the order of paths what follows is never nearer.
+    """
+    sides = [iter([x for x in side[:REACH] if x[0] == own[0]]) for side in (before, after)]
+    heads = [next(side, None) for side in sides]
+    while any(heads):
+        side = max((k for k in (0, 1) if heads[k]), key=lambda k: nearness(own[1], heads[k][1]))
+        yield heads[side][2]
+        heads[side] = next(sides[side], None)
 
 
 def _keyed(df: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
@@ -230,15 +250,16 @@ def _keyed(df: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame
     return given.select("*", F.xxhash64("html").alias("key_a"), F.xxhash64("url", F.col("id").cast("string"), F.lit(1)).alias("key_b"))
 
 
-_PAGE = "key_a long, key_b long, host string, path string, lines array<long>"
+_PAGE = "key_a long, key_b long, host string, path string, same long, lines array<long>"
+_PLACED = "block long, place long, host string, path string, same long, lines array<long>"
 
 
 def shared_by_neighbours(pages: DataFrame) -> DataFrame:
-    """(key_a, key_b, shared line numbers) of pages that share lines with their nearest neighbour.
+    """(key_a, key_b, shared line numbers) of pages that share lines with their neighbours.
 
-    Only hashes of lines are moved. Pages are dealt by ranges of (host, path), so a large host is
-    spread over many tasks; at the two ends of a task's range the neighbour is found among the ends
-    of the other ranges, of which there are two for each task.
+    Only hashes of lines are moved. Pages of a host with equal lines are one page here, under the first of
+    their paths. They are numbered in the order of (host, path), by ranges, so a large host is spread over
+    many tasks, and compared in blocks of numbers; the pages at a block's ends are in both blocks.
     """
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,93 +268,79 @@ def shared_by_neighbours(pages: DataFrame) -> DataFrame:
                 [xxhash.xxh3_64_intdigest(line.text) - (1 << 63) for line in page_lines(source)]
                 for source in batch.column(4).to_pylist()
             ]
+            same = [xxhash.xxh3_64_intdigest(np.array(x, np.int64).tobytes()) - (1 << 63) for x in lines]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:4], pa.array(lines, pa.list_(pa.int64()))], names=["key_a", "key_b", "host", "path", "lines"]
+                [*batch.columns[:4], pa.array(same, pa.int64()), pa.array(lines, pa.list_(pa.int64()))],
+                names=["key_a", "key_b", "host", "path", "same", "lines"],
             )
 
-    own = (
+    own, _ = keep_table(
         pages.select("key_a", "key_b", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html")
-        .mapInArrow(hashed, _PAGE).dropDuplicates(["key_a", "key_b"])
+        .mapInArrow(hashed, _PAGE).where(F.size("lines") > 0), "page-lines",
     )
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64())]
-    names = ["key_a", "key_b", "host", "path", "lines"]
-
-    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        rows = (row for batch in batches for row in zip(*[c.to_pylist() for c in batch.columns], strict=True))
+    different = own.groupBy("host", "same").agg(F.min("path").alias("path"), F.first("lines").alias("lines"))
 
-        def told(edge: int | None, row: tuple, inner: tuple | None, shared: list[int]) -> pa.RecordBatch:
-            other = inner or (None,) * 5
-            values = [*zip(row, kinds, strict=True), *zip(other, kinds, strict=True)]
-            return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([edge], pa.int32()), pa.array([shared], pa.list_(pa.int32()))]
-                + [pa.array([value], kind) for value, kind in values],
-                names=["part", "edge", "shared", *names, *[f"inner_{name}" for name in names]],
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, place = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            numbers = pa.array(range(place, place + batch.num_rows), pa.int64())
+            place += batch.num_rows
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([part] * batch.num_rows, pa.int64()), numbers, *batch.columns],
+                names=["block", "place", "host", "path", "same", "lines"],
             )
 
-        before, here = None, next(rows, None)
-        if here is None:
-            return
-        after = next(rows, None)
-        while True:
-            if before is None or after is None:
-                yield told(0 if before is None else 1, here, after if before is None else before, [])
-            else:
-                shared = _paired(here, before, after)
-                if shared:
-                    yield told(None, here, None, shared)
-            if after is None:
-                return
-            before, here, after = here, after, next(rows, None)
-
-    order = ["host", "path", "key_a", "key_b"]
-    inner_fields = ", ".join(f"inner_{f.strip()}" for f in _PAGE.split(","))
-    found, _ = keep_table(
-        own.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(
-            within, f"part int, edge int, shared array<int>, {_PAGE}, {inner_fields}"
-        ),
-        "shared-lines",
-    )
-    page = F.struct(*names)
-    line = Window.orderBy("part", "edge")
-    ends = found.where("edge is not null").select(
-        page.alias("own"), F.struct(*[F.col(f"inner_{name}").alias(name) for name in names]).alias("inner"), "edge",
-        F.lag(page).over(line).alias("lag"), F.lead(page).over(line).alias("lead"),
+    order = ["host", "path", "same"]
+    ranged, _ = keep_table(
+        different.select(*order, "lines").repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(placed, _PLACED),
+        "page-order",
     )
+    base, total = {}, 0
+    for part, count in sorted(ranged.groupBy("block").count().collect()):
+        base[part], total = total, total + count
 
-    def at_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                own, inner, lag, lead = (
-                    None if row[k] is None or row[k]["key_a"] is None else tuple(row[k][name] for name in names)
-                    for k in ("own", "inner", "lag", "lead")
+            rows = batch.to_pydict()
+            at = np.array([base[part] + k for part, k in zip(rows["block"], rows["place"], strict=True)], np.int64)
+            low, high = (at - REACH) // BLOCK, (at + REACH) // BLOCK
+            for block in (low, high):
+                taken = np.flatnonzero(low < high) if block is high else np.arange(len(at))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(block[taken]), pa.array(at[taken]), *[column.take(pa.array(taken)) for column in batch.columns[2:]]],
+                    names=batch.schema.names,
                 )
-                # A range's first page looks back to the range before, its last to the one after; a lone page is both.
-                if row["edge"] == 0:
-                    before, after = lag, inner if inner is not None else lead
-                else:
-                    before, after = inner, lead
-                out.append((own[0], own[1], _paired(own, before, after)))
-            out = [row for row in out if row[2]]
-            columns = list(zip(*out, strict=True)) if out else [(), (), ()]
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in zip(*[c.to_pylist() for c in batch.columns], strict=True))
+        for block, group in groupby(rows, key=lambda row: row[0]):
+            found, group = [], list(group)
+            told = [(host, path, lines) for _, _, host, path, _, lines in group]
+            for k, (_, place, host, _, same, lines) in enumerate(group):
+                if place // BLOCK == block:
+                    shared = shared_lines(lines, *nearest(told[k], told[max(0, k - REACH):k][::-1], told[k + 1:k + 1 + REACH]))
+                    if shared:
+                        found.append((host, same, shared))
+            host, same, shared = zip(*found, strict=True) if found else ((),) * 3
             yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.list_(pa.int32()))],
-                names=["key_a", "key_b", "shared"],
+                [pa.array(host, pa.string()), pa.array(same, pa.int64()), pa.array(shared, pa.list_(pa.int32()))],
+                names=["host", "same", "shared"],
             )
 
-    schema = "key_a long, key_b long, shared array<int>"
-    return found.where("edge is null").select("key_a", "key_b", "shared").union(
-        ends.select("own", "inner", "edge", "lag", "lead").mapInArrow(at_ends, schema)
+    shared = (
+        ranged.mapInArrow(dealt, _PLACED).repartition("block").sortWithinPartitions("block", "place")
+        .mapInArrow(within, "host string, same long, shared array<int>")
     )
+    keys = own.select("key_a", "key_b", "host", "same").dropDuplicates()
+    return keys.join(shared, ["host", "same"]).select("key_a", "key_b", "shared")
 
 
 def extract_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per row: the id, the url, ``text`` and ``n_chars``.
 
     Blocks are joined in page order by an empty line; white space inside a block is one space, character
-    references are decoded. NULL and empty pages have an empty text. A page alone on its host has no
-    neighbour and loses no shared line. Identical rows get identical results; pages with equal paths are
+    references are decoded. NULL and empty pages have an empty text. A page alone on its host, or with copies
+    only, has no neighbour and loses no shared line. Identical rows get identical results; pages with equal paths are
     ordered by content. Ids and urls may be NULL or repeat. An empty table gives an empty result. Other
     columns are not read, so their names cannot clash.
     """

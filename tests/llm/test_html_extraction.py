@@ -60,6 +60,32 @@ def test_template_lines_go(spark):
     assert found[20]["text"].startswith("Welcome") and found[None]["text"] == "" and len(found) == len(rows)
 
 
+def test_copies_are_looked_past(spark):
+    """Copies, also near ones and under other paths, and long templates: the next page with another text tells."""
+    def page(n, top="Welcome to our site", more=1):
+        return f"<div>{top}</div><div>Story {n} is long and new</div><div>More about {n}</div>" + "".join(f"<div>Write to us {k}</div>" for k in range(more))
+
+    rows = [(n, f"http://one.example/news/{n}", page(n)) for n in range(5)]
+    rows += [(10 + n, f"http://one.example/{place}", page(3)) for n, place in enumerate(("news/3", "news/3/print", "old/3", "z"))]
+    rows += [(20, "http://one.example/news/3", page(3).replace("<div>", "<div class=x>"))]
+    # Templates of more than 80 percent, and two pages with the same long text next to one with another.
+    rows += [(30 + n, f"http://two.example/{n}", page(n, more=20)) for n in range(3)]
+    text = "".join(f"<div>Sentence {n}</div>" for n in range(20))
+    rows += [(40, "http://three.example/a/1", f"<div>Top</div>{text}<div>at 10:01</div>")]
+    rows += [(41, "http://three.example/a/2", f"<div>Top</div>{text}<div>at 10:02</div>")]
+    rows += [(42, "http://three.example/b/1", "<div>Top</div><div>Else</div><div>at 10:03</div>")]
+    # Pages far off in the order, over the ends of blocks.
+    rows += [(1000 + n, f"http://four.example/{n:04d}", page(n)) for n in range(300)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
+    found = {r["page_id"]: r["text"] for r in extract_text(df).collect()}
+    own = {**{n: n for n in range(5)}, **{10 + n: 3 for n in range(4)}, 20: 3, **{30 + n: n for n in range(3)}}
+    own |= {1000 + n: n for n in range(300)}
+    for page_id, n in own.items():
+        assert found[page_id] == f"Story {n} is long and new\n\nMore about {n}", page_id
+    sentences = "\n\n".join(f"Sentence {n}" for n in range(20))
+    assert found[40] == f"{sentences}\n\nat 10:01" and found[41] == f"{sentences}\n\nat 10:02" and len(found) == len(rows)
+
+
 def test_prose_in_articles_stays(spark):
     page = "<nav>m</nav><article><p>The same first sentence.</p><p>Story {}.</p><p><a href=x>All stories</a></p></article>"
     df = spark.createDataFrame([(n, f"http://h/{n}", page.format(n)) for n in range(4)], "page_id long, url string, html string")
