@@ -12,7 +12,7 @@ from __future__ import annotations
 import html
 import re
 from bisect import bisect_left
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import groupby
@@ -37,7 +37,10 @@ ROWS_AT_ONCE = 256
 # --- fixed values: elements of the markup language and usual names of page regions --------------------
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = "script|style|noscript|template|iframe|object|svg|math|textarea|select|button|canvas|audio|video|title"
+#: Elements without main text: those that hold no markup, and others; of these, those that cannot hold another of their kind.
+_RAW = frozenset("script style iframe textarea title".split())
+_SKIPPED = frozenset("noscript template object svg math select button canvas audio video".split())
+_ALONE = _SKIPPED - frozenset("template object svg math".split())
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer "
     "form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th "
@@ -52,15 +55,29 @@ _REGIONS = frozenset(
     "modal overlay newsletter subscribe subscription signup login social share sharing related recommended comment "
     "comments commentlist disqus reply replies respond widget widgets toolbar pagination pager search skip".split()
 )
+#: Regions named by two words.
+_COMPOUNDS = frozenset(
+    f"{first}-{second}" for firsts, seconds in (
+        ("site page main global top bottom left right primary secondary", "nav navbar navigation menu footer sidebar banner ad"),
+        ("nav navigation menu", "bar menu list links"), ("footer sidebar", "nav menu links widgets"),
+        ("cookie cookies consent gdpr", "notice banner bar consent popup message"),
+        ("comment comments", "list form area section thread"), ("related recommended", "posts articles stories content links"),
+        ("share sharing social", "buttons bar links icons share sharing"),
+        ("ad ads advert", "container slot banner wrapper unit box block"), ("newsletter", "signup form subscribe box"),
+        ("search", "form box bar"), ("skip", "link links nav"),
+    ) for first in firsts.split() for second in seconds.split()
+)
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>"
-    rf"|<(?P<raw>{_RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)>",
     re.DOTALL | re.IGNORECASE,
 )
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
-_NAME = re.compile(r"[^a-z0-9]+")
+_ATTRIBUTE = re.compile(r"""([^\s"'=/<>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>][^\s>]*))?""")
+#: The slash that closes a tag at once; in a value without quotes it belongs to the value.
+_AT_ONCE = re.compile(r"""(?:^|["'\s]|\s[^\s="']+)/\s*\Z""")
+_BOUNDARY = re.compile(rf"</?(?:{'|'.join(sorted(_BLOCK))})(?=[\s/>])", re.IGNORECASE)
+_NUMBERED = re.compile(r"-?[0-9]+\Z")
 _HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
@@ -79,6 +96,9 @@ class _Open:
     dropped: bool
     article: bool
     header: bool = False
+    #: Dropped by more than a class or id, and in an article element.
+    sure: bool = False
+    inside: bool = False
 
 
 @dataclass
@@ -103,21 +123,80 @@ class _Lines:
             self.links += len("".join(text.split()))
 
 
-def _names_region(name: str, attributes: str) -> bool:
-    """Whether the attributes call the element a menu, an advert, comments and the like, or hide it."""
-    for found in _ATTRIBUTE.finditer(attributes):
-        key, value = found.group(1).lower(), (found.group(2) or "").strip("\"'").lower()
-        if key == "hidden" or key == "aria-hidden" and value == "true":
-            return True
-        if key == "style" and _HIDDEN_STYLE.search(value):
-            return True
-        if key == "role" and value in _ROLES:
+def _named(value: str) -> bool:
+    """Whether one of the whole names in a class or id is that of a region."""
+    for name in value.lower().split():
+        name = _NUMBERED.sub("", re.sub("[_-]+", "-", name))
+        if name in _REGIONS or name in _COMPOUNDS:
             return True
-        if key in ("class", "id") and not _REGIONS.isdisjoint(_NAME.split(value)):
-            return name not in ("html", "body", "main")
     return False
 
 
+def _marked_region(attributes: str) -> tuple[bool, bool]:
+    """Whether the attributes hide the element or give it another role, and whether they name it a menu, an advert and the like."""
+    sure = named = False
+    for found in _ATTRIBUTE.finditer(attributes):
+        key, value = found.group(1).lower(), (found.group(2) or "").strip("\"'").lower()
+        sure |= (
+            key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value in _ROLES
+            or key == "style" and _HIDDEN_STYLE.search(value) is not None
+        )
+        named |= key in ("class", "id") and _named(value)
+    return sure, named
+
+
+class _Ends:
+    """Where the elements without main text end: at their closing tag, or left open, at the next block."""
+
+    def __init__(self, source: str):
+        self.source, self.open_raw, self.closed = source, set(), None
+
+    def end(self, name: str, tag: re.Match) -> int:
+        if _AT_ONCE.search(tag.group("attributes") or ""):
+            return tag.end()
+        end = self._raw(name, tag.end()) if name in _RAW else self._skipped().get(tag.start())
+        if end is None:
+            block = _BOUNDARY.search(self.source, tag.end())
+            end = block.start() if block else len(self.source)
+        return end
+
+    def _raw(self, name: str, at: int) -> int | None:
+        if name in self.open_raw:
+            return None
+        close = re.compile(rf"</{name}\s*>", re.IGNORECASE).search(self.source, at)
+        if close is None:
+            self.open_raw.add(name)
+        return close and close.end()
+
+    def _skipped(self) -> dict[int, int]:
+        """Ends of the others by their starts, if they are closed within the element around them."""
+        if self.closed is not None:
+            return self.closed
+        self.closed, stack, latest, count, at = {}, [], {}, Counter(), 0
+        while tag := _TAG.search(self.source, at):
+            at, name = tag.end(), (tag.group("name") or "").lower()
+            if name in _RAW and not tag.group("close") and not _AT_ONCE.search(tag.group("attributes") or ""):
+                at = self._raw(name, at) or at
+            if name in _VOID or name not in _BLOCK and name not in _SKIPPED:
+                continue
+            if tag.group("close"):
+                while count[name]:
+                    last, start = stack.pop()
+                    count[last] -= 1
+                    if last == name:
+                        if name in _SKIPPED:
+                            self.closed[start] = at
+                        break
+            elif name in _BLOCK or not _AT_ONCE.search(tag.group("attributes") or ""):
+                if name in _ALONE and count[name]:
+                    latest[name][0] = ""
+                    count[name] -= 1
+                latest[name] = [name, tag.start()]
+                stack.append(latest[name])
+                count[name] += 1
+        return self.closed
+
+
 def page_lines(source: str | None) -> list[Line]:
     """The blocks of a page in order, without the regions that its markup marks as no main text.
 
@@ -133,7 +212,8 @@ def page_lines(source: str | None) -> list[Line]:
         if piece and not top.dropped:
             lines.add(piece, top.article, anchors > 0)
 
-    for tag in _TAG.finditer(source):
+    ends = _Ends(source)
+    while tag := _TAG.search(source, at):
         text(source[at:tag.start()])
         at = tag.end()
         name = (tag.group("name") or "").lower()
@@ -147,6 +227,9 @@ def page_lines(source: str | None) -> list[Line]:
             lines.end()
         if name in _VOID:
             continue
+        if name in _RAW or name in _SKIPPED:
+            at = at if tag.group("close") else ends.end(name, tag)
+            continue
         if tag.group("close"):
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth].name == name:
@@ -158,15 +241,23 @@ def page_lines(source: str | None) -> list[Line]:
             while len(stack) > 1 and stack[-1].name not in _BLOCK - {"p"}:
                 stack.pop()
             above = stack[-1]
-        region = _names_region(name, tag.group("attributes") or "")
+        sure, named = _marked_region(tag.group("attributes") or "")
+        if name in ("html", "body", "main") or name == "article" and not above.inside:
+            named = False
+        region = sure or named
         if name not in _BLOCK and name not in _OUTSIDE and not region:
             continue
         in_header = above.header or name == "header"
-        dropped = above.dropped or region or name in _OUTSIDE or name == "header" and not above.article
+        sure = above.sure or sure or name in _OUTSIDE or name == "header" and not above.article
+        dropped = above.dropped or region or sure
+        if name in ("article", "main") and not above.inside:
+            # What is around an article may be called a menu or have one; the article is no part of it.
+            dropped = sure
         if in_header and above.article:
             # Of a header inside an article the headings belong to the article.
             dropped = above.dropped and not above.header or region or name not in _HEADINGS
-        stack.append(_Open(name, dropped, above.article or name in ("article", "main"), in_header))
+        article = above.article or name in ("article", "main")
+        stack.append(_Open(name, dropped, article, in_header, sure, above.inside or name == "article"))
     text(source[at:])
     lines.end()
     return lines.found

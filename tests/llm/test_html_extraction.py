@@ -31,6 +31,31 @@ def test_pages(source, text):
     assert main_text(page_lines(source), set()) == text
 
 
+@pytest.mark.parametrize(("source", "text"), [
+    ("<article class='post has-sidebar'><p>x</p></article>", "x"), ("<div id='layout-sidebar-right'><p>x</p></div>", "x"),
+    ("<div class='content no-comments'><article><p>x</p></article></div>", "x"),
+    ("<article class='related'><p>x</p></article>", "x"),
+    ("<div class='sidebar'><p>s</p><div class=box><article><p>x</p></article></div></div><p>y</p>", "x"),
+    ("<div class=widget><main><article class='widget'><p>x</p></article></main></div>", "x"),
+    ("<div hidden><article><p>x</p></article></div><p>y</p>", "y"), ("<p>y</p><nav><article>x</article></nav>", "y"),
+    ("<article><p>x</p><article class='comment'><p>nice</p></article></article>", "x"),
+    ("<article><p data-hidden='false'>a</p><p title='a hidden gem'>b</p><p title=\"class='ad'\">c</p></article>", "a\n\nb\n\nc"),
+    ("<article><p HIDDEN=''>n</p><p class='Ad-12'>n</p><div id=main_nav>n</div><div class='x cookie-banner'>n</div><p>a</p></article>", "a"),
+    ("<article><p>a <svg class='i' /> b</p><p>c</p></article>", "a b\n\nc"), ("<article><script src='x'/><p>a</p></article>", "a"),
+    ("<article><p>a <button>Share</p><p>b</p><button>ok</button><p>c</p></article>", "a\n\nb\n\nc"),
+    ("<article><button>Share<p>b</p></article><p><button>ok</button></p>", "b"), ("<article><p>a <script>v=1;</p><p>b</p></article>", "a\n\nb"),
+    ("<article><svg><svg/><svg><title>t</title></svg><text>n</text></svg><p>a<button><div>n</div></button>b</article>", "ab"),
+    ("<article><script src=/js/>v='<p>n'</script><noscript><p>n</p></noscript><p>a</p></article>", "a"),
+])
+def test_marks_are_taken_at_their_word(source, text):
+    assert main_text(page_lines(source), set()) == text
+
+
+def test_many_open_elements():
+    source = "<article>" + "<p>a <svg> <script> <button>b" * 20_000
+    assert len(page_lines(source)) == 20_000
+
+
 def test_longest_common_lines():
     draw = random.Random(2)
 
