@@ -17,11 +17,15 @@ from pyspark.sql import functions as F
 
 from dataproof.llm.words import hashed_words, mix
 
-#: Fixed masks; 1: the word counts, 0: it is ignored.
-MASKS = ("111111", "11011011", "1100101011", "101001100101")
+#: Fixed masks; 1: the word counts, 0: it is ignored. Every run with 8 equal words or more that are 75 percent of
+#: its words or more is hit: of 20 words or more one half passes as well, and a mask fits each shorter run.
+MASKS = (
+    "111111", "11011011", "1100101011", "101001100101",
+    "110100000111", "11100111", "110101011", "11010001011", "1101011001",
+)
 
 #: Characters of test items that are sent to the tasks at once. More items are searched in blocks.
-BLOCK_CHARS = 32_000_000
+BLOCK_CHARS = 14_000_000
 #: Bits of the table that sorts out most runs before the exact look-up.
 TABLE_BITS = 22
 
@@ -137,6 +141,7 @@ def contaminated(
 
     ``coverage`` is the share of the item's words that the overlap has. Of several overlaps with an item
     the one with the most equal words is given, of equal ones the first. Words are lower-cased in A-Z.
+    No overlap is missed under the given rule or a stricter one; a looser one may miss some without a hit.
 
     The items go to the tasks in blocks of a fixed size and the documents are read once for each block;
     nothing is shuffled, and a text's cost grows with its length. NULL and empty texts, and items with

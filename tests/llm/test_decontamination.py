@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 from messy import PROSE, empty, messy
 
-from dataproof.llm.decontamination import contaminated, drop_contaminated, longest_run
+from dataproof.llm.decontamination import OverlapRule, SeedIndex, contaminated, drop_contaminated, longest_run, overlaps
 from dataproof.llm.queries import QUERIES
 
 
@@ -66,6 +68,19 @@ def test_shorter_run_inside(spark):
     assert {doc: (r["first_word"], r["n_words"], r["n_matched"]) for doc, r in rows.items()} == {1: (1, 48, 36), 2: (0, 9, 9)}
 
 
+def test_every_short_overlap_has_a_hit():
+    """All runs of 8 to 19 words that pass the rule; of a longer one, one half passes too."""
+    items, texts = [], []
+    for length in range(8, 20):
+        for count in range(length - max(8, -(-75 * length // 100)) + 1):
+            for replaced in itertools.combinations(range(1, length - 1), count):
+                number = len(items)
+                items.append((number, " ".join(f"w{number}x{k}" for k in range(length))))
+                texts.append(" ".join(f"new{k}" if k in replaced else f"w{number}x{k}" for k in range(length)))
+    found = {(text, item) for text, item, *_ in overlaps(pa.array(texts), SeedIndex(items), OverlapRule())}
+    assert found == {(number, number) for number in range(len(items))}
+
+
 def test_messy_rows(spark):
     benchmark = spark.createDataFrame([(1, PROSE), (1, PROSE), (None, PROSE), (2, ""), (3, None)], "item_id long, text string")
     rows = contaminated(messy(spark), benchmark).collect()
