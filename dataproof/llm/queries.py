@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 
 from dataproof.llm.bpe import bpe_round_trip
 from dataproof.llm.decontamination import contaminated
+from dataproof.llm.hard_negatives import hard_negatives
 from dataproof.llm.html_extraction import extract_text
 from dataproof.llm.lattice_lm import lattice_scores
 from dataproof.llm.length_histogram import encoded_lengths, length_histogram
 from dataproof.llm.line_rules import line_rules
 from dataproof.llm.oracles import ORACLES
 from dataproof.llm.parity_join import parity_join
+from dataproof.llm.repeated_passages import drop_repeated_passages
+from dataproof.llm.source_divergence import source_divergence
 from dataproof.llm.subword_classifier import fit, held_out, scored
 from dataproof.llm.token_files import read_token_files, write_token_files
 from dataproof.llm.url_templates import Rule, judge_urls
@@ -120,3 +123,24 @@ def op10_url_filters(spark, sf_dir):
 def op3_html_text(spark, sf_dir):
     """The main text of every page."""
     return extract_text(table(spark, sf_dir, "pages"))
+
+
+@query
+def op11_hard_negatives(spark, sf_dir):
+    """Hard negatives of every fiftieth vector; the label of every seventh is taken for another one."""
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows.withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
+@query
+def op12_source_divergence(spark, sf_dir):
+    """How far all sources of a language lie apart, and the terms that set each one off."""
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_repeated_passages(spark, sf_dir):
+    """What is left of every document without the passages that a document with a smaller id has."""
+    found = drop_repeated_passages(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))

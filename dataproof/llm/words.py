@@ -30,6 +30,17 @@ def mix(values: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z in lower case."""
+    return _LOWER[data]
+
+
+def gathered(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of the spans one after another, and where each starts (and the last ends)."""
+    at = np.concatenate(([0], np.cumsum(end - begin)))
+    return data[np.repeat(begin - at[:-1], end - begin) + np.arange(at[-1])], at
+
+
 def _powers(longest: int) -> np.ndarray:
     """Powers of the base, as many as the longest word seen needs."""
     global _POWERS
@@ -63,12 +74,17 @@ def text_chunks(texts: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int, n
         first = end
 
 
-def word_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of every word, and at which word each text starts (and the last ends)."""
+def word_spans(
+    data: np.ndarray, at: np.ndarray, between: np.ndarray = _SPACE
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of every word, and at which word each text starts (and the last ends).
+
+    ``between`` tells for each byte whether it lies between words; without it, white space does.
+    """
     if not len(data):
         none = np.zeros(0, dtype=np.int64)
         return none, none, np.zeros(len(at), dtype=np.int64)
-    inside = ~_SPACE[data]
+    inside = ~between[data]
     starts = inside.copy()
     starts[1:] &= ~inside[:-1]
     first = at[:-1][at[:-1] < len(data)]
