@@ -161,10 +161,10 @@ def _gathered(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held.append(record)
         rows += record.num_rows
         if rows >= 1 << 16:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
             held, rows = [], 0
     if held:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
 def secondary_sort(records: DataFrame) -> DataFrame:

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from dataproof.llm.pieces import PieceEncoder
 from dataproof.sources.shared import keep_table
 
-TEXTS_AT_ONCE = 512
 #: Lengths summed up together on the way to suffix sums.
 BLOCK = 1024
 
@@ -22,10 +21,7 @@ def encoded_lengths(df: DataFrame, tokenizer: str, text_col: str = "text") -> Da
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = PieceEncoder.load(tokenizer)
         for batch in batches:
-            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
-                texts = batch.column(0).slice(at, TEXTS_AT_ONCE).to_pylist()
-                counted = pa.array([len(ids) // 4 for ids in encoder.encode(texts)], pa.int64())
-                yield pa.RecordBatch.from_arrays([counted], names=["length"])
+            yield pa.RecordBatch.from_arrays([pa.array(encoder.lengths(batch.column(0)))], names=["length"])
 
     return df.select(df[text_col].alias("text")).mapInArrow(lengths, "length long")
 

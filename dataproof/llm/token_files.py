@@ -21,8 +21,7 @@ from pyspark.sql import functions as F
 
 from dataproof.llm.pieces import PieceEncoder
 
-#: Texts encoded at a time, and bytes of ids handed back at a time.
-TEXTS_AT_ONCE = 512
+#: Bytes of ids handed back at a time.
 BYTES_AT_ONCE = 1 << 22
 
 
@@ -60,26 +59,20 @@ def write_token_files(
         temporary = {k: f"{base}/.{name}.{k}.{attempt}" for k in kinds}
         out = None
         written = documents = nulls = 0
-        end = np.array([end_id], dtype=kind).tobytes()
         for batch in batches:
             if not batch.num_rows:
                 continue
             if out is None:
                 out = {k: where.open_output_stream(path) for k, path in temporary.items()}
                 out["offsets"].write(np.zeros(1, dtype="<i8").tobytes())
-            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
-                some = batch.slice(at, TEXTS_AT_ONCE)
-                encoded = encoder.encode(some.column(1).to_pylist())
-                lengths = np.array([len(ids) // 4 + 1 for ids in encoded], dtype="<i8")
-                for ids in encoded:
-                    out["ids"].write(np.frombuffer(ids, dtype="<u4").astype(kind).tobytes())
-                    out["ids"].write(end)
+            for ids, lengths in encoder.encoded(batch.column(1), end_id):
+                out["ids"].write(ids.astype(kind, copy=False).data)
                 out["offsets"].write((written + np.cumsum(lengths)).astype("<i8").tobytes())
-                doc_ids = some.column(0).cast(pa.int64())
-                nulls += doc_ids.null_count
-                out["docs"].write(doc_ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
-                written += int(lengths.sum())
-                documents += some.num_rows
+                written += len(ids)
+            doc_ids = batch.column(0).cast(pa.int64())
+            nulls += doc_ids.null_count
+            out["docs"].write(doc_ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
+            documents += batch.num_rows
         if out is None:
             return
         for k in kinds:

@@ -108,6 +108,16 @@ def hash_spans(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarr
     return mix(np.add.reduceat(terms, offset) + length.astype(np.uint64))
 
 
+def hash_pieces(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A 64-bit hash, never 0, of each piece of the bytes; a piece ends where the next one starts."""
+    if not len(starts):
+        return np.zeros(0, dtype=np.uint64)
+    length = np.diff(np.append(starts, len(data)))
+    place = np.arange(len(data)) - np.repeat(starts, length)
+    terms = (data.astype(np.uint64) + np.uint64(1)) * _powers(int(length.max()))[place]
+    return mix(np.add.reduceat(terms, starts) + length.astype(np.uint64)) | np.uint64(1)
+
+
 def hashed_words(texts: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For chunks of texts: the first text's number, all word hashes, and where each text's words start."""
     for first, _, data, at in text_chunks(texts):
