@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dataproof.functions.literal import literal_rows
+from dataproof.sources.footers import column_chunks, file_units, scan_units
 from dataproof.spec import TableSpec, as_column
 
 
 def column_profile(df: DataFrame, spec: TableSpec | None = None) -> DataFrame:
-    """Columns in order with type, nullability and declared default expressions."""
+    """Columns in order with type, nullability, declared default expressions, codec and bytes.
+
+    Codec, stored and plain bytes come from the footers of the table's Parquet files; they are NULL for frames that
+    are no such table and for columns that no file has.
+    """
     generated = dict(spec.generated) if spec else {}
     rows = [
         (position, field.name, field.dataType.simpleString(), field.nullable,
@@ -21,7 +28,12 @@ def column_profile(df: DataFrame, spec: TableSpec | None = None) -> DataFrame:
         ("pos", "int"), ("name", "string"), ("type", "string"), ("nullable", "boolean"),
         ("default_kind", "string"), ("default_expr", "string"),
     ]
-    return literal_rows(df.sparkSession, fields, rows)
+    columns, chunks = literal_rows(df.sparkSession, fields, rows), column_chunks(df)
+    if chunks is None:
+        return columns.withColumns(
+            {"codec": F.lit(None).cast("string"), "stored_bytes": F.lit(None).cast("bigint"), "plain_bytes": F.lit(None).cast("bigint")}
+        )
+    return columns.join(chunks, "name", "left").select(*[name for name, _ in fields], "codec", "stored_bytes", "plain_bytes")
 
 
 def storage_columns(part: Column | str | None, size: Column | str | None) -> tuple[Column, Column]:
@@ -41,14 +53,28 @@ def part_units(
     part: Column | str | None = None,
     size: Column | str | None = None,
 ) -> DataFrame:
-    """Rows and bytes per stored part and partition, from one scan of few columns."""
-    unit, bytes_of_unit = storage_columns(part, size)
+    """Rows and bytes per stored part and partition.
+
+    Where parts are data files, from their footers, and only files of several partitions are scanned; else from one
+    scan of few columns.
+    """
+    return storage_units(df, (), partition, part, size)
+
+
+def storage_units(
+    df: DataFrame,
+    columns: Sequence[str],
+    partition: Column | str | None,
+    part: Column | str | None,
+    size: Column | str | None,
+) -> DataFrame:
+    """``part_units`` with the least and greatest value of each column."""
+    if part is None and size is None:
+        units = file_units(df, partition, columns)
+        if units is not None:
+            return units
     value = as_column(partition) if partition is not None else F.lit("all")
-    return (
-        df.select(value.alias("partition"), unit.alias("part"), bytes_of_unit.alias("size"))
-        .groupBy("partition", "part")
-        .agg(F.count("*").alias("rows"), F.max("size").cast("bigint").alias("bytes"))
-    )
+    return scan_units(df, value, columns, *storage_columns(part, size))
 
 
 def parts_summary(

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dataproof.functions.literal import literal_rows
-from dataproof.operators.profile import layout_keys, storage_columns
+from dataproof.operators.profile import layout_keys, storage_units
 from dataproof.spec import TableSpec, as_column
 
 FULL_SCAN_ROWS = 10_000_000
@@ -32,19 +32,11 @@ def part_stats(
     part: Column | str | None = None,
     size: Column | str | None = None,
 ) -> DataFrame:
-    """Rows, bytes and value ranges per stored part; one scan of the sort columns."""
-    unit, bytes_of_unit = storage_columns(part, size)
-    value = as_column(partition) if partition is not None else F.lit("all")
-    bounds = [
-        bound
-        for name in sort_columns
-        for bound in (F.min(name).alias(f"min_{name}"), F.max(name).alias(f"max_{name}"))
-    ]
-    return (
-        df.select(value.alias("partition"), unit.alias("part"), bytes_of_unit.alias("size"), *sort_columns)
-        .groupBy("partition", "part")
-        .agg(F.count("*").alias("rows"), F.max("size").cast("bigint").alias("bytes"), *bounds)
-    )
+    """Rows, bytes and value ranges per stored part, from the footers of data files where they state them.
+
+    Logical parts, partitions that a file mixes, and columns without exact bounds in the footers take a scan of the sort columns.
+    """
+    return storage_units(df, sort_columns, partition, part, size)
 
 
 def _overlaps(wanted: Range) -> Column:
