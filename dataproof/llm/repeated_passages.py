@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dataproof.llm.words import gathered, hash_spans, mix, text_bytes, word_spans
-from dataproof.sources.shared import drop_folder, keep_table
+from dataproof.sources.shared import keep_table
 
 #: Bytes of texts in a chunk; a longer text is a chunk of its own.
 CHUNK_BYTES = 1 << 22
@@ -360,14 +360,14 @@ def drop_repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str
     they take nothing from each other. An empty table gives an empty result. Other columns are not read, so their
     names cannot clash. Windows are compared by 96 bits of two hashes of their words' 64-bit hashes.
 
-    Every text is read three times and shuffled once. The sketch grows with the texts up to 64 MB for all bits; beyond
+    Every text is read three times and shuffled once; the result is lazy and reads a copy of the texts in the shared folder. The sketch grows with the texts up to 64 MB for all bits; beyond
     that more windows pass it and are grouped, none is lost.
     """
     if window < 1:
         raise ValueError("a window has at least one word")
     spark = df.sparkSession
     context = spark.sparkContext
-    chunks, path = keep_table(_with_chunks(df.select(df[id_col].cast("long").alias("id"), df[text_col].alias("text"))), "chunks")
+    chunks, _ = keep_table(_with_chunks(df.select(df[id_col].cast("long").alias("id"), df[text_col].alias("text"))), "chunks")
     bits = sketch_bits(chunks.agg(F.sum("size")).first()[0] or 0)
     cells = context.broadcast(repeated_cells(chunks, window, bits))
     buckets = BUCKETS_EACH * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -398,6 +398,4 @@ def drop_repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str
         answers.select(F.lit(None).cast("long"), F.lit(None).cast("string"), "chunk", "names")
     )
     schema = "id long, n_words long, n_removed long, kept_text string, removed array<struct<first_word:long,n_words:long>>"
-    result, _ = keep_table(both.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(keep, schema), "kept-passages")
-    drop_folder(spark, path)
-    return result.withColumnRenamed("id", id_col)
+    return both.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(keep, schema).withColumnRenamed("id", id_col)
