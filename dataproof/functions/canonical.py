@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, MapType, StructType, VariantType
+from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, MapType, StringType, StructType, VariantType
+
+#: Columns of a digest, 64 bits each.
+DIGEST = ("d0", "d1", "d2", "d3")
 
 
 def needs_canonical(kind: DataType) -> bool:
@@ -57,3 +60,20 @@ def positional(df: DataFrame, round_to: int | None = None) -> DataFrame:
             form = F.round(form, round_to)
         columns.append(form.alias(field.name))
     return renamed.select(*columns)
+
+
+def is_flat(kind: DataType) -> bool:
+    """Does a 64-bit hash of Spark's tell values of the type apart as grouping does? Nested ones and collations it does not."""
+    return not isinstance(kind, (ArrayType, MapType, StructType)) and (not isinstance(kind, StringType) or kind == StringType())
+
+
+def digested(rows: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The rows of ``positional`` with a 256-bit digest of their flat columns, and the columns that identify a row.
+
+    A hash passes over NULLs, so where they are is hashed as well. Columns that are not flat identify a row as they are.
+    """
+    flat = [rows[field.name] for field in rows.schema.fields if is_flat(field.dataType)]
+    nested = [field.name for field in rows.schema.fields if not is_flat(field.dataType)]
+    nulls = [column.isNull() for column in flat]
+    digest = {name: F.xxhash64(F.lit(seed), *nulls, *flat) for seed, name in enumerate(DIGEST)}
+    return rows.withColumns(digest), [*DIGEST, *nested]

@@ -199,16 +199,6 @@ def fingerprint(sql: Column, previous: Column | None = None) -> Column:
     return F.sha2(F.concat(previous, F.lit("\n---\n"), sql), 256)
 
 
-def unsafe_expression(expression: str) -> str | None:
-    """Why an expression text must not run as a probe, or None (driver-side, one text)."""
-    masked = re.sub(r"""'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.|"")*"|`[^`]*`""", " ", expression, flags=re.S)
-    # A subquery is any parenthesis that opens with a query word, not SELECT alone.
-    if re.search(r"\bSELECT\b|\(\s*(?:FROM|TABLE|VALUES|WITH|MAP|REDUCE)\b", masked, re.I):
-        return "subqueries are not allowed in probe expressions"
-    call = re.search(_any_call(EXTERNAL_FUNCTIONS + JVM_FUNCTIONS), masked)
-    return f"external function {call.group(1)}() is not allowed in probe expressions" if call else None
-
-
 def normalize_query(sql: Column) -> Column:
     """The shape of a query: literals and lists of literals become placeholders."""
     spaced = F.btrim(F.regexp_replace(sql, r"\s+", " "), F.lit(_BLANKS))

@@ -11,9 +11,10 @@ from pyspark.errors import (
     ArrayIndexOutOfBoundsException,
     DateTimeException,
     NumberFormatException,
+    ParseException,
     SparkRuntimeException,
 )
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
@@ -21,8 +22,9 @@ from dataproof.functions.casts import as_type, cast_fails, is_unprobeable
 from dataproof.functions.changetext import UNSUPPORTED, change_class_columns, change_class_of
 from dataproof.functions.display import format_count
 from dataproof.functions.literal import literal_rows
-from dataproof.functions.sqltext import unsafe_expression
-from dataproof.operators.profile import storage_columns
+from dataproof.functions.sqltext import EXTERNAL_FUNCTIONS, JVM_FUNCTIONS
+from dataproof.operators.profile import part_units, storage_columns
+from dataproof.operators.stability import SUBQUERIES, expressions_of
 from dataproof.spec import DELETE, MODIFY_COLUMN, UPDATE, ChangeSpec, TableSpec, as_column
 
 OK = "ok"
@@ -79,14 +81,11 @@ def blast_radius(
     """One row: matching rows, and all rows and bytes of the parts that hold one.
 
     The predicate is a filter, so it prunes partitions and reaches the files; matching rows are
-    counted per part. Rows of the touched parts come from a second scan without data columns.
+    counted per part. Rows of the parts come from the footers of their files, or from a scan of logical parts.
     """
-    unit, bytes_of_unit = storage_columns(part, size)
+    unit, _ = storage_columns(part, size)
     hits = df.filter(as_column(predicate)).groupBy(unit.alias("part")).agg(F.count("*").alias("hits"))
-    rows = (
-        df.select(unit.alias("part"), bytes_of_unit.alias("size"))
-        .groupBy("part").agg(F.count("*").alias("rows"), F.max("size").alias("bytes"))
-    )
+    rows = part_units(df, None, part, size)
     touched = hits.withColumnRenamed("part", "hit_part").join(rows, F.col("hit_part").eqNullSafe(F.col("part")))
     return touched.agg(
         _zero(F.sum("hits")).alias("matching_rows"),
@@ -135,9 +134,34 @@ def cast_probe(
     )
 
 
+_REFUSED = {name.lower() for name in EXTERNAL_FUNCTIONS + JVM_FUNCTIONS}
+
+
 def safe_expression(expression: str) -> str | None:
-    """Why an expression must not run as a probe, or None."""
-    return unsafe_expression(expression)
+    """Why an expression must not run as a probe, or None.
+
+    Spark reads the text; what counts is the tree it makes of it, so words in literals and functions that are named
+    like parts of a query decide nothing.
+    """
+    spark = SparkSession.getActiveSession()
+    if spark is None or not hasattr(spark, "_jsparkSession"):
+        return "this session does not show how it reads an expression"
+    try:
+        tree = spark._jsparkSession.sessionState().sqlParser().parseExpression(expression)
+    except ParseException:
+        return "Spark reads no expression in it"
+    for node in expressions_of(tree):
+        kind = node.getClass().getSimpleName()
+        if hasattr(node, "plan") and kind in SUBQUERIES or kind == "InSubquery":
+            return "subqueries are not allowed in probe expressions"
+        if kind == "ExpressionWithUnresolvedIdentifier":
+            return "functions named by IDENTIFIER are not allowed in probe expressions"
+        if kind == "UnresolvedFunction":
+            parts = node.nameParts()
+            name = parts.apply(parts.size() - 1)
+            if name.lower() in _REFUSED:
+                return f"external function {name}() is not allowed in probe expressions"
+    return None
 
 
 def _probe(check: str, subject: str, expression: str, target, nullable: bool) -> Probe:
@@ -226,21 +250,16 @@ def _measured(probes: Sequence[Probe]) -> list[tuple[int, Probe]]:
     return [(position, probe) for position, probe in enumerate(probes) if probe.settled is None]
 
 
-def _values(probes: Sequence[Probe], guard: Column | None = None) -> list[Column]:
-    """The probed expressions; under a guard they are not evaluated outside of it."""
-    return [
-        (F.expr(probe.expression) if guard is None else F.when(guard, F.expr(probe.expression)))
-        .alias(f"value_{position}")
-        for position, probe in _measured(probes)
-    ]
+def _values(probes: Sequence[Probe]) -> list[Column]:
+    return [F.expr(probe.expression).alias(f"value_{position}") for position, probe in _measured(probes)]
 
 
-def _counters(rows: DataFrame, probes: Sequence[Probe], guard: Column | None = None) -> list[Column]:
+def _counters(rows: DataFrame, probes: Sequence[Probe]) -> list[Column]:
     counters = []
     for position, probe in _measured(probes):
         value = F.col(f"value_{position}")
         source = rows.schema[f"value_{position}"].dataType
-        null = value.isNull() if guard is None else guard & value.isNull()
+        null = value.isNull()
         counters.append(F.count_if(cast_fails(value, source, probe.target)).alias(f"failed_{position}"))
         counters.append(F.count_if(null).alias(f"nulls_{position}"))
     return counters
@@ -349,7 +368,8 @@ def dry_run_change(
 ) -> DataFrame:
     """One row: class, table footprint, rewrite estimate and the outcome of all probes.
 
-    Everything comes from one scan. Nothing is ever written. With
+    Matching rows and probes come from one scan that the predicate prunes, rows and bytes of parts from footers (or, for
+    logical parts, a scan of the part column); a change that rewrites and probes nothing reads no data. Nothing is ever written. With
     ``on_error="finding"`` the job runs at once, and a predicate or probe that fails on the data
     becomes an error finding; any other failure is raised. With ``"raise"`` the result stays lazy.
     """
@@ -414,21 +434,18 @@ def _dry_run(
     probes: Sequence[Probe],
     failed_predicate: str | None = None,
 ) -> DataFrame:
-    unit, bytes_of_unit = storage_columns(spec.part, size)
     applied = scope == "predicate" and failed_predicate is None
-    predicate = as_column(change.predicate) if applied else F.lit(scope == "all")
-    guard = predicate if scope == "predicate" else None
-    rows = df.select(
-        unit.alias("part"), bytes_of_unit.alias("size"), predicate.alias("hit"), *_values(probes, guard)
-    )
-    counters = _counters(rows, probes, F.coalesce(F.col("hit"), F.lit(False)) if guard is not None else None)
     counted = [f"{name}_{position}" for position, _ in _measured(probes) for name in ("failed", "nulls")]
-    per_part = rows.groupBy("part").agg(
-        F.count("*").alias("rows"),
-        F.max("size").alias("bytes"),
-        F.count_if("hit").alias("hits"),
-        *counters,
-    )
+    parts = part_units(df, None, spec.part, size).select("part", "rows", "bytes")
+    if applied or counted:
+        # One scan for matching rows and probes; the predicate is its filter.
+        unit, _ = storage_columns(spec.part, size)
+        matching = df.filter(as_column(change.predicate)) if applied else df
+        rows = matching.select(unit.alias("hit_part"), *_values(probes))
+        found = rows.groupBy("hit_part").agg(F.count("*").alias("found"), *_counters(rows, probes))
+        parts = parts.join(found, F.col("part").eqNullSafe(F.col("hit_part")), "left")
+    hits = {"predicate": _zero(F.col("found")) if applied else F.lit(0), "all": F.col("rows"), "none": F.lit(0)}[scope]
+    per_part = parts.withColumn("hits", hits)
     touched = F.col("hits") > 0
     totals = per_part.agg(
         _zero(F.sum("rows")).alias("table_rows"),

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 _CLOCK_EXPRESSIONS = {
     "CurrentDate", "CurrentTime", "CurrentTimestamp", "LocalTimestamp", "Now",
 }
-_SUBQUERIES = {"Exists", "LateralSubquery", "ListQuery", "ScalarSubquery"}
+SUBQUERIES = {"Exists", "LateralSubquery", "ListQuery", "ScalarSubquery"}
 _LIMITS = {"GlobalLimit", "Offset", "Tail"}
 _KEEPS_ORDER = {"LocalLimit", "Project", "SubqueryAlias", "View"}
 
@@ -24,18 +24,19 @@ def _kind(node) -> str:
     return node.getClass().getSimpleName()
 
 
-def _expressions(expression) -> Iterator:
+def expressions_of(expression) -> Iterator:
+    """A Catalyst expression and all below it."""
     yield expression
     for child in _items(expression.children()):
-        yield from _expressions(child)
+        yield from expressions_of(child)
 
 
 def _nodes(plan) -> Iterator:
     """All nodes of a plan, those of its subqueries included."""
     yield plan
     for top in _items(plan.expressions()):
-        for expression in _expressions(top):
-            if _kind(expression) in _SUBQUERIES:
+        for expression in expressions_of(top):
+            if _kind(expression) in SUBQUERIES:
                 yield from _nodes(expression.plan())
     for child in _items(plan.children()):
         yield from _nodes(child)
@@ -44,7 +45,7 @@ def _nodes(plan) -> Iterator:
 def _clock_function(plan) -> str | None:
     for node in _nodes(plan):
         for top in _items(node.expressions()):
-            for expression in _expressions(top):
+            for expression in expressions_of(top):
                 if _kind(expression) in _CLOCK_EXPRESSIONS:
                     return expression.prettyName()
     return None
@@ -55,7 +56,7 @@ def _random_function(plan) -> str | None:
         if _kind(node) == "Sample":
             continue
         for top in _items(node.expressions()):
-            for expression in _expressions(top):
+            for expression in expressions_of(top):
                 children = list(_items(expression.children()))
                 if not expression.deterministic() and all(c.deterministic() for c in children):
                     return expression.prettyName()

@@ -98,6 +98,9 @@ def test_unprobeable_and_missing(raw, one):
     [
         ("lower(status)", True), ("(SELECT 1)", False), ("url('http://x')", False), ("reflect('a', 'b')", False),
         ("concat(status, 'select url(')", True), ("my_url(status)", True), ("'it''s (select 1)'", True),
+        ("element_at((map('a',1)),'a')", True), ("size(map_keys(map('a',1)))", True), ("coalesce(reduce(a, 0, (x,y)->x+y), 0)", True),
+        ("transform(a, x -> REFLECT('b', x))", False), ("EXISTS (SELECT 1)", False), ("a + (FROM t SELECT max(b))", False),
+        ("identifier('reflect')('a')", False), ("a +", False), ("`url(x)` + 1", True), ("db.url(a)", False),
     ],
 )
 def test_safe_expressions(expression, safe):
@@ -209,3 +212,25 @@ def test_foreign_failures_are_raised(spark):
             d.dry_run_change(df, d.TableSpec("t", ("id",), part="1"), change)
     finally:
         changes._evaluated = kept
+
+
+def test_dry_run_prunes(spark, one, tmp_path):
+    """The predicate reaches partitions and files, and what rewrites and probes nothing reads no data."""
+    path = str(tmp_path / "t")
+    spark.range(90).selectExpr("id", "id % 7 AS v", "cast(id % 3 AS int) AS y").repartition(1).write.partitionBy("y").parquet(path)
+    df, spec = spark.read.parquet(path), d.TableSpec("t", ("id",))
+    change = d.ChangeSpec("t", "update", predicate="y = 1 AND v > 4", assignments={"v": "v + 1"})
+    lazy = d.dry_run_change(df, spec, change, on_error="raise")
+    plan = lazy._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.split("\n") if "FileScan" in line]
+    assert len(scans) == 1 and "isnotnull(y" in scans[0] and "GreaterThan(v,4)" in scans[0]
+    row = one(d.dry_run_change(df, spec, change))
+    hits = sum(1 for i in range(90) if i % 3 == 1 and i % 7 > 4)
+    assert (row["table_rows"], row["active_parts"], row["matching_rows"], row["affected_part_rows"], row["affected_parts"]) == (90, 3, hits, 30, 1)
+    assert [f["checked_rows"] for f in row["correctness"]] == [hits, hits] and 0 < row["affected_bytes"] < row["table_bytes"]
+    idle = d.dry_run_change(df, spec, d.ChangeSpec("t", "add_column", "n", "int"), on_error="raise")
+    assert "FileScan" not in idle._jdf.queryExecution().executedPlan().toString()
+    assert one(idle)["table_rows"] == 90 and one(idle)["matching_rows"] == 0
+    blast = d.blast_radius(df, "y = 1 AND v > 4")
+    assert blast._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    assert one(blast)["affected_part_rows"] == 30

@@ -162,3 +162,34 @@ def test_a_plan_that_is_not_shown_proves_nothing():
         """A frame of a session without plans."""
 
     assert "does not show" in d.stability_gate(Remote())
+
+
+def test_only_digests_are_shuffled(spark, one):
+    wide = spark.range(100).select(F.repeat(F.lit("x"), 500).alias("text"), "id", F.current_timestamp().alias("t"))
+    plan = d.diff_counts(wide, wide)._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line]
+    assert exchanges and all("d0" in line and "d3" in line and "c0" not in line for line in exchanges)
+    assert one(d.diff_counts(wide, wide))["differing_rows"] == 0
+
+
+def test_digests_tell_rows_apart(spark, one):
+    """NULLs in different places, values that shift between columns, nested values that flatten to the same."""
+    pairs = [
+        ("1 AS a, CAST(NULL AS INT) AS b", "CAST(NULL AS INT) AS a, 1 AS b"),
+        ("'ab' AS a, 'c' AS b", "'a' AS a, 'bc' AS b"),
+        ("array(array(1), array(2)) AS a", "array(array(1, 2)) AS a"),
+        ("array(CAST(NULL AS INT), 1) AS a", "array(1, CAST(NULL AS INT)) AS a"),
+        ("array() AS a", "CAST(NULL AS ARRAY<VOID>) AS a"),
+        ("CAST(0 AS DOUBLE) AS a, true AS b", "CAST(0 AS DOUBLE) AS a, false AS b"),
+        ("X'00' AS a", "X'' AS a"), ("1.10 AS a", "1.11 AS a"),
+    ]
+    for left, right in pairs:
+        left, right = spark.sql(f"SELECT {left}"), spark.sql(f"SELECT {right}")
+        assert one(d.diff_counts(left, right))["differing_rows"] == 2 and one(d.diff_counts(left, left))["differing_rows"] == 0
+        assert d.diff_sample(left, right).count() == 2
+
+
+def test_sample_fetches_nested_rows(spark, rows):
+    left = spark.sql("SELECT explode(sequence(1, 6)) AS k").selectExpr("k % 3 AS k", "array(k % 3, NULL) AS a", "named_struct('x', -0.0D) AS s")
+    right = left.where("k > 0").selectExpr("k", "a", "named_struct('x', 0.0D) AS s")
+    assert [row["k"] for row in rows(d.diff_sample(left, right))] == [0, 0]
