@@ -39,3 +39,45 @@ def components(links: DataFrame) -> DataFrame:
             break
     drop_folder(spark, both_path)
     return labels
+
+
+def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The labels (doc, component) after more links (a, b). Only the components that the links join are labelled anew.
+
+    Ids without a label are components of their own.
+    """
+    if labels is None:
+        return components(links)
+    ends = links
+    for end in ("a", "b"):
+        known = labels.select(F.col("doc").alias(end), F.col("component").alias(f"of_{end}"))
+        ends = ends.join(known, end, "left").withColumn(f"of_{end}", F.coalesce(f"of_{end}", end))
+    ends, path = keep_table(ends, "ends")
+    moved = components(ends.select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))).toDF("component", "least")
+    new = ends.select(F.col("a").alias("doc"), F.col("of_a").alias("component")).union(ends.select("b", "of_b")).distinct()
+    every = labels.union(new.join(labels, "doc", "left_anti"))
+    result, _ = keep_table(
+        every.join(moved, "component", "left").select("doc", F.coalesce("least", "component").alias("component")), "labels"
+    )
+    drop_folder(links.sparkSession, path)
+    return result
+
+
+class Forest:
+    """Links of one task, without those whose ends earlier ones join already."""
+
+    def __init__(self, most: int = 1 << 20):
+        self.most, self.parent = most, {}
+
+    def _root(self, x: int) -> int:
+        while self.parent.setdefault(x, x) != x:
+            self.parent[x] = x = self.parent[self.parent[x]]
+        return x
+
+    def joins(self, a: int, b: int) -> bool:
+        """Adds a link; False if it joins nothing. When there are too many ids it starts anew."""
+        if len(self.parent) > self.most:
+            self.parent.clear()
+        a, b = self._root(a), self._root(b)
+        self.parent[a] = b
+        return a != b

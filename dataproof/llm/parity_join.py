@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dataproof.llm.components import components
+from dataproof.llm.components import Forest, components, merged
 from dataproof.llm.words import hashed_words, mix, shingle_hashes
 from dataproof.sources.shared import drop_folder, keep_table
 
@@ -41,13 +41,11 @@ PARTITIONS = 4
 BUCKETS_EACH = 16
 #: Keys gathered before they are handed on.
 KEYS_AT_ONCE = 1 << 21
-#: Leading sets that a set of crowded blocks is first compared with.
-LEADERS = 4
 #: One crowded block in so many is looked through first.
 FIRST_BLOCKS = 32
 #: Sets of a block compared with each other in one tile.
 TILE = 1024
-#: Pairs that a task remembers so as not to name them again.
+#: Nearest sets that a task remembers before it hands them over.
 PAIRS_KEPT = 1 << 18
 #: Bits of the filter that picks the texts to verify; a false hit costs a row in a shuffle.
 FILTER_BITS = 1 << 24
@@ -289,14 +287,13 @@ def _meetings(packed: DataFrame, partitions: int) -> DataFrame:
 
 
 def _first_pairs(met: DataFrame) -> DataFrame:
-    """All pairs that met alone, and each set of a crowded block with the few it meets most often.
+    """Each set with the set that leads most of its blocks, and with the smallest that leads one.
 
-    The few only make components early; what they leave apart in a crowded block is compared later.
+    These pairs only make components early; what they leave apart is looked through later.
     """
-    often = met.where("kind = 2").groupBy("b", "a").agg((-F.count(F.lit(1))).alias("times"))
-    leaders = F.slice(F.sort_array(F.collect_list(F.struct("times", "a"))), 1, LEADERS)
-    stars = often.groupBy("b").agg(leaders.alias("leaders")).select(F.explode("leaders.a").alias("a"), "b")
-    return met.where("kind = 0").select("a", "b").union(stars)
+    often = met.where("kind <> 1").groupBy("b", "a").agg(F.count(F.lit(1)).alias("times"))
+    leaders = often.groupBy("b").agg(F.max(F.struct("times", "a"))["a"].alias("most"), F.min("a").alias("least"))
+    return leaders.select(F.explode(F.array("most", "least")).alias("a"), "b")
 
 
 def _plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -345,7 +342,8 @@ def _filter_words(ids: DataFrame, bits: int) -> np.ndarray:
 
 
 def _links(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs of documents (doc_a, doc_b) whose whole texts are similar enough.
+    """The pairs of documents (a, b) with whether their whole texts are ``linked``, and whether the link ``joins`` what
+    the task's earlier links do not.
 
     Only texts of documents in a pair are shuffled: a filter of a fixed size, made from their ids,
     sorts out the others where they lie, and the joins are exact.
@@ -369,9 +367,10 @@ def _links(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low, high = SIMILAR
+        forest = Forest()
         held: tuple[object, np.ndarray] = (None, np.zeros(0, dtype=np.uint64))
         for batch in batches:
-            good = []
+            good, joins = [], []
             others = dict(text_sets(batch.column(3)))
             leaders = batch.column(0).to_pylist()
             for at, leader in enumerate(leaders):
@@ -381,84 +380,145 @@ def _links(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 common = len(np.intersect1d(own, other, assume_unique=True))
                 # A repeated id can bring a text that is not the one whose sketch was met.
                 meant = all(int(np.uint64(identity(x)[0]) & _ID_MASK) == batch.column(c)[at].as_py() for x, c in ((own, 4), (other, 5)))
-                good.append(meant and high * common >= low * (len(own) + len(other) - common))
-            yield batch.filter(pa.array(good, pa.bool_())).select([0, 1])
+                linked = meant and high * common >= low * (len(own) + len(other) - common)
+                good.append(linked)
+                joins.append(linked and forest.joins(leader, batch.column(1)[at].as_py()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(good), pa.array(joins)], names=["a", "b", "linked", "joins"])
 
     both = pairs.join(texts.select(F.col("doc").alias("doc_b"), F.col("text").alias("text_b")), "doc_b").join(
         texts.select(F.col("doc").alias("doc_a"), F.col("text").alias("text_a")), "doc_a"
     )
-    return both.select("doc_a", "doc_b", "text_a", "text_b", "a", "b").mapInArrow(verify, "doc_a long, doc_b long")
+    return both.select("doc_a", "doc_b", "text_a", "text_b", "a", "b").mapInArrow(verify, "a long, b long, linked boolean, joins boolean")
 
 
 # --- blocks that still hold several components --------------------------------------------
 
 
-def _across(crowded: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of set ids that share a block, lie in different components and have near sketches.
+def _mixed(blocks: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows (block, doc, ...) of blocks that hold more than one component, with their labels."""
+    labelled = blocks.select("block", "doc").join(labels, "doc", "left").withColumn("label", F.coalesce("component", "doc")).drop("component")
+    mixed = labelled.groupBy("block").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"))
+    mixed = mixed.where("low <> high").select("block", F.ceil(F.col("size") / TILE).cast("int").alias("tiles"))
+    return labelled.join(mixed, "block")
+
+
+def nearest(near: np.ndarray, differ: np.ndarray, many: int) -> np.ndarray:
+    """In each row the places of the ``many`` smallest differences among the near ones, as (row, place) pairs."""
+    row, place = np.nonzero(near)
+    order = np.lexsort((place, differ[row, place], row))
+    row, place = row[order], place[order]
+    behind = np.arange(len(row)) - np.searchsorted(row, row)
+    return np.stack([row, place], axis=1)[behind < many]
+
+
+def _nearest_apart(mixed: DataFrame, sets: DataFrame, many: int) -> DataFrame:
+    """For each set the ``many`` nearest sets of other components that share a block with it: doc, other, differ.
 
     A block's sets are dealt into tiles of about TILE; every pair of tiles is a group of its own, so a
-    crowded block is spread over tasks and none holds more than two tiles.
+    crowded block is spread over tasks and none holds more than two tiles. A task keeps the nearest of each set.
     """
-    labelled = (
-        crowded.select(F.col("a").alias("block"), F.col("b").alias("id")).distinct()
-        .join(sets.select("id", "doc", "n", "sketch"), "id").join(labels, "doc", "left")
-        .select("block", "id", F.coalesce("component", "doc").alias("label"), "n", "sketch")
-    )
-    mixed = (
-        labelled.groupBy("block").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("size"))
-        .where("least <> most").select("block", F.ceil(F.col("size") / TILE).cast("int").alias("tiles"))
-    )
-    tile = F.pmod(F.hash("id"), F.col("tiles"))
+    tile = F.pmod(F.hash("doc"), F.col("tiles"))
     others = F.sequence(F.lit(0), F.col("tiles") - 1)
     dealt = (
-        labelled.join(mixed, "block").withColumn("tile", tile).withColumn("other", F.explode(others))
+        mixed.join(sets.select("doc", "n", "sketch"), "doc").withColumn("tile", tile).withColumn("other", F.explode(others))
         .select(
             "block", F.least("tile", "other").alias("row_tile"), F.greatest("tile", "other").alias("column_tile"),
-            "tile", "id", "label", "n", "sketch",
+            "tile", "doc", "label", "n", "sketch",
         )
     )
 
-    def compare(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+    def compare(rows: list[tuple]) -> Iterator[tuple[int, int, int]]:
         row, column = rows[0][1], rows[0][2]
-        sides = [[r for r in rows if r[3] == t] for t in (row, column)]
         size = min(len(r[7]) for r in rows)
-        packed = [
-            np.array([np.frombuffer(r[7], np.uint8) if len(r[7]) == size else folded(np.frombuffer(r[7], np.uint8), size) for r in side])
-            for side in sides
-        ]
-        counts = [np.array([r[6] for r in side]) for side in sides]
-        labels_of = [np.array([r[5] for r in side]) for side in sides]
-        for at, first in enumerate(sides[0]):
-            begin = at + 1 if row == column else 0
-            differ = np.bitwise_count(packed[1][begin:] ^ packed[0][at]).sum(axis=1, dtype=np.int64)
-            near = (differ <= most_apart(counts[0][at], counts[1][begin:])) & (labels_of[1][begin:] != labels_of[0][at])
-            for other in np.flatnonzero(near):
-                yield first[4], sides[1][begin + other][4]
+        sides = []
+        for t in (row, column):
+            side = [r for r in rows if r[3] == t]
+            sketches = [np.frombuffer(r[7], np.uint8) for r in side]
+            packed = np.array([s if len(s) == size else folded(s, size) for s in sketches]).reshape(len(side), size)
+            sides.append([packed, *[np.array([r[k] for r in side], dtype=np.int64) for k in (4, 5, 6)]])
+        (left, docs, labels, counts), (right, other_docs, other_labels, other_counts) = sides
+        differ = np.zeros((len(docs), len(other_docs)), dtype=np.int32)
+        for at in range(len(docs)):
+            differ[at] = np.bitwise_count(right ^ left[at]).sum(axis=1)
+        low, high = SIMILAR
+        small, large = np.minimum(counts[:, None], other_counts), np.maximum(counts[:, None], other_counts)
+        near = (differ <= most_apart(small, large)) & (small * high >= large * low) & (labels[:, None] != other_labels)
+        for i, j in nearest(near, differ, many):
+            yield int(docs[i]), int(other_docs[j]), int(differ[i, j])
+        if row != column:
+            for j, i in nearest(near.T, differ.T, many):
+                yield int(other_docs[j]), int(docs[i]), int(differ[i, j])
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        told_before: set[tuple[int, int]] = set()
+        best: dict[int, list[tuple[int, int]]] = {}
+
+        def told() -> pa.RecordBatch:
+            found = [(doc, other, differ) for doc, pairs in best.items() for differ, other in pairs]
+            best.clear()
+            return pa.RecordBatch.from_arrays(
+                [pa.array([x[k] for x in found], pa.int64()) for k in range(3)], names=["doc", "other", "differ"]
+            )
 
-        def told(rows: list[tuple]) -> pa.RecordBatch:
-            if len(told_before) > PAIRS_KEPT:
-                told_before.clear()
-            # Near sets share many blocks; a task names them once.
-            found = [pair for pair in (compare(rows) if len(rows) > 1 else ()) if pair not in told_before]
-            told_before.update(found)
-            a, b = ([x[k] for x in found] for k in (0, 1))
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        def add(rows: list[tuple]) -> None:
+            for doc, other, differ in compare(rows) if len(rows) > 1 else ():
+                pairs = best.setdefault(doc, [])
+                if (differ, other) not in pairs and (len(pairs) < many or (differ, other) < pairs[-1]):
+                    pairs.append((differ, other))
+                    pairs.sort()
+                    del pairs[many:]
 
         held: list[tuple] = []
         for batch in batches:
             for values in zip(*[column.to_pylist() for column in batch.columns], strict=True):
                 if held and values[:3] != held[0][:3]:
-                    yield told(held)
+                    add(held)
                     held = []
+                    if len(best) * many > PAIRS_KEPT:
+                        yield told()
                 held.append(values)
         if held:
-            yield told(held)
+            add(held)
+        yield told()
 
     keys = ["block", "row_tile", "column_tile"]
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(groups, "a long, b long")
+    found = dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(groups, "doc long, other long, differ long").distinct()
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("doc").orderBy("differ", "other"))).where(F.col("rank") <= many)
+
+
+def _join_blocks(blocks: DataFrame, sets: DataFrame, texts: DataFrame, labels: DataFrame) -> DataFrame:
+    """The labels after all links between sets that share one of the blocks.
+
+    In every round each set names its nearest of other components, as far as no earlier round has refused them; what is
+    verified joins components. It ends when nothing new is named and no set has so many refused ones that more may follow.
+    """
+    mixed, path = keep_table(_mixed(blocks, labels), "mixed")
+    refused, many = None, 1
+    while not mixed.isEmpty():
+        named, _ = keep_table(_nearest_apart(mixed, sets, many), "nearest")
+        new = named.select(F.least("doc", "other").alias("doc_a"), F.greatest("doc", "other").alias("doc_b")).distinct()
+        if refused is not None:
+            new = new.join(refused, ["doc_a", "doc_b"], "left_anti")
+        new, _ = keep_table(_with_ids(new, sets), "pairs")
+        if new.isEmpty():
+            if named.where(F.col("rank") == many).isEmpty():
+                break
+            many *= 4
+            continue
+        tried, _ = keep_table(_links(new, texts), "links")
+        bad = tried.where("not linked").select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"))
+        refused = bad if refused is None else refused.union(bad)
+        labels = merged(labels, tried.where("joins").select("a", "b"))
+        done = path
+        mixed, path = keep_table(_mixed(mixed, labels), "mixed")
+        drop_folder(blocks.sparkSession, done)
+    return labels
+
+
+def _with_ids(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of documents with the short ids of their sets: doc_a, doc_b, a, b."""
+    for side in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("doc").alias(f"doc_{side}"), F.col("id").alias(side)), f"doc_{side}")
+    return pairs.select("doc_a", "doc_b", "a", "b")
 
 
 # --- the operator ------------------------------------------------------------------------
@@ -492,16 +552,17 @@ def parity_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     met, met_path = keep_table(_meetings(_packed_keys(docs, "text", partitions * BUCKETS_EACH), partitions), "meetings")
     texts = docs.withColumnRenamed("doc_id", "doc")
-    links, _ = keep_table(_links(_kept(_plausible(_first_pairs(met), named)), texts), "links")
-    final = components(links.toDF("a", "b"))
+    first, _ = keep_table(_links(_kept(_plausible(_first_pairs(met), named)), texts), "links")
+    final = components(first.where("joins").select("a", "b"))
+    of = named.select(F.col("id").alias("b"), "doc")
+    crowded = met.where("kind = 1").join(of, "b").select(F.col("a").alias("block"), "doc").distinct()
+    # Two sets that met alone are a block of their own.
+    alone_met = met.where("kind = 0").select("a", "b").distinct()
+    alone_met = alone_met.select(F.xxhash64("a", "b").alias("block"), F.explode(F.array("a", "b")).alias("b")).join(of, "b").select("block", "doc")
     # Near sets share most of their blocks: a few blocks join them, and the other blocks then pass them over.
-    few = F.pmod(F.col("a"), F.lit(FIRST_BLOCKS)) == 0
-    for blocks in (few, ~few):
-        apart_yet = _kept(_across(met.where("kind = 1").where(blocks), named, final))
-        found, _ = keep_table(_links(_kept(_plausible(apart_yet, named)), texts), "links")
-        if not found.isEmpty():
-            links = links.union(found)
-            final = components(links.toDF("a", "b"))
+    few = F.pmod(F.col("block"), F.lit(FIRST_BLOCKS)) == 0
+    final = _join_blocks(crowded.where(few), named, texts, final)
+    final = _join_blocks(crowded.where(~few).union(alone_met), named, texts, final)
     drop_folder(spark, met_path)
     classes = sets.join(final.withColumnRenamed("component", "found"), "doc", "left").select(
         "set_a", "set_b", F.coalesce("found", "doc").alias("component_id")
