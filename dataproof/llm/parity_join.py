@@ -45,6 +45,8 @@ KEYS_AT_ONCE = 1 << 21
 FIRST_BLOCKS = 32
 #: Sets of a block compared with each other in one tile.
 TILE = 1024
+#: Nearest sets that each set names once blocks are looked through for good; the square of it times more in each round.
+MORE = 16
 #: Nearest sets that a task remembers before it hands them over.
 PAIRS_KEPT = 1 << 18
 #: Bits of the filter that picks the texts to verify; a false hit costs a row in a shuffle.
@@ -402,13 +404,37 @@ def _mixed(blocks: DataFrame, labels: DataFrame) -> DataFrame:
     return labelled.join(mixed, "block")
 
 
-def nearest(near: np.ndarray, differ: np.ndarray, many: int) -> np.ndarray:
-    """In each row the places of the ``many`` smallest differences among the near ones, as (row, place) pairs."""
-    row, place = np.nonzero(near)
-    order = np.lexsort((place, differ[row, place], row))
-    row, place = row[order], place[order]
-    behind = np.arange(len(row)) - np.searchsorted(row, row)
-    return np.stack([row, place], axis=1)[behind < many]
+def nearest(owner: np.ndarray, differ: np.ndarray, many: int) -> np.ndarray:
+    """Places of the ``many`` smallest differences of each owner."""
+    order = np.lexsort((differ, owner))
+    owner = owner[order]
+    return order[np.arange(len(owner)) - np.searchsorted(owner, owner) < many]
+
+
+def near_pairs(left: tuple, right: tuple, once: bool) -> np.ndarray:
+    """(row, column, differ) of the sets of two tiles with different labels whose sizes and sketches allow a link.
+
+    A tile is (sketches, labels, sizes). Sets of one label are never compared, so a block in which one component
+    prevails costs as much as the others have members. ``once``: both are the same tile, a pair counts once.
+    """
+    (sketches, labels, counts), (others, other_labels, other_counts) = left, right
+    low, high = SIMILAR
+    found = [np.zeros((0, 3), dtype=np.int64)]
+    for label in np.unique(labels):
+        rows = np.flatnonzero(labels == label)
+        columns = np.flatnonzero(other_labels > label if once else other_labels != label)
+        swapped = len(rows) > len(columns)
+        few, many = (columns, rows) if swapped else (rows, columns)
+        of_few, of_many = (others, sketches[rows]) if swapped else (sketches, others[columns])
+        count_few, count_many = (other_counts, counts[rows]) if swapped else (counts, other_counts[columns])
+        for x in few:
+            differ = np.bitwise_count(of_many ^ of_few[x]).sum(axis=1, dtype=np.int64)
+            small, large = np.minimum(count_many, count_few[x]), np.maximum(count_many, count_few[x])
+            good = np.flatnonzero((differ <= most_apart(small, large)) & (small * high >= large * low))
+            if len(good):
+                own = np.full(len(good), x)
+                found.append(np.stack([*((many[good], own) if swapped else (own, many[good])), differ[good]], axis=1))
+    return np.concatenate(found)
 
 
 def _nearest_apart(mixed: DataFrame, sets: DataFrame, many: int) -> DataFrame:
@@ -430,24 +456,19 @@ def _nearest_apart(mixed: DataFrame, sets: DataFrame, many: int) -> DataFrame:
     def compare(rows: list[tuple]) -> Iterator[tuple[int, int, int]]:
         row, column = rows[0][1], rows[0][2]
         size = min(len(r[7]) for r in rows)
-        sides = []
+        docs, tiles = [], []
         for t in (row, column):
             side = [r for r in rows if r[3] == t]
             sketches = [np.frombuffer(r[7], np.uint8) for r in side]
             packed = np.array([s if len(s) == size else folded(s, size) for s in sketches]).reshape(len(side), size)
-            sides.append([packed, *[np.array([r[k] for r in side], dtype=np.int64) for k in (4, 5, 6)]])
-        (left, docs, labels, counts), (right, other_docs, other_labels, other_counts) = sides
-        differ = np.zeros((len(docs), len(other_docs)), dtype=np.int32)
-        for at in range(len(docs)):
-            differ[at] = np.bitwise_count(right ^ left[at]).sum(axis=1)
-        low, high = SIMILAR
-        small, large = np.minimum(counts[:, None], other_counts), np.maximum(counts[:, None], other_counts)
-        near = (differ <= most_apart(small, large)) & (small * high >= large * low) & (labels[:, None] != other_labels)
-        for i, j in nearest(near, differ, many):
-            yield int(docs[i]), int(other_docs[j]), int(differ[i, j])
-        if row != column:
-            for j, i in nearest(near.T, differ.T, many):
-                yield int(other_docs[j]), int(docs[i]), int(differ[i, j])
+            numbers = [np.array([r[k] for r in side], dtype=np.int64) for k in (4, 5, 6)]
+            docs.append(numbers[0])
+            tiles.append((packed, *numbers[1:]))
+        pairs = near_pairs(*tiles, once=row == column)
+        first, second, differ = docs[0][pairs[:, 0]], docs[1][pairs[:, 1]], pairs[:, 2]
+        owner, other, differ = np.concatenate([first, second]), np.concatenate([second, first]), np.concatenate([differ, differ])
+        for k in nearest(owner, differ, many):
+            yield int(owner[k]), int(other[k]), int(differ[k])
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, list[tuple[int, int]]] = {}
@@ -485,32 +506,38 @@ def _nearest_apart(mixed: DataFrame, sets: DataFrame, many: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("doc").orderBy("differ", "other"))).where(F.col("rank") <= many)
 
 
-def _join_blocks(blocks: DataFrame, sets: DataFrame, texts: DataFrame, labels: DataFrame) -> DataFrame:
-    """The labels after all links between sets that share one of the blocks.
+def _join_blocks(blocks: DataFrame, sets: DataFrame, texts: DataFrame, labels: DataFrame, whole: bool) -> DataFrame:
+    """The labels after links between sets that share one of the blocks; after all of them if ``whole``.
 
-    In every round each set names its nearest of other components, as far as no earlier round has refused them; what is
-    verified joins components. It ends when nothing new is named and no set has so many refused ones that more may follow.
+    In every round each set names its nearest of other components; those that no earlier round has tried are verified, and
+    links join components. First rounds name one for each set, until that joins nothing more. If ``whole``, sets
+    then name more, until none has named as many as it may: then all that could link has been tried.
     """
     mixed, path = keep_table(_mixed(blocks, labels), "mixed")
-    refused, many = None, 1
+    refused, many = None, MORE if whole else 1
     while not mixed.isEmpty():
         named, _ = keep_table(_nearest_apart(mixed, sets, many), "nearest")
         new = named.select(F.least("doc", "other").alias("doc_a"), F.greatest("doc", "other").alias("doc_b")).distinct()
         if refused is not None:
             new = new.join(refused, ["doc_a", "doc_b"], "left_anti")
         new, _ = keep_table(_with_ids(new, sets), "pairs")
-        if new.isEmpty():
-            if named.where(F.col("rank") == many).isEmpty():
-                break
-            many *= 4
-            continue
+        more = whole and not named.where(F.col("rank") == many).isEmpty()
+        if new.isEmpty() and not more:
+            break
         tried, _ = keep_table(_links(new, texts), "links")
         bad = tried.where("not linked").select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"))
         refused = bad if refused is None else refused.union(bad)
-        labels = merged(labels, tried.where("joins").select("a", "b"))
-        done = path
-        mixed, path = keep_table(_mixed(mixed, labels), "mixed")
-        drop_folder(blocks.sparkSession, done)
+        links = tried.where("joins").select("a", "b")
+        if not links.isEmpty():
+            labels = merged(labels, links)
+            if whole and not more:
+                break
+            done = path
+            mixed, path = keep_table(_mixed(mixed, labels), "mixed")
+            drop_folder(blocks.sparkSession, done)
+        elif not more:
+            break
+        many *= MORE * MORE if whole else 1
     return labels
 
 
@@ -561,8 +588,8 @@ def parity_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     alone_met = alone_met.select(F.xxhash64("a", "b").alias("block"), F.explode(F.array("a", "b")).alias("b")).join(of, "b").select("block", "doc")
     # Near sets share most of their blocks: a few blocks join them, and the other blocks then pass them over.
     few = F.pmod(F.col("block"), F.lit(FIRST_BLOCKS)) == 0
-    final = _join_blocks(crowded.where(few), named, texts, final)
-    final = _join_blocks(crowded.where(~few).union(alone_met), named, texts, final)
+    final = _join_blocks(crowded.where(few), named, texts, final, whole=False)
+    final = _join_blocks(crowded.union(alone_met), named, texts, final, whole=True)
     drop_folder(spark, met_path)
     classes = sets.join(final.withColumnRenamed("component", "found"), "doc", "left").select(
         "set_a", "set_b", F.coalesce("found", "doc").alias("component_id")
