@@ -40,6 +40,7 @@ from dataproof.operators.pruning import (
     scan_findings,
     scan_ratio,
 )
+from dataproof.operators.planreads import reads_of
 from dataproof.operators.readpath import proof_rows, read_path_check, uniqueness_audit
 from dataproof.operators.rowdiff import (
     compare,

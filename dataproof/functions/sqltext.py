@@ -1,14 +1,15 @@
 """Triage of SQL texts as column expressions.
 
-A text is cut into tokens by one regular expression and each token is kept, blanked
-or dropped. Quantifiers are possessive, so texts of any length match without
-recursion.
+Comments and literals are found by one alternation, so neither is searched inside the other. Quantifiers are
+possessive, so texts of any length match without recursion. What decides about a statement is its word line: its words,
+numbers and marks in upper case, one blank between them, each literal shrunk to a mark that tells how it begins.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -37,21 +38,24 @@ UNSTABLE_FUNCTIONS = [
 _BLANKS = " \t\r\n\f\x0b\u00a0\ufeff"
 
 
-def _literal(quote: str, backslash: bool) -> str:
+def _literal(quote: str, backslash: bool, begin: str = "") -> str:
     """A quoted text up to its closing quote or the end; doubling escapes a quote."""
     plain = rf"[^{quote}\\]*+" if backslash else rf"[^{quote}]*+"
     escape = rf"(?:\\(?:.|\z)|{quote}{quote})" if backslash else rf"(?:{quote}{quote})"
-    return rf"{quote}{plain}(?:{escape}{plain})*+(?:{quote}|\z)"
+    return rf"{quote}{begin}{plain}(?:{escape}{plain})*+(?:{quote}|\z)"
 
 
 _STRINGS = f"{_literal(chr(39), True)}|{_literal(chr(34), True)}"
+_QUOTED = f"(?s){_STRINGS}|{_literal('`', True)}"
+_BEGINNINGS = f"(?s){_literal(chr(39), True, '(%?)')}|{_literal(chr(34), True, '(%?)')}|{_literal('`', True)}"
+_KEPT = f"{_STRINGS}|{_literal('`', False)}"
 _BLOCK = r"/\*[^*]*+(?:\*(?!/)[^*]*+)*+(?:\*/|\z)"
-_CLEAN_TOKENS = (
-    rf"(?s){_STRINGS}|{_literal('`', False)}|--[^\n]*+|{_BLOCK}|[^'\"`/\-]++|."
-)
-_MASK_TOKENS = rf"(?s){_STRINGS}|{_literal('`', True)}|[^'\"`]++|."
+_MASK_TOKENS = rf"{_QUOTED}|[^'\"`]++|."
 _PAREN_TOKENS = r"[()]|[^()]++"
 _CLOSED_STRING = rf"(?s)'[^'\\]*+(?:(?:\\.|'')[^'\\]*+)*+'"
+_LINE_TOKENS = r"[A-Z_][A-Z0-9_]*+|[0-9][A-Z0-9_.]*+|'%?'|\S"
+#: Stands for a comment until literals are told from it.
+_HOLE = "\ue000"
 
 
 def _tokens(text: Column, pattern: str) -> Column:
@@ -62,45 +66,52 @@ def _filled(token: Column) -> Column:
     return F.repeat(F.lit(" "), F.length(token))
 
 
+def _without_comments(sql: Column) -> Column:
+    """Line comments go; block comments become a blank. Every match leaves what it keeps and, at a block, a hole."""
+    lines = F.regexp_replace(sql, rf"(?s)({_KEPT}|{_BLOCK})|--[^\n]*+", "$1")
+    holes = F.regexp_replace(lines, rf"(?s)({_KEPT})|{_BLOCK}", "$1" + _HOLE)
+    # The hole right behind a closing quote is the literal's own.
+    return F.translate(F.regexp_replace(holes, rf"(?<=['\"`]){_HOLE}", ""), _HOLE, " ")
+
+
 def clean_sql(sql: Column) -> Column:
     """The statement without comments, outer blanks and a closing semicolon.
 
     Comment marks inside quoted text stay. A block comment leaves one blank, so the
     words around it do not merge.
     """
-    kept = F.transform(
-        _tokens(sql, _CLEAN_TOKENS),
-        lambda token: F.when(token.startswith("--"), "")
-        .when(token.startswith("/*"), " ")
-        .otherwise(token),
-    )
-    trimmed = F.btrim(F.array_join(kept, ""), F.lit(_BLANKS))
+    commented = sql.contains("--") | sql.contains("/*")
+    kept = F.when(commented, _without_comments(sql)).otherwise(sql)
+    trimmed = F.btrim(kept, F.lit(_BLANKS))
     return F.btrim(F.regexp_replace(trimmed, r";\z", ""), F.lit(_BLANKS))
 
 
-def _without_literals(sql: Column, stand_in: Callable[[Column], Column]) -> Column:
-    quoted = "'\"`"
+def mask_literals(sql: Column) -> Column:
+    """Quoted text blanked out, length kept, so words in it never match."""
     masked = F.transform(
         _tokens(sql, _MASK_TOKENS),
-        lambda token: F.when(
-            F.instr(F.lit(quoted), F.substring(token, 1, 1)) > 0, stand_in(token)
-        ).otherwise(token),
+        lambda token: F.when(F.instr(F.lit("'\"`"), F.substring(token, 1, 1)) > 0, _filled(token)).otherwise(token),
     )
     return F.array_join(masked, "")
 
 
-def mask_literals(sql: Column) -> Column:
-    """Quoted text blanked out, length kept, so words in it never match."""
-    return _without_literals(sql, _filled)
-
-
 def drop_literals(sql: Column, mark: str = " ") -> Column:
     """Quoted text replaced by one character.
 
     What is left is as short as the statement proper, which keeps all further
     matching cheap where literals are long.
     """
-    return _without_literals(sql, lambda _: F.lit(mark))
+    return F.regexp_replace(sql, _QUOTED, mark)
+
+
+def skeleton(sql: Column) -> Column:
+    """The statement with each literal shrunk to its quotes, and the ``%`` if it begins with one."""
+    return F.regexp_replace(sql, _BEGINNINGS, "'$1$2'")
+
+
+def word_line(text: Column) -> Column:
+    """The words, numbers and marks of a skeleton in upper case, with one blank before, between and behind them."""
+    return F.concat(F.lit(" "), F.array_join(_tokens(F.upper(text), _LINE_TOKENS), " "), F.lit(" "))
 
 
 def top_level(masked: Column) -> Column:
@@ -139,18 +150,33 @@ def _any_call(names: list[str]) -> str:
     return rf"(?i)\b({'|'.join(names)})\s*\("
 
 
-def query_shape(sql: Column, masked: Column) -> Column:
-    """Flags of a clean query and its masked text, as one struct."""
-    wrapped = "|".join(WRAPPING_FUNCTIONS)
+def _says(line: Column, *phrases: str) -> Column:
+    """Does a word line hold one of the phrases?"""
+    return reduce(or_, [F.contains(line, F.lit(f" {phrase} ")) for phrase in phrases])
+
+
+def _calls(line: Column, names: list[str]) -> Column:
+    return _says(line, *[f"{name.upper()} (" for name in names])
+
+
+#: Flags of a query that one of some phrases in its word line sets.
+PHRASES = {
+    "has_cross_join": ["CROSS JOIN"],
+    "has_final": ["FINAL"],
+    "has_leading_wildcard": ["LIKE '%'"],
+    "selects_all_columns": ["SELECT *", "SELECT DISTINCT *"],
+}
+
+
+def query_shape(line: Column) -> Column:
+    """Flags of a query, from its word line, as one struct."""
+    flags = {name: _says(line, *phrases) for name, phrases in PHRASES.items()}
+    joins = F.regexp_count(line, F.lit(" JOIN(?= )"))
+    # What follows the first condition; nothing if there is none.
+    conditions = F.concat(F.lit(" "), F.get(F.split(line, r" (?:PRE)?WHERE(?= )", 2), F.lit(1)))
+    wrapped = F.coalesce(_calls(conditions, WRAPPING_FUNCTIONS), F.lit(False))
     return F.struct(
-        masked.rlike(r"(?i)\bFINAL\b").alias("has_final"),
-        F.regexp_count(masked, F.lit(r"(?i)\bJOIN\b")).alias("join_count"),
-        masked.rlike(r"(?i)\bCROSS\s+JOIN\b").alias("has_cross_join"),
-        masked.rlike(rf"(?is)\b(?:WHERE|PREWHERE)\b.*\b(?:{wrapped})\s*\(").alias(
-            "has_function_wrapped_predicate"
-        ),
-        sql.rlike(r"(?i)\bLIKE\s+['\"]%").alias("has_leading_wildcard"),
-        masked.rlike(r"(?i)\bSELECT\s+(?:DISTINCT\s+)?\*").alias("selects_all_columns"),
+        *[flag.alias(name) for name, flag in flags.items()], joins.alias("join_count"), wrapped.alias("has_function_wrapped_predicate")
     )
 
 
@@ -173,23 +199,28 @@ def external_function(masked: Column) -> Column:
     )
 
 
-def reject_reason(statement: Column, masked: Column, top: Column) -> Column:
-    """Why a clean statement is not one plain query that may be checked, or NULL."""
-    after_format = F.regexp_extract(top, r"(?is)^.*?\bFORMAT\b(.*)$", 1)
-    after_settings = F.regexp_extract(top, r"(?is)^.*?\bSETTINGS\b(.*)$", 1)
-    return (
-        F.when(statement == "", "empty statement")
-        .when(F.instr(masked, ";") > 0, "several statements")
-        .when(~statement.rlike(r"(?i)^(?:SELECT|WITH)\b"), "not a query")
-        .when(
-            statement.rlike(r"(?i)^WITH\b") & ~top.rlike(r"(?i)\bSELECT\b"),
-            "WITH without a top-level SELECT",
-        )
-        .when(top.rlike(r"(?i)\bINTO\s+(?:OUTFILE|DUMPFILE)\b"), "writes a file")
-        .when(after_format.rlike(r"^\s+[A-Za-z0-9_]+\s*\z"), "names an output format")
-        .when(after_settings.rlike(r"^\s+[A-Za-z_][A-Za-z0-9_]*\s*="), "changes settings")
-        .otherwise(F.concat(F.lit("calls external function "), external_function(masked)))
-    )
+def reject_reasons(text: Column, line: Column, top: Column) -> Column:
+    """All reasons why a clean statement is not one plain query that may be checked.
+
+    ``text`` is its skeleton, ``line`` the word line of it and ``top`` that of what is in no parentheses.
+    """
+    begins = F.get(F.split(line, " ", 3), F.lit(1))
+    external = external_function(text)
+    rules = [
+        # How it begins.
+        ("empty statement", begins == ""),
+        ("not a query", ~begins.isin("", "SELECT", "WITH")),
+        ("WITH without a top-level SELECT", (begins == "WITH") & ~_says(top, "SELECT")),
+        # What it holds anywhere.
+        ("several statements", _says(line, ";")),
+        (F.concat(F.lit("calls external function "), external), external.isNotNull()),
+        # What it says about its result, outside of parentheses.
+        ("changes settings", top.rlike(r" SETTINGS [A-Z_]\w* = ")),
+        ("names an output format", top.rlike(r" FORMAT \w+ \z")),
+        ("writes a file", _says(top, "INTO OUTFILE", "INTO DUMPFILE")),
+    ]
+    found = [F.when(condition, F.lit(reason) if isinstance(reason, str) else reason) for reason, condition in rules]
+    return F.array_compact(F.array(*found))
 
 
 def fingerprint(sql: Column, previous: Column | None = None) -> Column:

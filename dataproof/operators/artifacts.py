@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,13 +12,14 @@ from dataproof.functions.changetext import alter_class
 from dataproof.functions.sqltext import (
     artifact_kind,
     clean_sql,
-    drop_literals,
     fingerprint,
     glob_to_regex,
     query_shape,
-    reject_reason,
+    reject_reasons,
+    skeleton,
     top_level,
     unstable_reason,
+    word_line,
 )
 
 
@@ -52,26 +53,25 @@ def classify(artifacts: DataFrame) -> DataFrame:
     return artifacts.select("path", rows_of(cleaned, described))
 
 
-def _with_layers(statement: Column, body: Callable[[Column, Column], Column]) -> Column:
-    """``body(masked, top)`` for a clean statement."""
-    return let(
-        drop_literals(statement), lambda masked: let(top_level(masked), lambda top: body(masked, top))
-    )
+def _reasons(statement: Column) -> Column:
+    """Shape, reason it is unstable and reasons to reject it, for a clean statement."""
 
+    def judged(text: Column, layers: Column) -> Column:
+        rejected = reject_reasons(text, layers["line"], word_line(layers["top"]))
+        return F.struct(
+            query_shape(layers["line"]).alias("shape"),
+            unstable_reason(statement, text, layers["top"]).alias("unstable_reason"),
+            F.nullif(F.array_join(rejected, "; "), F.lit("")).alias("reject_reason"),
+        )
 
-def _reasons(statement: Column) -> Column:
-    return _with_layers(
-        statement,
-        lambda masked, top: F.struct(
-            query_shape(statement, masked).alias("shape"),
-            unstable_reason(statement, masked, top).alias("unstable_reason"),
-            reject_reason(statement, masked, top).alias("reject_reason"),
-        ),
+    return let(
+        skeleton(statement),
+        lambda text: let(F.struct(word_line(text).alias("line"), top_level(text).alias("top")), lambda layers: judged(text, layers)),
     )
 
 
 def query_shape_flags(classified: DataFrame) -> DataFrame:
-    """Per query text: shape flags, the reason it is unstable, the reason to reject it."""
+    """Per query text: shape flags, the reason it is unstable, all reasons to reject it."""
     queries = classified.filter(F.col("kind").isin("query", "query_pair"))
     return queries.select("path", "statement", F.inline(F.array(_reasons(F.col("statement"))))).select(
         "path", "statement", "shape.*", "unstable_reason", "reject_reason"

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dataproof.functions.display import format_count
-from dataproof.functions.keys import bare_name, same_key
+from dataproof.functions.keys import bare_name, normalized_key, same_key
 from dataproof.functions.literal import literal_rows
 from dataproof.operators.uniqueness import duplicate_proof, ineligible_reason
 from dataproof.spec import TableSpec
@@ -53,35 +53,44 @@ def proof_rows(
 
 
 def assumption_lookup(tables: DataFrame, assumptions: DataFrame) -> DataFrame:
-    """Adds ``unique_by`` to rows with a ``table``: by qualified name, else by bare name."""
-    # A table declared several times has one key, the smallest; its rows must not multiply.
-    declared = assumptions.groupBy("table").agg(F.min("unique_by").alias("unique_by"))
-    exact = declared.select("table", F.col("unique_by").alias("exact_key"))
-    loose = declared.select(F.col("table").alias("bare"), F.col("unique_by").alias("bare_key"))
+    """Adds ``unique_by`` to rows with a ``table``: by qualified name, else by bare name.
+
+    A table that is declared unique by several keys gives a row for each; lists that name the same columns are one key.
+    """
+    key = F.array_sort(F.array_distinct(normalized_key(F.col("unique_by"))))
+    declared = assumptions.groupBy("table", key.alias("key")).agg(F.min("unique_by").alias("unique_by")).drop("key")
+    every = declared.groupBy("table").agg(F.collect_set("unique_by").alias("keys"))
+    exact = every.select("table", F.col("keys").alias("exact_keys"))
+    loose = every.select(F.col("table").alias("bare"), F.col("keys").alias("bare_keys"))
     return (
         tables.withColumn("bare", bare_name(F.col("table")))
         .join(exact, "table", "left")
         .join(loose, "bare", "left")
-        .withColumn("unique_by", F.coalesce("exact_key", "bare_key"))
-        .drop("bare", "exact_key", "bare_key")
+        .withColumn("unique_by", F.explode_outer(F.coalesce("exact_keys", "bare_keys")))
+        .drop("bare", "exact_keys", "bare_keys")
     )
 
 
 def read_path_check(reads: DataFrame, assumptions: DataFrame, proofs: DataFrame) -> DataFrame:
-    """Per (query, table) read without collapsing and declared unique: does it hold?
+    """Per (query, table, declared key) read without collapsing: does the uniqueness hold?
 
-    ``reads`` has ``query_id, table, uses_final`` (NULL: not known to collapse); tables without a proof are left out
-    rather than guessed.
+    ``reads`` has ``query_id, table`` and ``uses_final`` (NULL: not known to collapse) or, from ``reads_of``,
+    ``collapsed_by``: a read that keeps one row for some of the declared columns trusts nothing. Tables without a proof
+    are left out rather than guessed. Each key that is declared for a table has an outcome of its own.
     """
     outcomes = judge_trust(assumption_lookup(proofs, assumptions).filter(F.size("unique_by") > 0))
-    trusting = reads.filter(~F.coalesce("uses_final", F.lit(False))).select("query_id", "table").distinct()
-    return trusting.join(outcomes, "table").select(
-        "query_id", "table", "unique_by", "status", "duplicate_rows", "message"
-    )
+    if "uses_final" in reads.columns:
+        reads = reads.filter(~F.coalesce("uses_final", F.lit(False)))
+    by = F.col("collapsed_by") if "collapsed_by" in reads.columns else F.lit(None).cast("array<string>")
+    trusting = reads.select("query_id", "table", by.alias("collapsed_by")).distinct()
+    missing = F.array_except(normalized_key(F.col("collapsed_by")), normalized_key(F.col("unique_by")))
+    collapsed = F.coalesce(F.size(missing) == 0, F.lit(False))
+    found = trusting.join(outcomes, "table").filter(~collapsed)
+    return found.select("query_id", "table", "unique_by", "status", "duplicate_rows", "message").distinct()
 
 
 def judge_trust(trusted: DataFrame) -> DataFrame:
-    """One outcome per proven and declared table; queries that read it share it."""
+    """One outcome per proof and declared key; queries that read the table share it."""
     bound = same_key(F.col("unique_by"), F.col("dedup_key"))
     keys = F.array_join("unique_by", ", ")
     dirty = F.col("duplicate_rows") > 0

@@ -217,3 +217,41 @@ def test_discovery(spark, log, rows, one):
     assert summary == {"shapes": 2, "reads_versioned": 1}
     assert len(rows(d.discover_workload(log, versioned, as_of, limit=1))) == 1
     assert rows(d.discover_workload(log.filter("false"), versioned, as_of)) == []
+
+
+@pytest.mark.parametrize(
+    "text, flag, value",
+    [
+        ("SELECT a FROM t WHERE note = 'say LIKE \"%'", "has_leading_wildcard", False),
+        ("SELECT a FROM t WHERE b NOT LIKE\n\"%x\"", "has_leading_wildcard", True),
+        ("SELECT a FROM t WHERE b LIKE 'x%'", "has_leading_wildcard", False),
+        ("SELECT a FROM t WHERE b LIKE `%x`", "has_leading_wildcard", False),
+        ("select distinct\n* FROM t", "selects_all_columns", True), ("SELECT a * b FROM t", "selects_all_columns", False),
+        ("SELECT a FROM joiner JOIN t2 join t3", "join_count", 2), ("SELECT a FROM t JOIN JOIN", "join_count", 2),
+        ("SELECT lower(a) FROM t", "has_function_wrapped_predicate", False),
+        ("SELECT a FROM t PREWHERE b = 1 AND toDate (c) = 2", "has_function_wrapped_predicate", True),
+        ("SELECT a FROM t WHERE my_lower(a) = 1", "has_function_wrapped_predicate", False),
+        ("SELECT final_x FROM t", "has_final", False), ("SELECT a FROM t final", "has_final", True),
+        ("SELECT a FROM t CROSS\t JOIN u", "has_cross_join", True),
+    ],
+)
+def test_flags(spark, one, text, flag, value):
+    assert one(d.query_shape_flags(d.classify(artifacts(spark, text))))[flag] == value
+
+
+def test_all_reasons_are_listed(spark, one):
+    text = "WITH a AS (SELECT 1) INSERT ; SELECT * FROM url('x') INTO OUTFILE 'y' FORMAT JSON"
+    found = one(d.query_shape_flags(d.classify(artifacts(spark, text))))["reject_reason"]
+    assert found.split("; ") == ["several statements", "calls external function url", "names an output format", "writes a file"]
+
+
+@pytest.mark.parametrize(
+    "raw, clean",
+    [
+        ("SELECT 'x'/* c */FROM t", "SELECT 'x' FROM t"), ("SELECT 'x'/* 'a */ /* b' */'y'", "SELECT 'x'   'y'"),
+        ("SELECT `a`--'\n, \"b\"", "SELECT `a`\n, \"b\""), ("SELECT 1 /* -- */ + 2", "SELECT 1   + 2"),
+        ("SELECT 1 -- /* \n+ 2 */", "SELECT 1 \n+ 2 */"), ("SELECT '/*' , 1 -- '*/", "SELECT '/*' , 1"),
+    ],
+)
+def test_comments_next_to_literals(spark, raw, clean):
+    assert apply(spark, clean_sql, raw) == clean
