@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from dataproof.llm.words import hashed_words, mix
 
@@ -26,6 +27,8 @@ MASKS = (
 
 #: Characters of test items that are sent to the tasks at once. More items are searched in blocks.
 BLOCK_CHARS = 14_000_000
+#: From so many pairs of places of one run in a text and in the items on, places are taken as evenly spaced rows.
+CROWDED = 1 << 10
 #: Bits of the table that sorts out most runs before the exact look-up.
 TABLE_BITS = 22
 
@@ -60,9 +63,13 @@ class SeedIndex:
         self.table = np.zeros(1 << TABLE_BITS, dtype=bool)
         self.table[(self.hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] = True
 
-    def diagonals(self, words: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(text, item, shift) of all hits in a chunk of texts; the item's word k meets the text's k + shift."""
-        found = []
+    def diagonals(self, words: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(text, item, shifts) of all hits in a chunk of texts; with a shift, the item's word k meets the text's k + shift.
+
+        Where a run stands many times in a text and in the items, its places are taken as evenly spaced rows, so that
+        texts and items of repeated words cost what they are long and not the product.
+        """
+        found, marks = [], {}
         for seed, mask in enumerate(MASKS):
             runs = seed_hashes(words, seed)
             start = np.flatnonzero(self.table[(runs >> np.uint64(64 - TABLE_BITS)).astype(np.int64)])
@@ -71,11 +78,63 @@ class SeedIndex:
             start, text = start[inside], text[inside]
             low = np.searchsorted(self.hashes, runs[start], side="left")
             many = np.searchsorted(self.hashes, runs[start], side="right") - low
+            start, text, low, many = (x[many > 0] for x in (start, text, low, many))
+            group = np.lexsort((start, low, text))
+            first = np.flatnonzero(np.concatenate(([True], (np.diff(low[group]) != 0) | (np.diff(text[group]) != 0)))) if len(group) else group
+            times = np.diff(np.append(first, len(group)))
+            crowded = times * many[group[first]] > CROWDED
+            for k in np.flatnonzero(crowded):
+                members = group[first[k]:first[k] + times[k]]
+                entries = slice(low[members[0]], low[members[0]] + many[members[0]])
+                self._mark(marks, int(text[members[0]]), start[members] - at[text[members[0]]], entries, at)
+            single = group[~np.repeat(crowded, times)]
+            start, text, low, many = (x[single] for x in (start, text, low, many))
             entry = np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())
             text, start = np.repeat(text, many), np.repeat(start - at[text], many)
             found.append(np.stack([text, self.owner[entry], start - self.place[entry]], axis=1))
-        for row in np.unique(np.concatenate(found), axis=0):
-            yield tuple(map(int, row))
+        rows = np.unique(np.concatenate(found), axis=0)
+        new = np.flatnonzero((np.diff(rows[:, :2], axis=0, prepend=-1) != 0).any(axis=1))
+        for a, b in zip(new, np.append(new, len(rows))[1:], strict=True):
+            text, item, shifts = int(rows[a, 0]), int(rows[a, 1]), rows[a:b, 2]
+            if (text, item) in marks:
+                marks[text, item][shifts + len(self.words[item])] = True
+            else:
+                yield text, item, shifts
+        for (text, item), mark in marks.items():
+            yield text, item, np.flatnonzero(mark) - len(self.words[item])
+
+    def _mark(self, marks: dict, text: int, places: np.ndarray, entries: slice, at: np.ndarray) -> None:
+        """Marks the shifts between all places of a run in a text and in the items."""
+        owners, others = self.owner[entries], self.place[entries]
+        mine = even_rows(places)
+        for item in np.unique(owners):
+            length = len(self.words[item])
+            mark = marks.setdefault((text, int(item)), np.zeros(length + int(at[text + 1] - at[text]) + 1, dtype=bool))
+            for first, step, count in mine:
+                for other, other_step, other_count in even_rows(np.sort(others[owners == item])):
+                    low = first - other - (other_count - 1) * other_step + length
+                    if step == other_step or min(count, other_count) == 1:
+                        step_of_both = other_step if count == 1 else step
+                        mark[low:low + (count + other_count - 2) * step_of_both + 1:step_of_both] = True
+                    elif count < other_count:
+                        for k in range(count):
+                            mark[low + k * step:low + k * step + (other_count - 1) * other_step + 1:other_step] = True
+                    else:
+                        for k in range(other_count):
+                            mark[low + k * other_step:low + k * other_step + (count - 1) * step + 1:step] = True
+
+
+def even_rows(places: np.ndarray) -> list[tuple[int, int, int]]:
+    """Sorted distinct places as (first, step, count) of evenly spaced ones."""
+    found, at, places = [], 0, places.tolist()
+    while at < len(places):
+        end = at + 1
+        step = places[end] - places[at] if end < len(places) else 1
+        while end < len(places) and places[end] - places[end - 1] == step:
+            end += 1
+        found.append((places[at], step, end - at))
+        at = end
+    return found
 
 
 def seed_hashes(words: np.ndarray, seed: int) -> np.ndarray:
@@ -105,22 +164,37 @@ def longest_run(equal: np.ndarray, min_percent: int) -> tuple[int, int]:
     return (int(places[0]), int(places[-1]) + 1) if len(places) else (0, 0)
 
 
+def best_overlap(own: np.ndarray, test: np.ndarray, shifts: np.ndarray, rule: OverlapRule) -> tuple[int, int, int] | None:
+    """(equal words, minus the first word, words) of the best overlap on some diagonals, or None.
+
+    The longest diagonals are walked first; one that is too short to hold a better overlap is not walked.
+    """
+    begins = np.maximum(0, -shifts)
+    stops = np.minimum(len(test), len(own) - shifts)
+    order = np.lexsort((shifts, begins - stops))
+    best = None
+    for shift, begin, stop in zip(shifts[order].tolist(), begins[order].tolist(), stops[order].tolist(), strict=True):
+        if best and stop - begin < best[0] or stop - begin < rule.min_matched:
+            break
+        if best and stop - begin == best[0] and begin + shift >= -best[1]:
+            continue
+        equal = own[begin + shift:stop + shift] == test[begin:stop]
+        if np.count_nonzero(equal) < (best[0] if best else rule.min_matched):
+            continue
+        a, b = longest_run(equal, rule.min_percent)
+        found = (int(equal[a:b].sum()), -(begin + shift + a), b - a)
+        if found[0] >= rule.min_matched and (best is None or found > best):
+            best = found
+    return best
+
+
 def overlaps(texts: pa.Array, index: SeedIndex, rule: OverlapRule) -> Iterator[tuple[int, int, int, int, int]]:
     """(text, item, first word, words, equal words) of the best overlap of each text and item."""
     for first, words, at in hashed_words(texts):
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for text, item, shift in index.diagonals(words, at):
-            own, test = words[at[text]:at[text + 1]], index.words[item]
-            begin, stop = max(0, -shift), min(len(test), len(own) - shift)
-            equal = own[begin + shift:stop + shift] == test[begin:stop]
-            a, b = longest_run(equal, rule.min_percent)
-            matched = int(equal[a:b].sum())
-            if matched < rule.min_matched:
-                continue
-            found = (matched, -(begin + shift + a), b - a)
-            best[text, item] = max(found, best.get((text, item), found))
-        for (text, item), (matched, start, length) in best.items():
-            yield first + text, item, -start, length, matched
+        for text, item, shifts in index.diagonals(words, at):
+            best = best_overlap(words[at[text]:at[text + 1]], index.words[item], shifts, rule)
+            if best:
+                yield first + text, item, -best[1], best[2], best[0]
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[object, str | None]]]:
@@ -144,13 +218,14 @@ def contaminated(
     No overlap is missed under the given rule or a stricter one; a looser one may miss some without a hit.
 
     The items go to the tasks in blocks of a fixed size and the documents are read once for each block;
-    nothing is shuffled, and a text's cost grows with its length. NULL and empty texts, and items with
+    nothing is shuffled. Item ids can be of any type. NULL and empty texts, and items with
     fewer words than the shortest mask or the rule needs, overlap with nothing. Repeated rows and items, and
     NULL ids, are reported as they come. An empty table on either side gives an empty result. Other
     columns are not read, so their names cannot clash.
     """
     docs = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
     id_kind, item_kind = df.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
+    item_type = to_arrow_type(benchmark.schema[item_col].dataType)
     schema = f"`{id_col}` {id_kind}, `{item_col}` {item_kind}, first_word long, n_words long, n_matched long, coverage double"
     result = df.sparkSession.createDataFrame([], schema)
     for items in _blocks(benchmark, item_col, item_text_col):
@@ -164,7 +239,7 @@ def contaminated(
                 share = [m / len(index.value.words[number]) for m, number in zip(matched, item, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).take(pa.array(text, pa.int64())), _typed(names, item_kind),
+                        batch.column(0).take(pa.array(text, pa.int64())), pa.array(names, item_type),
                         pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(matched, pa.int64()),
                         pa.array(share, pa.float64()),
                     ],
@@ -175,11 +250,6 @@ def contaminated(
     return result
 
 
-def _typed(values: list, kind: str) -> pa.Array:
-    known = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
-    return pa.array(values, known[kind])
-
-
 def drop_contaminated(
     df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
     rule: OverlapRule = OverlapRule(),

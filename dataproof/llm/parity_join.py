@@ -18,6 +18,7 @@ the whole texts. So no link between different components is lost, and copies cos
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -45,6 +46,8 @@ KEYS_AT_ONCE = 1 << 21
 FIRST_BLOCKS = 32
 #: Sets of a block compared with each other in one tile.
 TILE = 1024
+#: Rounds over these blocks.
+FIRST_ROUNDS = 2
 #: Nearest sets that each set names once blocks are looked through for good; the square of it times more in each round.
 MORE = 16
 #: Nearest sets that a task remembers before it hands them over.
@@ -510,12 +513,14 @@ def _join_blocks(blocks: DataFrame, sets: DataFrame, texts: DataFrame, labels: D
     """The labels after links between sets that share one of the blocks; after all of them if ``whole``.
 
     In every round each set names its nearest of other components; those that no earlier round has tried are verified, and
-    links join components. First rounds name one for each set, until that joins nothing more. If ``whole``, sets
-    then name more, until none has named as many as it may: then all that could link has been tried.
+    links join components. First rounds name one for each set and are few. If ``whole``, sets name more in each
+    round, until none has named as many as it may: then all that could link has been tried.
     """
     mixed, path = keep_table(_mixed(blocks, labels), "mixed")
     refused, many = None, MORE if whole else 1
-    while not mixed.isEmpty():
+    for _ in itertools.count() if whole else range(FIRST_ROUNDS):
+        if mixed.isEmpty():
+            break
         named, _ = keep_table(_nearest_apart(mixed, sets, many), "nearest")
         new = named.select(F.least("doc", "other").alias("doc_a"), F.greatest("doc", "other").alias("doc_b")).distinct()
         if refused is not None:

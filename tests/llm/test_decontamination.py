@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -91,3 +92,57 @@ def test_messy_rows(spark):
     kept = drop_contaminated(messy(spark), benchmark)
     assert kept.columns == messy(spark).columns and kept.count() == messy(spark).count() - 4
     assert drop_contaminated(messy(spark), benchmark.limit(0)).count() == messy(spark).count()
+
+
+def brute_overlaps(text, item, rule=OverlapRule()):
+    """(first word, words, equal words) over all diagonals and runs."""
+    best = None
+    for shift in range(-len(item) + 1, len(text)):
+        begin, stop = max(0, -shift), min(len(item), len(text) - shift)
+        equal = np.array([text[k + shift] == item[k] for k in range(begin, stop)], dtype=bool)
+        a, b = longest_run(equal, rule.min_percent)
+        found = (int(equal[a:b].sum()), -(begin + shift + a), b - a)
+        if found[0] >= rule.min_matched and (best is None or found > best):
+            best = found
+    return best and (-best[1], best[2], best[0])
+
+
+def test_repeated_words_against_all_diagonals(monkeypatch):
+    """Texts and items of few words, repeated in periods; with every run taken as crowded and with none."""
+    draw = random.Random(8)
+
+    def lines(n):
+        found = []
+        for _ in range(n):
+            phrase = [draw.choice("ab") for _ in range(draw.randrange(1, 4))]
+            body = (phrase * 60)[:draw.randrange(4, 60)]
+            for _ in range(draw.randrange(3)):
+                body[draw.randrange(len(body))] = draw.choice("abc")
+            found.append([f"x{k}" for k in range(draw.randrange(4))] + body + [f"y{draw.randrange(5)}"] + phrase * draw.randrange(5))
+        return found
+
+    items, texts = lines(12), lines(25)
+    expected = {(t, i): found for t, text in enumerate(texts) for i, item in enumerate(items) if (found := brute_overlaps(text, item))}
+    for crowded in (0, 40, 1 << 40):
+        monkeypatch.setattr("dataproof.llm.decontamination.CROWDED", crowded)
+        index = SeedIndex([(k, " ".join(item)) for k, item in enumerate(items)])
+        got = {(t, i): (a, n, m) for t, i, a, n, m in overlaps(pa.array([" ".join(text) for text in texts]), index, OverlapRule())}
+        assert got == expected
+    assert len(expected) > 50
+
+
+def test_many_repeated_words_are_cheap():
+    """20,000 equal words against 100 items of 40 to 1,000 equal words."""
+    index = SeedIndex([(k, "ha " * (40 + k * 960 // 99)) for k in range(100)])
+    started = time.process_time()
+    found = list(overlaps(pa.array(["ha " * 20_000, "la di " * 10_000]), index, OverlapRule()))
+    assert time.process_time() - started < 20
+    assert sorted(found) == [(0, k, 0, 40 + k * 960 // 99, 40 + k * 960 // 99) for k in range(100)]
+
+
+def test_ids_of_any_type(spark):
+    docs = spark.createDataFrame([("d", PROSE)], "doc_id string, text string")
+    for kind in ("smallint", "decimal(9,2)", "date", "boolean"):
+        benchmark = spark.sql(f"select cast(null as {kind}) as item_id, '{PROSE}' as text")
+        row = contaminated(docs, benchmark).first()
+        assert row["doc_id"] == "d" and row["item_id"] is None
