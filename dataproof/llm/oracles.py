@@ -54,31 +54,8 @@ FROM based LEFT JOIN kept ON based.r = kept.r
 """
 
 
-def _url_level(level: int) -> str:
-    """The templates after one more segment."""
-    return f"""
-branches_{level} AS (
-  SELECT host, template, segments[{level}] AS segment, sum(n) AS n, sum(labelled) AS l, sum(blocked) AS b
-  FROM paths_{level - 1} WHERE len(segments) >= {level} GROUP BY ALL
-), named_{level} AS (
-  SELECT host, template, segment,
-    CASE WHEN n < 5 OR n * 100 < 5 * sum(n) OVER (PARTITION BY host, template) THEN '<any>'
-      WHEN l = 0 THEN segment
-      WHEN (b / l + 3.8416 / (l * 2)) / (1 + 3.8416 / l)
-        - 1.96 * sqrt(b / l * (1 - b / l) / l + 3.8416 / (l * l * 4)) / (1 + 3.8416 / l) > 0.5 THEN '<blocked>'
-      WHEN (b / l + 3.8416 / (l * 2)) / (1 + 3.8416 / l)
-        + 1.96 * sqrt(b / l * (1 - b / l) / l + 3.8416 / (l * l * 4)) / (1 + 3.8416 / l) < 0.5 THEN '<allowed>'
-      ELSE segment END AS name
-  FROM (SELECT * REPLACE (n::DOUBLE AS n, l::DOUBLE AS l, b::DOUBLE AS b) FROM branches_{level})
-), paths_{level} AS (
-  SELECT p.* REPLACE (CASE WHEN name IS NULL THEN p.template ELSE p.template || '/' || name END AS template)
-  FROM paths_{level - 1} p LEFT JOIN named_{level} s
-    ON p.host = s.host AND p.template = s.template AND len(segments) >= {level} AND segments[{level}] = s.segment
-)"""
-
-
 ORACLES["op10_url_filters"] = rf"""
-WITH parsed AS (
+WITH RECURSIVE parsed AS (
   SELECT page_id, lower(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1)) AS host,
     regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages
 ), ruled AS (
@@ -96,13 +73,27 @@ WITH parsed AS (
   FROM parsed
 ), labelled AS (
   SELECT *, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS v FROM ruled
-), paths_0 AS (
-  SELECT host, general, count(*) AS n, count(v) AS labelled, count(*) FILTER (v = 'block') AS blocked,
+), steps AS (
+  SELECT 0 AS level, host, general, count(v) AS l, count(*) FILTER (v = 'block') AS b,
     string_split(general, '/')[2:] AS segments, '' AS template
   FROM labelled GROUP BY host, general
-), {", ".join(_url_level(level) for level in range(1, 7))}, templates AS (
-  SELECT *, (sum(blocked) OVER t + 0.5::DOUBLE) / (sum(labelled) OVER t + 5::DOUBLE) AS purity
-  FROM (SELECT * REPLACE (CASE WHEN len(segments) > 6 THEN template || '/<rest>' ELSE template END AS template) FROM paths_6)
+  UNION ALL
+  SELECT level + 1, host, general, l, b, segments, template || '/' || CASE
+    WHEN sl = 0 THEN segment
+    WHEN (sb / sl + 3.8416 / (sl * 2)) / (1 + 3.8416 / sl)
+      - 1.96 * sqrt(sb / sl * (1 - sb / sl) / sl + 3.8416 / (sl * sl * 4)) / (1 + 3.8416 / sl) > 0.5 THEN '<blocked>'
+    WHEN (sb / sl + 3.8416 / (sl * 2)) / (1 + 3.8416 / sl)
+      + 1.96 * sqrt(sb / sl * (1 - sb / sl) / sl + 3.8416 / (sl * sl * 4)) / (1 + 3.8416 / sl) < 0.5 THEN '<allowed>'
+    ELSE segment END
+  FROM (
+    SELECT *, segments[level + 1] AS segment,
+      (sum(l) OVER branch)::DOUBLE AS sl, (sum(b) OVER branch)::DOUBLE AS sb
+    FROM steps WHERE level < len(segments)
+    WINDOW branch AS (PARTITION BY host, template, segments[level + 1])
+  )
+), templates AS (
+  SELECT host, general, template, (sum(b) OVER t + 0.5::DOUBLE) / (sum(l) OVER t + 5::DOUBLE) AS purity
+  FROM steps WHERE level = len(segments)
   WINDOW t AS (PARTITION BY host, template)
 )
 SELECT page_id, labelled.host, path, rule, coalesce(v, CASE WHEN purity >= 0.5 THEN 'block' ELSE 'allow' END) AS verdict,

@@ -1,8 +1,9 @@
 """URL filters from a tree of path templates per host.
 
-Rules decide the urls they fit and so label part of each host's tree. Level by level, path segments that
-vary become wildcards, and branches whose labels are alike beyond chance are merged. A template that is
-bad by its smoothed share of blocked labels takes the urls down that no rule decides.
+Rules decide the urls they fit and so label part of each host's tree. Numbers and hexadecimal runs become
+wildcards. Level by level, sibling branches are merged where each one's own labels settle it on the same side; a branch
+without labels, or whose labels settle nothing, stays by itself, however large or small it and its siblings are. A
+template that is bad by its smoothed share of blocked labels takes the urls down that no rule decides.
 """
 
 from __future__ import annotations
@@ -33,24 +34,19 @@ class Rule:
 
 @dataclass(frozen=True)
 class TreeRules:
-    """Limits of the tree.
+    """When branches are alike and templates bad.
 
-    A segment with fewer urls than ``min_urls``, or less than ``min_percent`` of its parent's, is variable.
     A branch is settled if the interval of its blocked share at ``deviations`` lies on one side of one
     half. Purity is (blocked + prior * weight) / (labelled + weight); from ``reject`` on a template is bad.
-    Levels below ``levels`` are one wildcard.
     """
 
-    min_urls: int = 5
-    min_percent: int = 5
     deviations: float = 1.96
     prior: float = 0.1
     weight: float = 5.0
     reject: float = 0.5
-    levels: int = 6
 
 
-VARIABLE, TAIL = "<any>", "<rest>"
+BLOCKED, ALLOWED = "<blocked>", "<allowed>"
 
 
 def host_of(url: Column) -> Column:
@@ -92,41 +88,44 @@ def path_templates(urls: DataFrame, limits: TreeRules = TreeRules()) -> DataFram
     """Template and purity of each (host, general path) in rows of (host, general, label).
 
     ``label`` is 1 for blocked, 0 for allowed, NULL for undecided. Rows are counted by general path in the
-    tasks; all that follows works on these counts. A level joins them with their branches' sums.
+    tasks; all that follows works on these counts. A level joins them with their branches' sums. Paths leave
+    when nothing can be merged with them any more: their branch has no labels, or no other path and is not settled. There
+    are as many levels as the deepest of the others has segments.
     """
+    spark = urls.sparkSession
     counts = urls.groupBy("host", "general").agg(
-        F.count(F.lit(1)).alias("n"), F.count("label").alias("labelled"), F.sum(F.coalesce("label", F.lit(0))).alias("blocked")
+        F.count("label").alias("labelled"), F.sum(F.coalesce("label", F.lit(0))).alias("blocked")
     )
     segments = F.slice(F.split("general", "/"), 2, 1 << 20)
     paths, path = keep_table(counts.select("*", segments.alias("segments"), F.lit("").alias("template")), "paths")
-    deepest = paths.agg(F.max(F.size("segments"))).first()[0] or 0
-    for level in range(min(deepest, limits.levels)):
-        keyed = paths.withColumn("segment", F.try_element_at("segments", F.lit(level + 1)))
-        branches = keyed.where("segment is not null").groupBy("host", "template", "segment").agg(
-            *[F.sum(c).alias(c) for c in ("n", "labelled", "blocked")]
+    finished = paths.where(F.size("segments") == 0).drop("segments")
+    active, level = paths.where(F.size("segments") > 0), 0
+    while True:
+        keyed = active.withColumn("segment", F.element_at("segments", F.lit(level + 1)))
+        branches = keyed.groupBy("host", "template", "segment").agg(
+            F.count(F.lit(1)).alias("paths"), F.sum("labelled").alias("l"), F.sum("blocked").alias("b")
         )
-        parents = branches.groupBy("host", "template").agg(F.sum("n").alias("total"))
-        low, high = _wilson(F.col("blocked"), F.col("labelled"), limits.deviations)
-        named = (
-            F.when((F.col("n") < limits.min_urls) | (F.col("n") * 100 < F.col("total") * limits.min_percent), VARIABLE)
-            .when(F.col("labelled") == 0, F.col("segment"))
-            .when(low > 0.5, "<blocked>").when(high < 0.5, "<allowed>").otherwise(F.col("segment"))
+        low, high = _wilson(F.col("b"), F.col("l"), limits.deviations)
+        settled = F.when(F.col("l") > 0, F.when(low > 0.5, BLOCKED).when(high < 0.5, ALLOWED))
+        single = (F.col("l") == 0) | (F.col("paths") == 1) & settled.isNull()
+        chosen = branches.select("host", "template", "segment", F.coalesce(settled, "segment").alias("name"), single.alias("single"))
+        last = F.col("single") | (F.size("segments") == level + 1)
+        rest = F.array_join(F.slice("segments", level + 2, 1 << 20), "/")
+        whole = F.concat_ws("/", "template", "name", F.when(F.size("segments") > level + 1, rest))
+        stepped = keyed.join(chosen, ["host", "template", "segment"]).select(
+            "host", "general", "labelled", "blocked", "segments", last.alias("last"),
+            F.when(last, whole).otherwise(F.concat("template", F.lit("/"), "name")).alias("template"),
         )
-        chosen = branches.join(parents, ["host", "template"]).select("host", "template", "segment", named.alias("name"))
-        stepped = keyed.join(chosen, ["host", "template", "segment"], "left").select(
-            "host", "general", "n", "labelled", "blocked", "segments",
-            F.when(F.col("name").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "name")).alias("template"),
-        )
-        paths, new_path = keep_table(stepped, "paths")
-        drop_folder(urls.sparkSession, path)
-        path = new_path
-    paths = paths.withColumn(
-        "template",
-        F.when(F.size("segments") > limits.levels, F.concat("template", F.lit(f"/{TAIL}"))).otherwise(F.col("template")),
-    )
-    sums = paths.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
+        stepped, _ = keep_table(stepped, "paths")
+        finished = finished.union(stepped.where("last").select("host", "general", "labelled", "blocked", "template"))
+        active, level = stepped.where("not last").drop("last"), level + 1
+        if active.isEmpty():
+            break
+    result, _ = keep_table(finished, "templates")
+    drop_folder(spark, path)
+    sums = result.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
     purity = (F.col("blocked") + F.lit(limits.prior * limits.weight)) / (F.col("labelled") + F.lit(limits.weight))
-    return paths.select("host", "general", "template").join(sums, ["host", "template"]).select(
+    return result.select("host", "general", "template").join(sums, ["host", "template"]).select(
         "host", "general", "template", "labelled", "blocked", purity.alias("purity")
     )
 
