@@ -143,8 +143,8 @@ def safe_expression(expression: str) -> str | None:
     Spark reads the text; what counts is the tree it makes of it, so words in literals and functions that are named
     like parts of a query decide nothing.
     """
-    spark = SparkSession.getActiveSession()
-    if spark is None or not hasattr(spark, "_jsparkSession"):
+    spark = SparkSession.active()
+    if not hasattr(spark, "_jsparkSession"):
         return "this session does not show how it reads an expression"
     try:
         tree = spark._jsparkSession.sessionState().sqlParser().parseExpression(expression)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import cached_property
 
-from pyspark.sql import Column, DataFrame
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from dataproof.operators.artifacts import query_advisories, triage
 from dataproof.operators.changes import dry_run_change
@@ -38,8 +42,12 @@ from dataproof.plans.findings import (
     to_runs,
 )
 from dataproof.sources.keep import keep
+from dataproof.sources.shared import new_folder
 from dataproof.spec import ChangeSpec, TableSpec
 
+#: Checks of a suite that are computed at the same time.
+CHECKS_AT_ONCE = 4
+
 
 @dataclass(frozen=True)
 class Check:
@@ -50,14 +58,16 @@ class Check:
     artifacts: DataFrame | None = None
 
 
-@dataclass(frozen=True)
 class Verification:
     """The tables a suite ends in."""
 
-    artifacts: DataFrame
-    findings: DataFrame
-    limits: DataFrame
-    runs: DataFrame
+    def __init__(self, artifacts: DataFrame, findings: DataFrame, limits: DataFrame):
+        self.artifacts, self.findings, self.limits = artifacts, findings, limits
+
+    @cached_property
+    def runs(self) -> DataFrame:
+        """One run per artifact; computed and stored when first asked for, as gates and reports read it again."""
+        return keep(to_runs(self.artifacts, self.findings, self.limits))
 
     def gate(self, strict: bool = False) -> DataFrame:
         return gate_status(self.runs, strict)
@@ -153,21 +163,48 @@ def scan_checks(queries: DataFrame, ratios: DataFrame, sizes: DataFrame) -> Chec
     return Check(diagnosis_finding(notes).unionByName(diagnosis_finding(missing)))
 
 
-def verify_suite(checks: Sequence[Check]) -> Verification:
+def verify_suite(checks: Sequence[Check | Callable[[], Check]], at_once: int = CHECKS_AT_ONCE) -> Verification:
     """Unites checks into findings, limits and one run per artifact.
 
-    Artifacts come from the checks that declare them (``artifact, type``). Findings
-    and limits are computed once and kept, as runs and reports read them again.
+    Artifacts come from the checks that declare them (``artifact, type``). A check can be a function that
+    makes it. Checks are made, and their findings and limits computed, ``at_once`` at a time, each in a scheduler pool of
+    its own (which shares the cluster fairly where the session's scheduler is FAIR), and stored in one Parquet table
+    each, partitioned by check; runs and reports read them again. The first check that fails ends the suite with its error.
     """
-    findings = _union([check.findings for check in checks])
-    limits = _union([check.limits for check in checks])
-    artifacts = _union([check.artifacts for check in checks])
+    if not checks:
+        raise ValueError("a suite needs at least one check with artifacts and one with findings")
+    # The first check that is not a function names the session; else it is the active one.
+    made = next((c for c in checks if isinstance(c, Check)), None)
+    frames = [f for f in (made.findings, made.limits, made.artifacts) if f is not None] if made else []
+    spark = frames[0].sparkSession if frames else SparkSession.active()
+    stores = {kind: new_folder(spark, kind) for kind in ("findings", "limits")}
+
+    def compute(number: int) -> Check:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"check-{number}")
+        check = checks[number] if isinstance(checks[number], Check) else checks[number]()
+        for kind, frame in (("findings", check.findings), ("limits", check.limits)):
+            if frame is not None:
+                frame.write.parquet(f"{stores[kind]}/check={number}")
+        return check
+
+    with ThreadPoolExecutor(max(1, at_once)) as pool:
+        done = list(pool.map(inheritable_thread_target(spark)(compute), range(len(checks))))
+    artifacts = _union([check.artifacts for check in done])
+    findings = _stored(spark, stores["findings"], [check.findings for check in done])
+    limits = _stored(spark, stores["limits"], [check.limits for check in done])
     if artifacts is None or findings is None:
         raise ValueError("a suite needs at least one check with artifacts and one with findings")
     if limits is None:
-        limits = findings.sparkSession.createDataFrame([], "artifact STRING, type STRING, message STRING")
-    findings, limits = keep(findings), keep(limits)
-    return Verification(artifacts, findings, limits, to_runs(artifacts, findings, limits))
+        limits = spark.createDataFrame([], "artifact STRING, type STRING, message STRING")
+    return Verification(artifacts, findings, limits)
+
+
+def _stored(spark: SparkSession, store: str, frames: Sequence[DataFrame | None]) -> DataFrame | None:
+    """The stored rows of all frames; a column that some of them lack is NULL there."""
+    fields = {field.name: field for frame in frames if frame is not None for field in frame.schema.fields}
+    if not fields:
+        return None
+    return spark.read.schema(StructType([*fields.values(), StructField("check", IntegerType())])).parquet(store).drop("check")
 
 
 def _union(frames: Sequence[DataFrame | None]) -> DataFrame | None:

@@ -4,18 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from dataproof.sources.shared import shared_folder
+from dataproof.sources.shared import keep_table
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """Compute once, store durably, cut the lineage.
+    """Compute once, store durably as Parquet, cut the lineage.
 
     The rows go to the checkpoint folder the cluster names, so they outlive a lost
-    executor. A cluster that names no folder is refused; see ``shared_folder``.
+    executor, and Spark knows their size. A cluster that names no folder is refused; see ``shared_folder``.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    folder = shared_folder(spark)
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+    return keep_table(df, "kept")[0]

@@ -635,3 +635,31 @@ ORACLES["dry_run_change_errors"] = """
 # The table is one file.
 ORACLES["parts_summary_files"] = f"""
     SELECT 1 AS active_parts, count(*) AS rows, count(DISTINCT {YEAR}) AS partitions, true AS has_bytes FROM lineitem"""
+
+ORACLES["read_path_plans"] = f"""
+    WITH items AS ({_global()}), orders_by AS ({_global('orders', 'o_custkey')}), facts AS (
+      SELECT i.final_collapsible_rows AS i, o.final_collapsible_rows AS o FROM items i, orders_by o
+    )
+    SELECT query_id, 'db.lineitem' AS "table", declared, CASE WHEN declared = 'l_suppkey' THEN 'unknown' WHEN i > 0 THEN 'violated' ELSE 'clean' END AS status,
+      CASE WHEN declared = 'l_suppkey' THEN 0 ELSE i END AS duplicate_rows
+    FROM facts, (VALUES ('sums'), ('latest'), ('joined')) q(query_id), (VALUES ('l_suppkey'), ('l_orderkey,l_linenumber')) k(declared)
+    WHERE NOT (query_id = 'latest' AND declared <> 'l_suppkey')
+    UNION ALL
+    SELECT query_id, 'db.orders', '`o_custkey`', CASE WHEN o > 0 THEN 'violated' ELSE 'clean' END, o FROM facts, (VALUES ('joined'), ('filtered')) q(query_id)"""
+ORACLES["part_stats_files"] = """
+    SELECT count(*) AS rows, true AS has_bytes, min(o_orderkey) AS min_o_orderkey, max(o_orderkey) AS max_o_orderkey,
+      min(o_custkey) AS min_o_custkey, max(o_custkey) AS max_o_custkey, min(o_orderdate) AS min_o_orderdate, max(o_orderdate) AS max_o_orderdate
+    FROM orders"""
+ORACLES["stored_columns"] = """
+    SELECT pos, name, type, "null" = 'YES' AS nullable, CASE WHEN name = 'l_tax' THEN 'DEFAULT' END AS default_kind,
+      CASE WHEN name = 'l_tax' THEN '0.0' END AS default_expr, filled, true AS has_codec, true AS sized
+    FROM (UNPIVOT (SELECT count(COLUMNS(*)) FROM lineitem) ON COLUMNS(*) INTO NAME name VALUE filled)
+    JOIN (SELECT column_name, "null", row_number() OVER () AS pos,
+        replace(replace(replace(lower(column_type), 'varchar', 'string'), 'integer', 'int'), 'timestamp', 'timestamp_ntz') AS type
+        FROM (DESCRIBE lineitem)) c
+      ON c.column_name = name"""
+ORACLES["update_expr_functions"] = """
+    WITH n AS (SELECT count(*) AS n FROM lineitem WHERE l_linenumber < 4)
+    SELECT 'UPDATE of ' || c AS subject, status, CASE WHEN status = 'ok' THEN n ELSE 0 END AS checked_rows, 0 AS cast_failures
+    FROM n, (VALUES ('l_quantity', 'ok'), ('l_tax', 'ok'), ('l_discount', 'ok'), ('l_suppkey', 'error'), ('l_partkey', 'error'),
+      ('l_returnflag', 'ok'), ('l_linenumber', 'error')) v(c, status)"""
