@@ -39,7 +39,7 @@ ROWS_AT_ONCE = 256
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements without main text: those that hold no markup, and others; of these, those that cannot hold another of their kind.
 _RAW = frozenset("script style iframe textarea title".split())
-_SKIPPED = frozenset("noscript template object svg math select button canvas audio video".split())
+_SKIPPED = frozenset("noscript template object svg math select button canvas audio video label".split())
 _ALONE = _SKIPPED - frozenset("template object svg math".split())
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer "
@@ -55,6 +55,10 @@ _REGIONS = frozenset(
     "modal overlay newsletter subscribe subscription signup login social share sharing related recommended comment "
     "comments commentlist disqus reply replies respond widget widgets toolbar pagination pager search skip".split()
 )
+#: Regions named by their last word or their first, whatever the others say; first words that speak of a region and name none.
+_LAST = frozenset("comments commentlist disqus".split())
+_FIRST = frozenset("advert adverts advertisement advertisements advertising sponsored".split())
+_ABOUT = frozenset("no has with without hide show toggle open closed allow".split())
 #: Regions named by two words.
 _COMPOUNDS = frozenset(
     f"{first}-{second}" for firsts, seconds in (
@@ -88,6 +92,12 @@ class Line:
     text: str
     article: bool
     links: int = 0
+    heading: bool = False
+
+    @property
+    def own(self) -> int:
+        """Characters that are no links."""
+        return len("".join(self.text.split())) - self.links
 
 
 @dataclass
@@ -109,15 +119,16 @@ class _Lines:
     parts: list[str] = field(default_factory=list)
     links: int = 0
     article: bool = False
+    heading: bool = False
 
     def end(self) -> None:
         text = " ".join(html.unescape("".join(self.parts)).split()) if self.parts else ""
         if text:
-            self.found.append(Line(text, self.article, self.links))
+            self.found.append(Line(text, self.article, self.links, self.heading))
         self.parts, self.links = [], 0
 
-    def add(self, text: str, article: bool, linked: bool) -> None:
-        self.article = article
+    def add(self, text: str, article: bool, linked: bool, heading: bool) -> None:
+        self.article, self.heading = article, heading
         self.parts.append(text)
         if linked:
             self.links += len("".join(text.split()))
@@ -127,8 +138,11 @@ def _named(value: str) -> bool:
     """Whether one of the whole names in a class or id is that of a region."""
     for name in value.lower().split():
         name = _NUMBERED.sub("", re.sub("[_-]+", "-", name))
+        words = name.split("-")
         if name in _REGIONS or name in _COMPOUNDS:
             return True
+        if words[0] not in _ABOUT and (words[-1] in _LAST or words[0] in _FIRST):
+            return True
     return False
 
 
@@ -210,7 +224,7 @@ def page_lines(source: str | None) -> list[Line]:
     def text(piece: str) -> None:
         top = stack[-1]
         if piece and not top.dropped:
-            lines.add(piece, top.article, anchors > 0)
+            lines.add(piece, top.article, anchors > 0, top.name in _HEADINGS)
 
     ends = _Ends(source)
     while tag := _TAG.search(source, at):
@@ -269,11 +283,22 @@ def mostly_links(line: Line) -> bool:
 
 
 def main_text(lines: list[Line], shared: set[int]) -> str:
-    """The article's lines if there is an article, else all; without the shared lines that are not its prose."""
-    article = any(line.article for line in lines)
+    """The article's lines if there is an article, else all; without the shared lines that are not its prose.
+
+    An article counts if it has at least half of the page's text, links and other headings aside; else it is a teaser
+    beside the text. Headings straight before the article belong to it.
+    """
+    article = [number for number, line in enumerate(lines) if line.article]
+    if sum(lines[number].own for number in article) < sum(line.own for line in lines if not line.article and not line.heading):
+        article = []
+    main = set(article or range(len(lines)))
+    before = article[0] - 1 if article else -1
+    while before >= 0 and lines[before].heading and before not in shared:
+        main.add(before)
+        before -= 1
     kept = [
         line.text for number, line in enumerate(lines)
-        if (line.article or not article) and not (number in shared and (not line.article or mostly_links(line)))
+        if number in main and not (number in shared and (not line.article or mostly_links(line)))
     ]
     return "\n\n".join(kept)
 

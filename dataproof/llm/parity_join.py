@@ -50,6 +50,8 @@ TILE = 1024
 FIRST_ROUNDS = 2
 #: Nearest sets that each set names once blocks are looked through for good; the square of it times more in each round.
 MORE = 16
+#: First blocks of a set, by which two sets agree where they are named.
+FIRSTS = 8
 #: Nearest sets that a task remembers before it hands them over.
 PAIRS_KEPT = 1 << 18
 #: Bits of the filter that picks the texts to verify; a false hit costs a row in a shuffle.
@@ -448,18 +450,20 @@ def _nearest_apart(mixed: DataFrame, sets: DataFrame, many: int) -> DataFrame:
     """
     tile = F.pmod(F.hash("doc"), F.col("tiles"))
     others = F.sequence(F.lit(0), F.col("tiles") - 1)
+    firsts = mixed.groupBy("doc").agg(F.slice(F.array_sort(F.collect_set("block")), 1, FIRSTS).alias("firsts"))
     dealt = (
-        mixed.join(sets.select("doc", "n", "sketch"), "doc").withColumn("tile", tile).withColumn("other", F.explode(others))
+        mixed.join(sets.select("doc", "n", "sketch"), "doc").join(firsts, "doc")
+        .withColumn("tile", tile).withColumn("other", F.explode(others))
         .select(
             "block", F.least("tile", "other").alias("row_tile"), F.greatest("tile", "other").alias("column_tile"),
-            "tile", "doc", "label", "n", "sketch",
+            "tile", "doc", "label", "n", "sketch", "firsts",
         )
     )
 
     def compare(rows: list[tuple]) -> Iterator[tuple[int, int, int]]:
         row, column = rows[0][1], rows[0][2]
         size = min(len(r[7]) for r in rows)
-        docs, tiles = [], []
+        docs, tiles, blocks = [], [], []
         for t in (row, column):
             side = [r for r in rows if r[3] == t]
             sketches = [np.frombuffer(r[7], np.uint8) for r in side]
@@ -467,7 +471,11 @@ def _nearest_apart(mixed: DataFrame, sets: DataFrame, many: int) -> DataFrame:
             numbers = [np.array([r[k] for r in side], dtype=np.int64) for k in (4, 5, 6)]
             docs.append(numbers[0])
             tiles.append((packed, *numbers[1:]))
+            blocks.append([r[8] for r in side])
         pairs = near_pairs(*tiles, once=row == column)
+        # A pair that shares first blocks is named in the first of them only; one that shares none, wherever it meets.
+        here = [min(set(blocks[0][i]).intersection(blocks[1][j]), default=rows[0][0]) == rows[0][0] for i, j, _ in pairs.tolist()]
+        pairs = pairs[np.array(here, dtype=bool)]
         first, second, differ = docs[0][pairs[:, 0]], docs[1][pairs[:, 1]], pairs[:, 2]
         owner, other, differ = np.concatenate([first, second]), np.concatenate([second, first]), np.concatenate([differ, differ])
         for k in nearest(owner, differ, many):

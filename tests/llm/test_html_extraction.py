@@ -51,6 +51,19 @@ def test_marks_are_taken_at_their_word(source, text):
     assert main_text(page_lines(source), set()) == text
 
 
+@pytest.mark.parametrize(("source", "text"), [
+    ("<h1>Title</h1><h2>Below</h2><article><p>x y z</p></article><h2>More</h2>", "Title\n\nBelow\n\nx y z"),
+    ("<h1>Site</h1><p>by me</p><article><p>x y z and more</p></article>", "x y z and more"),
+    ("<div><p>A long text of the page.</p><p>And more of it.</p></div><article><a href=x>Teaser</a> in short</article>",
+     "A long text of the page.\n\nAnd more of it.\n\nTeaser in short"),
+    ("<article><p>a</p><div class='post-comments'>n</div><div class='advert_top'>n</div><div id='article_comments-2'>n</div></article>", "a"),
+    ("<article class='post no-comments'><p>a</p><div class='has-comments'>b</div></article>", "a\n\nb"),
+    ("<article><p>a</p><label>Name <input></label><p>b <label>n</p><p>c</p></article>", "a\n\nb\n\nc"),
+])
+def test_titles_teasers_and_compound_names(source, text):
+    assert main_text(page_lines(source), set()) == text
+
+
 def test_many_open_elements():
     source = "<article>" + "<p>a <svg> <script> <button>b" * 20_000
     assert len(page_lines(source)) == 20_000
