@@ -14,12 +14,13 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from dataproof.operators.artifacts import query_advisories, triage
 from dataproof.operators.changes import dry_run_change
-from dataproof.operators.profile import parts_summary
+from dataproof.operators.profile import largest_partitions, partition_stats, parts_summary
 from dataproof.operators.pruning import no_scan_evidence, scan_findings
 from dataproof.operators.readpath import read_path_check
 from dataproof.operators.rowdiff import verify_equivalent
 from dataproof.operators.uniqueness import (
     dedup_eligibility,
+    dup_sample,
     duplicate_proof,
     ineligible_reason,
     scan_guard,
@@ -51,11 +52,17 @@ CHECKS_AT_ONCE = 4
 
 @dataclass(frozen=True)
 class Check:
-    """The outcome of a check on data: its findings and limits, both may be None."""
+    """The outcome of a check on data: its findings and limits, both may be None.
+
+    A duplicate proof also has ``samples``, the keys with the most copies, and, if it was skipped, ``partitions``, the
+    largest ones to prove instead. Both are lazy: they read the table when they are asked for.
+    """
 
     findings: DataFrame | None = None
     limits: DataFrame | None = None
     artifacts: DataFrame | None = None
+    samples: DataFrame | None = None
+    partitions: DataFrame | None = None
 
 
 class Verification:
@@ -113,14 +120,21 @@ def dedup_check(
     if ineligible_reason(spec, df.columns):
         return Check(None, dedup_limit(dedup_eligibility(spec, df), spec.name), artifacts)
     if partition is not None:
-        scoped = scope_partition(df, spec.partition, partition)
-        return Check(dedup_finding(duplicate_proof(scoped, spec.dedup_key), spec.name), None, artifacts)
-    if max_rows > 0 or max_bytes > 0:
+        df = scope_partition(df, spec.partition, partition)
+    elif max_rows > 0 or max_bytes > 0:
         guard = keep(scan_guard(parts_summary(df, None, spec.part, size), max_rows, max_bytes))
         if guard.first()["scan_skipped"]:
-            return Check(None, dedup_limit(guard, spec.name), artifacts)
-    proof = duplicate_proof(df, spec.dedup_key, spec.partition)
-    return Check(dedup_finding(proof, spec.name), None, artifacts)
+            largest = largest_partitions(partition_stats(df, spec.partition, spec.part, size))
+            return Check(None, dedup_limit(guard, spec.name), artifacts, partitions=_of(spec.name, largest))
+    by = spec.partition if partition is None else None
+    proof = duplicate_proof(df, spec.dedup_key, by)
+    keys = F.to_json(F.struct(*[F.col(name) for name in spec.dedup_key])).alias("key")
+    sample = dup_sample(df, spec.dedup_key, by).select(F.col("partition").cast("string").alias("partition"), keys, "copies")
+    return Check(dedup_finding(proof, spec.name), None, artifacts, samples=_of(spec.name, sample))
+
+
+def _of(artifact: str, rows: DataFrame) -> DataFrame:
+    return rows.select(F.lit(artifact).alias("artifact"), "*")
 
 
 def equivalence_check(

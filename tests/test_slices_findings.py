@@ -217,3 +217,17 @@ def test_checks_make_one_suite(spark, source, rows):
         "change.sql": ("warn", "warn", "bounded"), "drop.sql": ("pass", "none", "metadata"),
     }
     assert suite.exit_code().first()["exit_code"] == 1
+
+
+def test_duplicate_check_shows_keys_and_partitions(spark, rows):
+    df = spark.createDataFrame([(1, "a", "x"), (1, "a", "x"), (1, "a", "y"), (2, "b", "y"), (2, "b", "y"), (2, "b", "y"), (3, "c", "z")], "id INT, name STRING, part STRING")
+    spec = d.TableSpec("db.t", ("id", "name"), partition="part", part="part")
+    check = d.dedup_check(df, spec)
+    assert [(r["artifact"], r["partition"], r["key"], r["copies"]) for r in rows(check.samples)] == [
+        ("db.t", "y", '{"id":2,"name":"b"}', 3), ("db.t", "x", '{"id":1,"name":"a"}', 2),
+    ]
+    assert check.partitions is None
+    assert [r["copies"] for r in rows(d.dedup_check(df, spec, partition="x").samples)] == [2]
+    skipped = d.dedup_check(df, spec, max_rows=3)
+    assert skipped.findings is None and skipped.samples is None
+    assert [(r["partition"], r["rows"]) for r in rows(skipped.partitions)] == [("y", 4), ("x", 2), ("z", 1)]

@@ -115,7 +115,7 @@ ORACLES["diff_counts_texts"] = _counts(
 )
 _MORE = (
     f"({_NARROW} WHERE l_quantity > 1 UNION ALL "
-    f"{_NARROW} WHERE l_quantity > 1 AND l_linenumber = 2 AND l_orderkey < 40)"
+    f"{_NARROW} WHERE l_quantity > 1 AND l_linenumber = 2)"
 )
 ORACLES["diff_sample"] = f"""
     (SELECT 'left' AS _side, * FROM (({_NARROW}) EXCEPT ALL {_MORE}) ORDER BY ALL LIMIT 10)
