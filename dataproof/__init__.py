@@ -38,7 +38,9 @@ from dataproof.operators.pruning import (
     no_scan_evidence,
     part_stats,
     scan_findings,
+    ScanFilter,
     scan_ratio,
+    scan_ratios,
 )
 from dataproof.operators.planreads import reads_of
 from dataproof.operators.readpath import proof_rows, read_path_check, uniqueness_audit

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,6 +51,14 @@ def _overlaps(wanted: Range) -> Column:
     return overlap
 
 
+@dataclass(frozen=True)
+class ScanFilter:
+    """What a query asks of a table: a condition on the partition and ranges of sort columns."""
+
+    partition_predicate: Column | str | None = None
+    ranges: Sequence[Range] = ()
+
+
 def scan_ratio(
     stats: DataFrame,
     table: str,
@@ -59,39 +69,28 @@ def scan_ratio(
 
     The key level starts from the parts that the partition level left over.
     """
-    wanted_rows = as_column(partition_predicate) if partition_predicate is not None else F.lit(True)
-    bounds = [
-        bound
-        for wanted in ranges
-        for bound in (
-            F.min(f"min_{wanted.column}").alias(f"min_{wanted.column}"),
-            F.max(f"max_{wanted.column}").alias(f"max_{wanted.column}"),
-        )
-    ]
+    return scan_ratios(stats, {table: ScanFilter(partition_predicate, ranges)})
+
+
+def scan_ratios(stats: DataFrame, filters: Mapping[str, ScanFilter]) -> DataFrame:
+    """``scan_ratio`` of many filters of one table, by name, from one pass over its statistics."""
+    columns = sorted({wanted.column for f in filters.values() for wanted in f.ranges})
+    bounds = [f(f"{short}_{name}").alias(f"{short}_{name}") for name in columns for f, short in ((F.min, "min"), (F.max, "max"))]
+    selected = [as_column(f.partition_predicate) if f.partition_predicate is not None else F.lit(True) for f in filters.values()]
     # A file may hold several logical partitions; it is read once any of them is wanted.
     parts = stats.groupBy("part").agg(
         F.sum("rows").alias("rows"),
-        F.bool_or(F.coalesce(wanted_rows, F.lit(False))).alias("in_partition"),
+        *[F.bool_or(F.coalesce(wanted, F.lit(False))).alias(f"in_{number}") for number, wanted in enumerate(selected)],
         *bounds,
     )
-    in_partition = F.col("in_partition")
-    in_key = in_partition
-    for wanted in ranges:
-        in_key = in_key & _overlaps(wanted)
-    counted = parts.agg(
-        F.count("*").alias("parts"),
-        F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"),
-        *[
-            measure
-            for name, condition in (("partition", in_partition), ("key", in_key))
-            for measure in (
-                F.count_if(condition).alias(f"{name}_parts"),
-                F.coalesce(F.sum(F.when(condition, F.col("rows"))), F.lit(0)).alias(f"{name}_rows"),
-            )
-        ],
-    )
-
-    def level(name: str, conditional: bool, selected: str, total: str) -> Column:
+    measures = [F.count("*").alias("parts"), _sum_or_zero(F.col("rows")).alias("rows")]
+    for number, wanted in enumerate(filters.values()):
+        in_partition = F.col(f"in_{number}")
+        in_key = reduce(and_, [_overlaps(one) for one in wanted.ranges], in_partition)
+        for name, condition in ((f"partition_{number}_", in_partition), (f"key_{number}_", in_key)):
+            measures += [F.count_if(condition).alias(f"{name}parts"), _sum_or_zero(F.when(condition, F.col("rows"))).alias(f"{name}rows")]
+
+    def level(table: str, name: str, conditional: bool, selected: str, total: str) -> Column:
         return F.struct(
             F.lit(table).alias("table"),
             F.lit(name).alias("level"),
@@ -102,14 +101,15 @@ def scan_ratio(
             F.col(f"{total}rows").alias("total_rows"),
         )
 
-    return counted.select(
-        F.inline(
-            F.array(
-                level("partition", partition_predicate is not None, "partition_", ""),
-                level("key", bool(ranges), "key_", "partition_"),
-            )
-        )
-    )
+    levels = []
+    for number, (table, wanted) in enumerate(filters.items()):
+        levels.append(level(table, "partition", wanted.partition_predicate is not None, f"partition_{number}_", ""))
+        levels.append(level(table, "key", bool(wanted.ranges), f"key_{number}_", f"partition_{number}_"))
+    return parts.agg(*measures).select(F.inline(F.array(*levels)))
+
+
+def _sum_or_zero(value: Column) -> Column:
+    return F.coalesce(F.sum(value), F.lit(0))
 
 
 def _pruning_per_table(ratios: DataFrame) -> DataFrame:

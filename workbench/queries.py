@@ -617,10 +617,12 @@ def part_stats(spark, sf_dir):
 
 def _ratios(spark, sf_dir):
     stats = _stats(spark, sf_dir)
-    both = d.scan_ratio(stats, "both", "partition BETWEEN 1996 AND 1997", [Range("l_suppkey", 3, 9)])
-    key = d.scan_ratio(stats, "key", None, [Range("l_suppkey", None, 2), Range("l_orderkey", 0, None)])
-    year = d.scan_ratio(stats, "year", "partition = 1999")
-    return both.unionByName(key).unionByName(year).unionByName(d.scan_ratio(stats, "none"))
+    return d.scan_ratios(stats, {
+        "both": d.ScanFilter("partition BETWEEN 1996 AND 1997", [Range("l_suppkey", 3, 9)]),
+        "key": d.ScanFilter(None, [Range("l_suppkey", None, 2), Range("l_orderkey", 0, None)]),
+        "year": d.ScanFilter("partition = 1999"),
+        "none": d.ScanFilter(),
+    })
 
 
 @query
