@@ -675,3 +675,10 @@ ORACLES["update_expr_functions"] = """
     SELECT 'UPDATE of ' || c AS subject, status, CASE WHEN status = 'ok' THEN n ELSE 0 END AS checked_rows, 0 AS cast_failures
     FROM n, (VALUES ('l_quantity', 'ok'), ('l_tax', 'ok'), ('l_discount', 'ok'), ('l_suppkey', 'error'), ('l_partkey', 'error'),
       ('l_returnflag', 'ok'), ('l_linenumber', 'error')) v(c, status)"""
+
+ORACLES["report_totals"] = f"""
+    SELECT count(*) AS artifacts, count(*) FILTER (type IN ('unknown', 'error') OR verdict = 'FAIL' OR (strict AND verdict = 'WARN')) AS failed, strict
+    FROM ({_TEXT_RUNS}), (VALUES (false), (true)) s(strict) GROUP BY strict"""
+ORACLES["run_log_round_trip"] = """
+    SELECT lang AS tool, CASE WHEN doc_id % 4 = 0 THEN 'error' ELSE 'ok' END AS outcome, 2 * count(*) AS runs, 2 * sum(n_chars)::BIGINT AS ms, true AS stored
+    FROM documents GROUP BY 1, 2"""

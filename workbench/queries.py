@@ -18,9 +18,9 @@ from dataproof.operators.readpath import assumption_lookup
 from dataproof.plans import findings as fs
 from dataproof.plans.suite import Verification, read_path_checks, scan_checks, text_checks
 from dataproof.sources.keep import keep
-from dataproof.sources.runlog import run_log_rows
+from dataproof.sources.runlog import append_run_log, read_run_log, run_log_rows
 from dataproof.sources.shared import new_folder
-from dataproof.sources.slices import extract_slice, slice_catalog, slice_rows, write_manifest
+from dataproof.sources.slices import extract_slice, slice_catalog, slice_rows, stored_bytes, write_manifest
 from workbench import data
 from workbench.data import LINEITEM_KEY, MONTH, PART, YEAR, table
 
@@ -899,6 +899,29 @@ def text_runs(spark, sf_dir):
     return suite.report().join(gate.select("artifact", "type", "failing", "errored"), "artifact")
 
 
+@query
+def report_totals(spark, sf_dir):
+    """How many texts fail or are in error, with warnings let pass and not."""
+    suite = d.verify_suite([text_checks(data.artifacts(spark, sf_dir))])
+    totals = [fs.report_totals(suite.gate(strict)).withColumn("strict", F.lit(strict)) for strict in (False, True)]
+    return totals[0].unionByName(totals[1])
+
+
+@query
+def run_log_round_trip(spark, sf_dir):
+    """Runs appended twice to a log, read back, and the bytes of its files."""
+    path = new_folder(spark, "run-log")
+    runs = table(spark, sf_dir, "documents").select(
+        F.to_timestamp(F.lit(AS_OF)).alias("finished_at"), F.col("lang").alias("name"), (F.col("doc_id") % 4 == 0).alias("failed"),
+        F.col("n_chars").alias("duration_ms"), "text",
+    )
+    for _ in range(2):
+        append_run_log(runs, path)
+    counts = read_run_log(spark, path).groupBy("tool", "outcome").agg(F.count("*").alias("runs"), F.sum("durationMs").alias("ms"))
+    stored = stored_bytes(spark, path).first()["bytes"] > 0
+    return counts.withColumn("stored", F.lit(stored))
+
+
 @query
 def gate_status(spark, sf_dir):
     suite = _suite(spark, sf_dir)
