@@ -896,7 +896,7 @@ def aggregate_verdict(spark, sf_dir):
 def text_runs(spark, sf_dir):
     suite = d.verify_suite([text_checks(data.artifacts(spark, sf_dir))])
     gate = suite.gate(strict=True)
-    return suite.report().join(gate.select("artifact", "type", "failing", "errored"), "artifact")
+    return suite.report().join(gate.select("artifact", "type", "failing", "errored").hint("merge"), "artifact")
 
 
 @query
