@@ -113,12 +113,12 @@ def identity(shingles: np.ndarray) -> tuple[int, int]:
 
 
 def dense_sketch(shingles: np.ndarray) -> bytes:
-    """Parity of the shingles at each of a power of two of positions, at least twice as many as shingles.
+    """Parity of the shingles at each of a power of two of positions, at least as many as shingles.
 
-    Folded to the length of a set half as large, the sketches of unlike sets still differ in far more
-    positions than the rule allows.
+    Compared at the length of the smaller set, the sketches of unlike sets that are similar in size differ in about
+    half of its positions, twice as many as the rule allows.
     """
-    bits = 1 << max(6, int(2 * len(shingles) - 1).bit_length())
+    bits = 1 << max(6, int(len(shingles) - 1).bit_length())
     odd = np.bincount((mix(shingles, 4) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
@@ -442,6 +442,24 @@ def near_pairs(left: tuple, right: tuple, once: bool) -> np.ndarray:
     return np.concatenate(found)
 
 
+def near_folded(left: tuple, right: tuple, once: bool) -> np.ndarray:
+    """``near_pairs`` of tiles whose sketches, a list of bytes, have different lengths: a pair is compared at its smaller one's."""
+    found = [np.zeros((0, 3), dtype=np.int64)]
+    lengths = [np.array([len(x) for x in tile[0]], dtype=np.int64) for tile in (left, right)]
+    for x, y in itertools.product(*map(np.unique, lengths)):
+        if once and y < x:
+            continue
+        places = [np.flatnonzero(own == length) for own, length in zip(lengths, (x, y), strict=True)]
+        parts = []
+        for (sketches, labels, counts), at in zip((left, right), places, strict=True):
+            arrays = [np.frombuffer(sketches[k], np.uint8) for k in at]
+            size = int(min(x, y))
+            parts.append((np.array([a if len(a) == size else folded(a, size) for a in arrays]), labels[at], counts[at]))
+        pairs = near_pairs(*parts, once=once and x == y)
+        found.append(np.stack([places[0][pairs[:, 0]], places[1][pairs[:, 1]], pairs[:, 2]], axis=1))
+    return np.concatenate(found)
+
+
 def _nearest_apart(mixed: DataFrame, sets: DataFrame, many: int) -> DataFrame:
     """For each set the ``many`` nearest sets of other components that share a block with it: doc, other, differ.
 
@@ -462,17 +480,14 @@ def _nearest_apart(mixed: DataFrame, sets: DataFrame, many: int) -> DataFrame:
 
     def compare(rows: list[tuple]) -> Iterator[tuple[int, int, int]]:
         row, column = rows[0][1], rows[0][2]
-        size = min(len(r[7]) for r in rows)
         docs, tiles, blocks = [], [], []
         for t in (row, column):
             side = [r for r in rows if r[3] == t]
-            sketches = [np.frombuffer(r[7], np.uint8) for r in side]
-            packed = np.array([s if len(s) == size else folded(s, size) for s in sketches]).reshape(len(side), size)
             numbers = [np.array([r[k] for r in side], dtype=np.int64) for k in (4, 5, 6)]
             docs.append(numbers[0])
-            tiles.append((packed, *numbers[1:]))
+            tiles.append(([r[7] for r in side], *numbers[1:]))
             blocks.append([r[8] for r in side])
-        pairs = near_pairs(*tiles, once=row == column)
+        pairs = near_folded(*tiles, once=row == column)
         # A pair that shares first blocks is named in the first of them only; one that shares none, wherever it meets.
         here = [min(set(blocks[0][i]).intersection(blocks[1][j]), default=rows[0][0]) == rows[0][0] for i, j, _ in pairs.tolist()]
         pairs = pairs[np.array(here, dtype=bool)]
@@ -522,7 +537,8 @@ def _join_blocks(blocks: DataFrame, sets: DataFrame, texts: DataFrame, labels: D
 
     In every round each set names its nearest of other components; those that no earlier round has tried are verified, and
     links join components. First rounds name one for each set and are few. If ``whole``, sets name more in each
-    round, until none has named as many as it may: then all that could link has been tried.
+    round, until none has named as many as it may: then all that could link has been tried. A set that has named fewer
+    has named all of its own, so later rounds deal only sets that have not, and pairs of these.
     """
     mixed, path = keep_table(_mixed(blocks, labels), "mixed")
     refused, many = None, MORE if whole else 1
@@ -534,22 +550,22 @@ def _join_blocks(blocks: DataFrame, sets: DataFrame, texts: DataFrame, labels: D
         if refused is not None:
             new = new.join(refused, ["doc_a", "doc_b"], "left_anti")
         new, _ = keep_table(_with_ids(new, sets), "pairs")
-        more = whole and not named.where(F.col("rank") == many).isEmpty()
+        full = named.where(F.col("rank") == many).select("doc")
+        more = whole and not full.isEmpty()
         if new.isEmpty() and not more:
             break
         tried, _ = keep_table(_links(new, texts), "links")
         bad = tried.where("not linked").select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"))
         refused = bad if refused is None else refused.union(bad)
         links = tried.where("joins").select("a", "b")
-        if not links.isEmpty():
+        joined = not links.isEmpty()
+        if joined:
             labels = merged(labels, links)
-            if whole and not more:
-                break
-            done = path
-            mixed, path = keep_table(_mixed(mixed, labels), "mixed")
-            drop_folder(blocks.sparkSession, done)
-        elif not more:
+        if not more and (whole or not joined):
             break
+        done = path
+        mixed, path = keep_table(_mixed(mixed.join(full, "doc", "left_semi") if whole else mixed, labels), "mixed")
+        drop_folder(blocks.sparkSession, done)
         many *= MORE * MORE if whole else 1
     return labels
 

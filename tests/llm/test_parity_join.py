@@ -62,7 +62,62 @@ def test_linked_sets_meet(size):
         assert len(np.intersect1d(pj.block_keys(own), pj.block_keys(other)))
         sketches = [np.frombuffer(pj.dense_sketch(x), np.uint8) for x in (own, other)]
         assert pj.apart(*sketches) <= most
+        assert all(8 * len(sketch) < max(65, 2 * len(x)) for sketch, x in zip(sketches, (own, other), strict=True))
+
+
+@pytest.mark.parametrize("once", [True, False])
+def test_pairs_of_unlike_lengths(once):
+    """Sketches of all lengths in one tile: what is compared is what the two sketches alone say."""
+    draw = np.random.default_rng(3)
+    base = np.unique(draw.integers(0, 1 << 63, 400).astype(np.uint64))
+    sets = [np.concatenate([base[:n], draw.integers(0, 1 << 63, 3).astype(np.uint64)]) for n in draw.integers(200, 380, 80)]
+    sketches = [pj.dense_sketch(x) for x in sets]
+    labels, counts = draw.integers(0, 9, 80), np.array([len(x) for x in sets])
+    halves = [np.arange(80)] * 2 if once else [np.arange(30), np.arange(30, 80)]
+    tiles = [([sketches[k] for k in half], labels[half], counts[half]) for half in halves]
+    got = {(*sorted((int(halves[0][i]), int(halves[1][j]))), differ) for i, j, differ in pj.near_folded(*tiles, once).tolist()}
+    want = set()
+    for i in halves[0].tolist():
+        for j in halves[1].tolist():
+            differ = pj.apart(*[np.frombuffer(sketches[k], np.uint8) for k in (i, j)])
+            fits = min(counts[i], counts[j]) * 100 >= max(counts[i], counts[j]) * 80
+            if labels[i] != labels[j] and fits and differ <= pj.most_apart(counts[i], counts[j]):
+                want.add((min(i, j), max(i, j), differ))
+    assert got == want and len(want) > 20
+
+
+def test_later_rounds_deal_what_is_open(spark, monkeypatch):
+    """Sets that have named all of theirs are not dealt to their blocks again."""
+    draw = random.Random(7)
 
+    def prose(n):
+        return [f"w{draw.randrange(4000)}" for _ in range(n)]
+
+    rows, passage = [], prose(60)
+    for _ in range(3):
+        base = prose(200)
+        for _ in range(14):
+            base[draw.randrange(200)] = f"changed{draw.randrange(999)}"
+            rows.append((len(rows), " ".join(base)))
+    rows += [(len(rows) + k, " ".join(prose(100) + passage + prose(100))) for k in range(40)]
+    rounds, real = [], pj._nearest_apart
+
+    def watched(mixed, sets, many):
+        named = real(mixed, sets, many)
+        full = {r["doc"] for r in named.where(named["rank"] == many).collect()}
+        rounds.append(({r["doc"] for r in mixed.collect()}, full))
+        return named
+
+    monkeypatch.setattr(pj, "_nearest_apart", watched)
+    monkeypatch.setattr(pj, "_first_pairs", lambda met: met.where("kind = 9").select("a", "b"))
+    monkeypatch.setattr(pj, "FIRST_ROUNDS", 0)
+    monkeypatch.setattr(pj, "MORE", 2)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"])
+           for r in pj.parity_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
+    assert rounds and any(doc >= 42 for doc in rounds[0][0]) and rounds[0][1]
+    for (_, full), (dealt, _) in zip(rounds, rounds[1:], strict=False):
+        assert dealt <= full
 
 def test_groups_and_shared_passages(spark):
     """Copies, near copies of near copies, and texts that only share a passage."""
