@@ -136,16 +136,16 @@ def sketch_bits(size: int) -> int:
     return min(MOST_BITS, max(FEWEST_BITS, math.ceil(math.log2(max(1, size / 8)))))
 
 
-def _touched(window: int, bits: int):
+def _touched(window: int, bits: int, slice_bits: int):
     def touch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells: list[np.ndarray] = []
         held = 0
 
         def handed() -> pa.RecordBatch:
             cell, times = np.unique(np.concatenate(cells), return_counts=True)
-            part = cell >> np.uint64(SLICE_BITS)
+            part = cell >> np.uint64(slice_bits)
             starts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-            place = (cell & np.uint64((1 << SLICE_BITS) - 1)).astype("<u2")
+            place = (cell & np.uint64((1 << slice_bits) - 1)).astype("<u2")
             rows = []
             for a, b in zip(starts, [*starts[1:], len(cell)], strict=True):
                 again = times[a:b] > 1
@@ -174,32 +174,36 @@ def _touched(window: int, bits: int):
     return touch
 
 
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _merged(slice_bits: int):
     """Bits of the cells of each slice that were counted twice or more."""
-    current, seen, twice = None, None, None
 
-    def told() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([current], pa.int32()), pa.array([np.packbits(twice).tobytes()])], names=["slice", "bits"])
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, seen, twice = None, None, None
 
-    for batch in batches:
-        for number, once, more in zip(*[column.to_pylist() for column in batch.columns], strict=True):
-            if number != current:
-                if current is not None:
-                    yield told()
-                current, seen, twice = number, np.zeros(1 << SLICE_BITS, dtype=bool), np.zeros(1 << SLICE_BITS, dtype=bool)
-            one, two = np.frombuffer(once, "<u2"), np.frombuffer(more, "<u2")
-            twice[one[seen[one]]] = True
-            twice[two] = True
-            seen[one] = seen[two] = True
-    if current is not None:
-        yield told()
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([current], pa.int32()), pa.array([np.packbits(twice).tobytes()])], names=["slice", "bits"])
+
+        for batch in batches:
+            for number, once, more in zip(*[column.to_pylist() for column in batch.columns], strict=True):
+                if number != current:
+                    if current is not None:
+                        yield told()
+                    current, seen, twice = number, np.zeros(1 << slice_bits, dtype=bool), np.zeros(1 << slice_bits, dtype=bool)
+                one, two = np.frombuffer(once, "<u2"), np.frombuffer(more, "<u2")
+                twice[one[seen[one]]] = True
+                twice[two] = True
+                seen[one] = seen[two] = True
+        if current is not None:
+            yield told()
+
+    return merge
 
 
 def repeated_cells(chunks: DataFrame, window: int, bits: int) -> np.ndarray:
     """One bit for each cell of the merged sketch: whether it counted two or more. Its size is bounded by MOST_BITS."""
     slices = (
-        chunks.select("id", "text", "chunk").mapInArrow(_touched(window, bits), "slice int, once binary, more binary")
-        .repartition("slice").sortWithinPartitions("slice").mapInArrow(_merged, "slice int, bits binary")
+        chunks.select("id", "text", "chunk").mapInArrow(_touched(window, bits, SLICE_BITS), "slice int, once binary, more binary")
+        .repartition("slice").sortWithinPartitions("slice").mapInArrow(_merged(SLICE_BITS), "slice int, bits binary")
     )
     found = np.zeros((SKETCH_ROWS << bits) // 8, dtype=np.uint8)
     width = (1 << SLICE_BITS) // 8
