@@ -1,24 +1,36 @@
-"""Connected components of links, by rounds of joins and minima."""
+"""Connected components of links: contracted in tasks, then by rounds of joins and minima."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dataproof.sources.shared import drop_folder, keep_table
 
+#: Links that one task contracts.
+AT_ONCE = 1 << 17
+
 
 def components(links: DataFrame) -> DataFrame:
     """``doc`` and ``component`` (the smallest id reachable) of every id in the links (a, b).
 
-    Each round gives every id the smallest label next to it and then the label of its label, so
-    that a component of any shape takes about as many rounds as the logarithm of its width. Minima are
-    taken before the shuffle; the label table is written in every round, so a lost executor costs one
-    round. Links and labels stay in Spark; the driver sees one count a round. NULLs are ignored, loops
-    and repeated links are harmless, and no links give no rows.
+    Each task contracts its links first: every id with the smallest that the task's links reach. Links that fit
+    one task are done with that, and no rounds of shuffles run on small tables. Else each round gives every id the
+    smallest label next to it and then the label of its label, so that a component of any shape takes about as many
+    rounds as the logarithm of its width. Minima are taken before the shuffle; the label table is written in every
+    round, so a lost executor costs one round. Links are read twice and, like labels, stay in Spark; the driver sees
+    one count a round. NULLs are ignored, loops and repeated links are harmless, and no links give no rows.
     """
     spark = links.sparkSession
     links = links.where("a is not null and b is not null and a <> b").select("a", "b")
+    tasks = -(-links.count() // AT_ONCE)
+    stars = links.coalesce(max(1, tasks)).mapInArrow(_contracted(AT_ONCE), "doc long, component long")
+    if tasks <= 1:
+        return keep_table(stars, "labels")[0]
+    links = stars.where("doc <> component").toDF("a", "b")
     both, both_path = keep_table(links.union(links.select("b", "a")).distinct().toDF("doc", "other"), "links")
     labels, path = keep_table(both.groupBy("doc").agg(F.least(F.min("other"), F.first("doc")).alias("component")), "labels")
     while True:
@@ -41,26 +53,31 @@ def components(links: DataFrame) -> DataFrame:
     return labels
 
 
-def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
-    """The labels (doc, component) after more links (a, b). Only the components that the links join are labelled anew.
+def _contracted(most: int):
+    """Every id of a task's links with the smallest id that they reach; anew once there are more ids than ``most`` links have."""
 
-    Ids without a label are components of their own.
-    """
-    if labels is None:
-        return components(links)
-    ends = links
-    for end in ("a", "b"):
-        known = labels.select(F.col("doc").alias(end), F.col("component").alias(f"of_{end}"))
-        ends = ends.join(known, end, "left").withColumn(f"of_{end}", F.coalesce(f"of_{end}", end))
-    ends, path = keep_table(ends, "ends")
-    moved = components(ends.select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))).toDF("component", "least")
-    new = ends.select(F.col("a").alias("doc"), F.col("of_a").alias("component")).union(ends.select("b", "of_b")).distinct()
-    every = labels.union(new.join(labels, "doc", "left_anti"))
-    result, _ = keep_table(
-        every.join(moved, "component", "left").select("doc", F.coalesce("least", "component").alias("component")), "labels"
-    )
-    drop_folder(links.sparkSession, path)
-    return result
+    def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = Forest(most=2 * most)
+
+        def told() -> pa.RecordBatch:
+            doc, component = zip(*forest.stars(), strict=True) if forest.parent else ((), ())
+            forest.parent.clear()
+            return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(component, pa.int64())], names=["doc", "component"])
+
+        for batch in batches:
+            for a, b in zip(*[column.to_pylist() for column in batch.columns], strict=True):
+                if len(forest.parent) > forest.most:
+                    yield told()
+                forest.joins(a, b)
+        yield told()
+
+    return contract
+
+
+def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The labels (doc, component) after more links (a, b). Ids without a label are components of their own."""
+    links = links.select("a", "b")
+    return components(links if labels is None else labels.select("doc", "component").toDF("a", "b").union(links))
 
 
 class Forest:
@@ -81,3 +98,11 @@ class Forest:
         a, b = self._root(a), self._root(b)
         self.parent[a] = b
         return a != b
+
+    def stars(self) -> list[tuple[int, int]]:
+        """Every id with the smallest one that it is joined with."""
+        least: dict[int, int] = {}
+        for x in self.parent:
+            root = self._root(x)
+            least[root] = min(least.get(root, x), x)
+        return [(x, least[self._root(x)]) for x in self.parent]

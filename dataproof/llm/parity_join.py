@@ -54,6 +54,8 @@ MORE = 16
 FIRSTS = 8
 #: Nearest sets that a task remembers before it hands them over.
 PAIRS_KEPT = 1 << 18
+#: Tables of sets' ids and pairs are written by so many times fewer tasks than texts, though by one for each core.
+FEWER = 8
 #: Bits of the filter that picks the texts to verify; a false hit costs a row in a shuffle.
 FILTER_BITS = 1 << 24
 
@@ -298,15 +300,15 @@ def _first_pairs(met: DataFrame) -> DataFrame:
 
     These pairs only make components early; what they leave apart is looked through later.
     """
-    often = met.where("kind <> 1").groupBy("b", "a").agg(F.count(F.lit(1)).alias("times"))
+    often = met.where("kind <> 1").repartition("b").groupBy("b", "a").agg(F.count(F.lit(1)).alias("times"))
     leaders = often.groupBy("b").agg(F.max(F.struct("times", "a"))["a"].alias("most"), F.min("a").alias("least"))
-    return leaders.select(F.explode(F.array("most", "least")).alias("a"), "b")
+    return leaders.select("b", F.explode(F.array_distinct(F.array("most", "least"))).alias("a"))
 
 
 def _plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of set ids as pairs of sets whose sizes and dense sketches allow a link."""
-    pairs = pairs.select("a", "b").distinct()
-    for side in ("a", "b"):
+    """Distinct pairs of set ids as pairs of sets whose sizes and dense sketches allow a link."""
+    # They come by "b", so that side needs no shuffle of its own.
+    for side in ("b", "a"):
         pairs = pairs.join(
             sets.select(F.col("id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("doc", "n", "sketch")]), side
         )
@@ -341,7 +343,7 @@ def _filter_words(ids: DataFrame, bits: int) -> np.ndarray:
     rows = (
         ids.select(F.pmod(F.xxhash64("doc"), F.lit(bits)).alias("place"))
         .select(F.expr("cast(place div 32 as int)").alias("word"), F.expr("shiftleft(1L, cast(place % 32 as int))").alias("bit"))
-        .groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+        .groupBy("word").agg(F.bit_or("bit").alias("bits")).coalesce(_few_tasks(ids)).toPandas()
     )
     words = np.zeros(bits // 32, dtype=np.uint32)
     words[rows["word"].to_numpy(dtype=np.int64)] = rows["bits"].to_numpy(dtype=np.int64).astype(np.uint32)
@@ -356,7 +358,7 @@ def _links(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     sorts out the others where they lie, and the joins are exact.
     """
     spark = pairs.sparkSession
-    wanted = pairs.select(F.col("doc_a").alias("doc")).union(pairs.select(F.col("doc_b").alias("doc"))).distinct()
+    wanted = pairs.select(F.col("doc_a").alias("doc")).union(pairs.select(F.col("doc_b").alias("doc")))
     bits = FILTER_BITS
     shared = spark.sparkContext.broadcast(_filter_words(wanted, bits))
 
@@ -528,7 +530,8 @@ def _nearest_apart(mixed: DataFrame, sets: DataFrame, many: int) -> DataFrame:
         yield told()
 
     keys = ["block", "row_tile", "column_tile"]
-    found = dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(groups, "doc long, other long, differ long").distinct()
+    found = dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(groups, "doc long, other long, differ long")
+    found = found.repartition("doc").distinct()
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("doc").orderBy("differ", "other"))).where(F.col("rank") <= many)
 
 
@@ -540,16 +543,16 @@ def _join_blocks(blocks: DataFrame, sets: DataFrame, texts: DataFrame, labels: D
     round, until none has named as many as it may: then all that could link has been tried. A set that has named fewer
     has named all of its own, so later rounds deal only sets that have not, and pairs of these.
     """
-    mixed, path = keep_table(_mixed(blocks, labels), "mixed")
+    mixed, path = _kept_small(_mixed(blocks, labels), "mixed")
     refused, many = None, MORE if whole else 1
-    for _ in itertools.count() if whole else range(FIRST_ROUNDS):
+    for done in itertools.count(1) if whole else range(1, FIRST_ROUNDS + 1):
         if mixed.isEmpty():
             break
-        named, _ = keep_table(_nearest_apart(mixed, sets, many), "nearest")
+        named, _ = _kept_small(_nearest_apart(mixed, sets, many), "nearest")
         new = named.select(F.least("doc", "other").alias("doc_a"), F.greatest("doc", "other").alias("doc_b")).distinct()
         if refused is not None:
             new = new.join(refused, ["doc_a", "doc_b"], "left_anti")
-        new, _ = keep_table(_with_ids(new, sets), "pairs")
+        new, _ = _kept_small(_with_ids(new, sets), "pairs")
         full = named.where(F.col("rank") == many).select("doc")
         more = whole and not full.isEmpty()
         if new.isEmpty() and not more:
@@ -561,11 +564,11 @@ def _join_blocks(blocks: DataFrame, sets: DataFrame, texts: DataFrame, labels: D
         joined = not links.isEmpty()
         if joined:
             labels = merged(labels, links)
-        if not more and (whole or not joined):
+        if not more and (whole or not joined or done == FIRST_ROUNDS):
             break
-        done = path
-        mixed, path = keep_table(_mixed(mixed.join(full, "doc", "left_semi") if whole else mixed, labels), "mixed")
-        drop_folder(blocks.sparkSession, done)
+        before = path
+        mixed, path = _kept_small(_mixed(mixed.join(full, "doc", "left_semi") if whole else mixed, labels), "mixed")
+        drop_folder(blocks.sparkSession, before)
         many *= MORE * MORE if whole else 1
     return labels
 
@@ -608,7 +611,7 @@ def parity_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     met, met_path = keep_table(_meetings(_packed_keys(docs, "text", partitions * BUCKETS_EACH), partitions), "meetings")
     texts = docs.withColumnRenamed("doc_id", "doc")
-    first, _ = keep_table(_links(_kept(_plausible(_first_pairs(met), named)), texts), "links")
+    first, _ = keep_table(_links(_kept_small(_plausible(_first_pairs(met), named), "pairs")[0], texts), "links")
     final = components(first.where("joins").select("a", "b"))
     of = named.select(F.col("id").alias("b"), "doc")
     crowded = met.where("kind = 1").join(of, "b").select(F.col("a").alias("block"), "doc").distinct()
@@ -628,8 +631,15 @@ def parity_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return joined.union(alone).withColumnRenamed("doc_id", id_col)
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    return keep_table(df, "pairs")[0]
+def _few_tasks(df: DataFrame) -> int:
+    """Tasks for what is far smaller than the texts; they follow the number of shuffle partitions."""
+    spark = df.sparkSession
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // FEWER)
+
+
+def _kept_small(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """A table without texts or sketches, kept in few files: later joins then know that it is small."""
+    return keep_table(df.coalesce(_few_tasks(df)), name)
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from messy import ROWS, empty, messy
 
+from dataproof.llm import components as co
 from dataproof.llm import parity_join as pj
 from dataproof.llm.components import components
 from dataproof.llm.queries import QUERIES
@@ -159,3 +160,24 @@ def test_components(spark):
     got = {r["doc"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{k: 1 for k in range(1, 61)}, 100: 100, 101: 100, 200: 100}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("at_once", [1 << 17, 7])
+def test_few_links_take_no_rounds(spark, monkeypatch, at_once):
+    """Links that fit a task are contracted there, in one table; more of them, in rounds, give the same, also on top of labels."""
+    kept, real = [], co.keep_table
+    monkeypatch.setattr(co, "keep_table", lambda df, name: kept.append(name) or real(df, name))
+    monkeypatch.setattr(co, "AT_ONCE", at_once)
+    links = [(k + 1, k) for k in range(300, 340)] + [(k, k + 500) for k in range(1, 30)]
+    labels = co.merged(None, spark.createDataFrame(links, "a long, b long").repartition(5))
+    assert {r["doc"]: r["component"] for r in labels.collect()} == {
+        **{k: 300 for k in range(300, 341)}, **{k: k for k in range(1, 30)}, **{k + 500: k for k in range(1, 30)},
+    }
+    assert at_once == 7 or kept == ["labels"]
+    more = [(340, 529), (1, 2), (2, 3), (900, 901)]
+    got = {r["doc"]: r["component"] for r in co.merged(labels, spark.createDataFrame(more, "a long, b long")).collect()}
+    assert got == {
+        **{k: 29 for k in (*range(300, 341), 29, 529)}, **{k: 1 for k in (1, 2, 3, 501, 502, 503)}, 900: 900, 901: 900,
+        **{k: k for k in range(4, 29)}, **{k + 500: k for k in range(4, 29)},
+    }
+    assert at_once == 7 or kept == ["labels"] * 2
