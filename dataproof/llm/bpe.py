@@ -13,8 +13,9 @@ import regex
 from pyspark.sql import DataFrame
 
 TEXTS_AT_ONCE = 256
-#: Chunks remembered in a worker, and the longest that is; when there are more, it starts anew.
-MOST_KEPT = 500_000
+#: Chunks remembered in a worker, and the longest that is; when there are more, those are kept that come again before there
+#: are as many others.
+MOST_KEPT = 125_000
 LONGEST_KEPT = 64
 
 #: White space as Unicode's property has it, which Python's own splitting widens by \x1c-\x1f.
@@ -56,6 +57,7 @@ class WordBpe:
         self.special_pattern = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.characters = byte_characters()
         self._known: dict[str, bytes] = {}
+        self._before: dict[str, bytes] = {}
 
     @staticmethod
     def load(path: str) -> WordBpe:
@@ -132,12 +134,16 @@ class WordBpe:
         except KeyError:
             pass
         if len(known) > MOST_KEPT:
-            known.clear()
+            self._before, self._known = known, {}
+            known = self._known
+        before = self._before
         found = []
         for chunk in chunks:
             ids = known.get(chunk)
             if ids is None:
-                ids = self._chunk(chunk)
+                ids = before.get(chunk)
+                if ids is None:
+                    ids = self._chunk(chunk)
                 if len(chunk) <= LONGEST_KEPT:
                     known[chunk] = ids
             found.append(ids)

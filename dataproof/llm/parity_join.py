@@ -41,7 +41,7 @@ PARTITIONS = 4
 #: Buckets of blocks per shuffle partition, so that buckets even out.
 BUCKETS_EACH = 16
 #: Keys gathered before they are handed on.
-KEYS_AT_ONCE = 1 << 21
+KEYS_AT_ONCE = 1 << 19
 #: One crowded block in so many is looked through first.
 FIRST_BLOCKS = 32
 #: Sets of a block compared with each other in one tile.

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Texts are taken together up to so many bytes; a longer text is a chunk of its own.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32

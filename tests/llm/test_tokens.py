@@ -10,6 +10,7 @@ import pytest
 from messy import ROWS, empty, messy
 from tokenizers import Tokenizer
 
+from dataproof.llm import bpe
 from dataproof.llm.bpe import WordBpe, bpe_round_trip
 from dataproof.llm.length_histogram import encoded_lengths, length_histogram, quantiles, totals_at
 from dataproof.llm.pieces import PieceEncoder
@@ -112,3 +113,16 @@ def test_limits_and_quantiles(spark):
     assert found == {0.25: 0, 0.5: 1, 1.0: 70000}
     assert length_histogram(encoded_lengths(empty(spark), BYTE)).count() == 0
     assert encoded_lengths(messy(spark), BYTE).count() == len(ROWS)
+
+
+def test_remembered_chunks(monkeypatch):
+    """What an encoder remembers is bounded, what comes again stays, and ids do not depend on it."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = [f"often word{k} and w{k * 7}x again" for k in range(60)] * 2
+    free = WordBpe(path)
+    want = [free.encode(text) for text in texts]
+    monkeypatch.setattr(bpe, "MOST_KEPT", 20)
+    tight = WordBpe(path)
+    assert [tight.encode(text) for text in texts] == want
+    assert len(tight._known) + len(tight._before) <= 2 * 20 + 10
+    assert "often" in tight._known | tight._before
