@@ -12,6 +12,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from dataproof.llm.workers import tidy
+
 TEXTS_AT_ONCE = 256
 #: Chunks remembered in a worker, and the longest that is; when there are more, those are kept that come again before there
 #: are as many others.
@@ -181,5 +183,5 @@ def bpe_round_trip(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(df[id_col], df[text_col]).mapInArrow(
-        encode, f"`{id_col}` {kind}, n_tokens long, ids binary, decoded string"
+        tidy(encode), f"`{id_col}` {kind}, n_tokens long, ids binary, decoded string"
     )

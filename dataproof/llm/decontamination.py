@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from dataproof.llm.words import hashed_words, mix
+from dataproof.llm.workers import tidy
 
 #: Fixed masks; 1: the word counts, 0: it is ignored. Every run with 8 equal words or more that are 75 percent of
 #: its words or more is hit: of 20 words or more one half passes as well, and a mask fits each shorter run.
@@ -246,7 +247,7 @@ def contaminated(
                     names=[id_col, item_col, "first_word", "n_words", "n_matched", "coverage"],
                 )
 
-        result = result.union(docs.mapInArrow(search, schema))
+        result = result.union(docs.mapInArrow(tidy(search), schema))
     return result
 
 
@@ -265,5 +266,5 @@ def drop_contaminated(
                 good[[row[0] for row in overlaps(batch.column(at), index.value, rule)]] = False
                 yield batch.filter(pa.array(good))
 
-        df = df.mapInArrow(clean, df.schema)
+        df = df.mapInArrow(tidy(clean), df.schema)
     return df

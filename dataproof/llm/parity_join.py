@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from dataproof.llm.components import Forest, components, merged
 from dataproof.llm.words import hashed_words, mix, shingle_hashes
+from dataproof.llm.workers import tidy
 from dataproof.sources.shared import drop_folder, keep_table
 
 SHINGLE = 5
@@ -185,7 +186,7 @@ def set_table(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             )
 
     return df.select(df[id_col].cast("long"), df[text_col]).mapInArrow(
-        sets, "doc_id long, n_shingles long, set_a long, set_b long, sketch binary"
+        tidy(sets), "doc_id long, n_shingles long, set_a long, set_b long, sketch binary"
     )
 
 
@@ -238,7 +239,7 @@ def _packed_keys(df: DataFrame, text_col: str, buckets: int) -> DataFrame:
                     keys, ids, held = [], [], 0
         yield from pack(keys, ids)
 
-    return df.select(df[text_col]).mapInArrow(emit, "bucket int, data binary")
+    return df.select(df[text_col]).mapInArrow(tidy(emit), "bucket int, data binary")
 
 
 def _unpacked(chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -291,7 +292,7 @@ def _meetings(packed: DataFrame, partitions: int) -> DataFrame:
 
     return (
         packed.repartition(partitions, "bucket").sortWithinPartitions("bucket")
-        .mapInArrow(meet, "kind int, a long, b long")
+        .mapInArrow(tidy(meet), "kind int, a long, b long")
     )
 
 
@@ -324,7 +325,7 @@ def _plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield batch.filter(pa.array(good, pa.bool_())).select([0, 1, 6, 7])
 
     return pairs.where(fits).select("doc_a", "doc_b", "n_a", "n_b", "sketch_a", "sketch_b", "a", "b").mapInArrow(
-        near, "doc_a long, doc_b long, a long, b long"
+        tidy(near), "doc_a long, doc_b long, a long, b long"
     )
 
 
@@ -369,9 +370,11 @@ def _links(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             hit = (words[place >> 5] >> (place & 31).astype(np.uint32)) & 1
             yield batch.filter(pa.array(hit.astype(bool))).select([0, 1])
 
+    # Texts are dealt once before the joins: where pairs are broadcast, a task that chooses texts would also verify
+    # them, in two Python workers at a time, and both workers stay for the stages that follow.
     texts = (
         docs.select("doc", "text", F.pmod(F.xxhash64("doc"), F.lit(bits)).alias("place"))
-        .mapInArrow(chosen, "doc long, text string")
+        .mapInArrow(tidy(chosen), "doc long, text string").repartition(F.xxhash64("doc"))
     )
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -397,7 +400,7 @@ def _links(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     both = pairs.join(texts.select(F.col("doc").alias("doc_b"), F.col("text").alias("text_b")), "doc_b").join(
         texts.select(F.col("doc").alias("doc_a"), F.col("text").alias("text_a")), "doc_a"
     )
-    return both.select("doc_a", "doc_b", "text_a", "text_b", "a", "b").mapInArrow(verify, "a long, b long, linked boolean, joins boolean")
+    return both.select("doc_a", "doc_b", "text_a", "text_b", "a", "b").mapInArrow(tidy(verify), "a long, b long, linked boolean, joins boolean")
 
 
 # --- blocks that still hold several components --------------------------------------------
@@ -530,7 +533,7 @@ def _nearest_apart(mixed: DataFrame, sets: DataFrame, many: int) -> DataFrame:
         yield told()
 
     keys = ["block", "row_tile", "column_tile"]
-    found = dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(groups, "doc long, other long, differ long")
+    found = dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(tidy(groups), "doc long, other long, differ long")
     found = found.repartition("doc").distinct()
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("doc").orderBy("differ", "other"))).where(F.col("rank") <= many)
 

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dataproof.llm.words import hash_spans, mix, text_chunks, word_spans
+from dataproof.llm.workers import tidy
 
 #: Vectors that n-grams are hashed to, and their length.
 BUCKETS = 1 << 16
@@ -165,7 +166,7 @@ def fit(
                 )
 
     kind = df.schema[id_col].dataType.simpleString()
-    rows = texts.select("id", "text", "label").mapInArrow(shares, f"id {kind}, label int, buckets binary, shares binary")
+    rows = texts.select("id", "text", "label").mapInArrow(tidy(shares), f"id {kind}, label int, buckets binary, shares binary")
     found = rows.limit(2 * sample_each).collect()
     found.sort(key=lambda row: (row["id"], row["label"], row["buckets"]))
     return train([
@@ -192,4 +193,4 @@ def scored(df: DataFrame, model: Model, text_col: str = "text", score_col: str =
 
     given = df.select(*columns, df[text_col].alias(f"{text_col}_scored"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:-1])
-    return given.mapInArrow(score, f"{fields}, `{score_col}` double")
+    return given.mapInArrow(tidy(score), f"{fields}, `{score_col}` double")

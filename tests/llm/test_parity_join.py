@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import random
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from messy import ROWS, empty, messy
 
 from dataproof.llm import components as co
 from dataproof.llm import parity_join as pj
+from dataproof.llm import workers
 from dataproof.llm.components import components
 from dataproof.llm.queries import QUERIES
 
@@ -181,3 +184,34 @@ def test_few_links_take_no_rounds(spark, monkeypatch, at_once):
         **{k: k for k in range(4, 29)}, **{k + 500: k for k in range(4, 29)},
     }
     assert at_once == 7 or kept == ["labels"] * 2
+
+
+def python_steps(plan, above=0):
+    """The most Python steps that one task runs at a time."""
+    name = plan.nodeName()
+    if name.startswith("AdaptiveSparkPlan"):
+        return python_steps(plan.inputPlan(), above)
+    own = 0 if "Exchange" in name else above + (name == "MapInArrow")
+    below = plan.children()
+    return max([own, *(python_steps(below.apply(k), own) for k in range(below.size()))])
+
+
+def test_links_are_verified_in_tasks_of_their_own(spark):
+    """Few pairs are broadcast; even then no task chooses texts and verifies them in two Python workers at a time."""
+    text = " ".join(f"w{k}" for k in range(60))
+    docs = spark.createDataFrame([(k, text + f" t{k}" * (k % 3)) for k in range(40)] + [(99, "other words"), (None, text)], "doc long, text string")
+    rows = {r["doc"]: np.uint64(pj.identity(next(s for _, s in pj.text_sets(pa.array([r["text"]]))))[0]) & pj._ID_MASK for r in docs.collect()}
+    pairs = [(a, b, int(rows[a]), int(rows[b])) for a, b in ((1, 2), (1, 4), (5, 99))]
+    found = pj._links(spark.createDataFrame(pairs, "doc_a long, doc_b long, a long, b long"), docs)
+    assert python_steps(found._jdf.queryExecution().executedPlan()) == 1
+    linked = {(r["a"], r["b"]): (r["linked"], r["joins"]) for r in found.collect()}
+    assert linked == {(1, 2): (True, True), (1, 4): (True, True), (5, 99): (False, False)}
+
+
+def test_steps_hand_memory_back(monkeypatch):
+    given = []
+    monkeypatch.setattr(workers.pa, "default_memory_pool", lambda: SimpleNamespace(release_unused=lambda: given.append(True)))
+    batch = pa.RecordBatch.from_arrays([pa.array([1])], names=["x"])
+    steps = workers.tidy(lambda batches: (b for b in batches))(iter([batch, batch]))
+    assert next(steps) is batch and not given
+    assert list(steps) == [batch] and given == [True]
